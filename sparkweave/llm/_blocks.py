@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Stands for a null doc_id; smaller than every other.
 NULL_ID = np.iinfo(np.int64).min
 BLOCK_BYTES = 2 << 20
-BLOCK_SCHEMA = "block long, ids binary, lens binary, body binary, raw long"
+BLOCK_SCHEMA = "block long, ids binary, lens binary, body binary, raw long, rest binary"
+_COLUMNS = ("ids", "lens", "body", "rest")
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -75,7 +76,8 @@ LOWER[65:91] += 32
 class Block:
     """Documents one after another in one byte array, each followed by a newline."""
 
-    def __init__(self, ids: bytes, lens: bytes, body: bytes):
+    def __init__(self, ids: bytes, lens: bytes, body: bytes, rest: bytes = b""):
+        self.rest = rest
         self.ids = np.frombuffer(ids, np.int64)
         self.lens = np.frombuffer(lens, np.int64)
         self.body = zstandard.ZstdDecompressor().decompress(body)
@@ -86,6 +88,10 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.body[self.starts[i] : self.ends[i]]
 
+    def columns(self) -> pa.Table:
+        """The other columns that pack() was told to carry."""
+        return pa.ipc.open_stream(self.rest).read_all()
+
     def words(self, lower: bool = False) -> "Words":
         return Words(self, lower)
 
@@ -111,10 +117,11 @@ def ids_out(ids) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
-def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text) as blocks, checkpointed: the numbering of blocks must survive lost executors.
 
-    A null text is an empty one.  Duplicate rows stay separate documents.
+    A null text is an empty one.  Duplicate rows stay separate documents.  carry: all
+    columns of docs come along, whatever their names, for Block.columns().
     """
     spark = docs.sparkSession
     shared_checkpoint_dir(spark)
@@ -123,10 +130,15 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def to_blocks(batches):
         task, seq = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=3)
-        ids, texts, size = [], [], 0
+        ids, texts, size, rest = [], [], 0, []
 
         def flush():
-            nonlocal ids, texts, size, seq
+            nonlocal ids, texts, size, seq, rest
+            held = pa.BufferOutputStream()
+            if carry:
+                table = pa.Table.from_batches(rest)
+                with pa.ipc.new_stream(held, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(table)
             raw = b"\n".join([*texts, b""])
             row = pa.RecordBatch.from_pydict({
                 "block": pa.array([(task << 32) + seq], pa.int64()),
@@ -134,22 +146,32 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 "lens": [np.array([len(x) for x in texts], np.int64).tobytes()],
                 "body": [press.compress(raw)],
                 "raw": pa.array([len(raw)], pa.int64()),
+                "rest": pa.array([held.getvalue().to_pybytes()], pa.binary()),
             })
-            ids, texts, size, seq = [], [], 0, seq + 1
+            ids, texts, size, seq, rest = [], [], 0, seq + 1, []
             return row
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+            others = pa.RecordBatch.from_arrays(batch.columns[2:], names=names)
+            since = 0
+            for k, (i, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 t = b"" if not t.is_valid else t.as_buffer().to_pybytes()
                 if ids and size + len(t) > block_bytes:
+                    rest.append(others.slice(since, k - since))
                     yield flush()
+                    since = k
                 ids.append(NULL_ID if i is None else i)
                 texts.append(t)
                 size += len(t) + 1
+            rest.append(others.slice(since))
         if ids:
             yield flush()
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    names = [c for c in docs.columns if c != "text"] if carry else []
+    cols = docs.select(
+        F.col("doc_id").cast("long").alias("_0"), F.col("text").cast("string").alias("_1"),
+        *[F.col(f"`{c}`").alias(f"_{k + 2}") for k, c in enumerate(names)],
+    )
     return cols.mapInArrow(to_blocks, BLOCK_SCHEMA).checkpoint()
 
 
@@ -218,27 +240,34 @@ def per_block(blocks: DataFrame, answers: DataFrame, fn, schema: str) -> DataFra
     """fn(block number, Block, {bucket: answer bytes}) -> record batch or table, for each block."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({f.name: pa.array([], f.type) for f in arrow}, schema=arrow)
-        row = {c: left.column(c)[0].as_py() for c in ("block", "ids", "lens", "body")}
+        number, block = first_block(left)
         got = dict(zip(right.column("bucket").to_pylist(), right.column("r").to_pylist()))
-        out = fn(row["block"], Block(row["ids"], row["lens"], row["body"]), got)
+        out = fn(number, block, got)
         return out if isinstance(out, pa.Table) else pa.Table.from_batches([out])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(one, schema)
 
 
+def with_rows(blocks: DataFrame, rows: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(block number, Block, rows of that block) -> table, for each block; rows has a column block."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        return fn(*first_block(left), right)
+
+    return blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(one, schema)
+
+
+def first_block(table: pa.Table) -> tuple[int, Block]:
+    return table.column("block")[0].as_py(), Block(*(table.column(c)[0].as_py() for c in _COLUMNS))
+
+
 def each_block(blocks: DataFrame, fn, schema: str) -> DataFrame:
     """fn(block number, Block) -> record batch, for each block."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.select(["block", "ids", "lens", "body"]).to_pylist():
-                yield fn(row["block"], Block(row["ids"], row["lens"], row["body"]))
+            for k in range(batch.num_rows):
+                yield fn(*first_block(pa.Table.from_batches([batch.slice(k, 1)])))
 
     return blocks.mapInArrow(run, schema)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substrings, suffixes
+from . import lines, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,16 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_bytes(_table(spark, sf_dir, "documents"), length=400)
 
 
+def op5_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"), min_chars=10)
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array, op10_difference_cover)}
+    return {f.__name__: f for f in (op2_suffix_array, op5_bloom_lines, op10_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -188,7 +188,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
         ctx = [block.body[i:j] for i, j in zip((a - hi).tolist(), (a - lo + length).tolist())]
         return wanted.append_column("ctx", pa.array(ctx, pa.binary()))
 
-    level = _with_rows(blocks, open_rows, contexts, OPEN + ", ctx binary").checkpoint()
+    level = B.with_rows(blocks, open_rows, contexts, OPEN + ", ctx binary").checkpoint()
     while True:
         sized = level.join(level.groupBy("key").agg(F.count("*").alias("members")), "key")
         found.append(_merged(sized.filter(F.col("members") <= SMALL).drop("members"), length))
@@ -226,7 +226,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
             "n_spans": spans[block.ends] - spans[block.starts], "kept_sha256": sha,
         })
 
-    return _with_rows(blocks, spans, remove, RESULT)
+    return B.with_rows(blocks, spans, remove, RESULT)
 
 
 OPEN = ROWS + ", weight int"
@@ -249,16 +249,6 @@ def _settle(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return whole, left.select([c for c in rows.columns])
 
 
-def _with_rows(blocks: DataFrame, rows: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(block number, Block, rows of that block) -> table, for each block."""
-
-    def one(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = {c: left.column(c)[0].as_py() for c in ("block", "ids", "lens", "body")}
-        return fn(row["block"], B.Block(row["ids"], row["lens"], row["body"]), right)
-
-    return blocks.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(one, schema)
-
-
 def _beside(table: pa.Table, length: int):
     a_in = table.column("hi").to_numpy().astype(np.int64)  # a context begins at the anchor less hi
     node_lo, node_hi = (table.column(c).to_numpy().astype(np.int64) for c in ("node_lo", "node_hi"))
