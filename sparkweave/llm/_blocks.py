@@ -76,15 +76,21 @@ LOWER[65:91] += 32
 class Block:
     """Documents one after another in one byte array, each followed by a newline."""
 
-    def __init__(self, ids: bytes, lens: bytes, body: bytes, rest: bytes = b""):
+    def __init__(self, ids: bytes, lens: bytes, body: bytes, rest: bytes = b"", packed: bool = True):
         self.rest = rest
         self.ids = np.frombuffer(ids, np.int64)
         self.lens = np.frombuffer(lens, np.int64)
-        self.body = zstandard.ZstdDecompressor().decompress(body)
+        self.body = zstandard.ZstdDecompressor().decompress(body) if packed else body
         self.data = np.frombuffer(self.body, np.uint8)
         self.starts = np.concatenate([[0], np.cumsum(self.lens + 1)])[:-1].astype(np.int64)
         self.ends = self.starts + self.lens
 
+    @classmethod
+    def of(cls, ids, texts: list[bytes]) -> "Block":
+        raw = b"\n".join([*texts, b""])
+        lens = np.array([len(x) for x in texts], np.int64)
+        return cls(np.array(ids, np.int64).tobytes(), lens.tobytes(), raw, packed=False)
+
     def text(self, i: int) -> bytes:
         return self.body[self.starts[i] : self.ends[i]]
 
@@ -175,6 +181,29 @@ def pack(docs: DataFrame, carry: bool = False, block_bytes: int = BLOCK_BYTES) -
     return cols.mapInArrow(to_blocks, BLOCK_SCHEMA).checkpoint()
 
 
+def text_bytes(column: pa.Array) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+
+
+def in_blocks(batch: pa.RecordBatch, column: str = "text", block_bytes: int = BLOCK_BYTES):
+    """(slice of the batch, its texts as a Block), each of about block_bytes; ids are row numbers."""
+    texts = text_bytes(batch.column(batch.schema.get_field_index(column)))
+    since = size = 0
+    for k, t in enumerate(texts):
+        if k > since and size + len(t) > block_bytes:
+            yield batch.slice(since, k - since), Block.of(range(k - since), texts[since:k])
+            since, size = k, 0
+        size += len(t) + 1
+    if len(texts) > since:
+        yield batch.slice(since), Block.of(range(len(texts) - since), texts[since:])
+
+
+def with_small(df: DataFrame, small: DataFrame, on: str, limit: int = 10_000) -> DataFrame:
+    """Left join with a table of one row per key: broadcast where a count proves it small, else shuffled."""
+    few = small.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(small) if few else small, on, "left")
+
+
 def shared_checkpoint_dir(spark) -> None:
     """Use the cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
     sc = spark.sparkContext
