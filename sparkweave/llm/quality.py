@@ -137,7 +137,7 @@ def risk_cutoffs(scored: DataFrame, limit: float, delta: float) -> DataFrame:
     return table.groupBy("stratum").agg(best.alias("b")).select("stratum", F.element_at(grid, F.col("b.rank") + 1).alias("cutoff"), F.col("b.k").alias("holdout_rejected"), F.col("b.n").alias("holdout_good"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.02, delta: float = 0.05, quantile: float = 0.99, seed: int = 17) -> DataFrame:
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.03, delta: float = 0.05, quantile: float = 0.99, seed: int = 17) -> DataFrame:
     """Base counts and a verdict for each row of docs.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

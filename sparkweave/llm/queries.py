@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality, secret_scan, substrings, suffixes
+from . import lines, pii, quality, secret_scan, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,16 @@ def op7_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_array, op4_risk_thresholds, op5_bloom_lines, op7_assignment_lexing, op10_difference_cover)}
+    return {f.__name__: f for f in (op2_suffix_array, op4_risk_thresholds, op5_bloom_lines, op7_assignment_lexing, op8_bootstrapped_contexts, op10_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
