@@ -98,15 +98,16 @@ class Block:
         """The other columns that pack() was told to carry."""
         return pa.ipc.open_stream(self.rest).read_all()
 
-    def words(self, lower: bool = False) -> "Words":
-        return Words(self, lower)
+    def words(self, lower: bool = False, gaps: np.ndarray | None = None) -> "Words":
+        """gaps: the bytes between words, white space by default; a newline must be one."""
+        return Words(self, lower, gaps)
 
 
 class Words:
     """The words `[^\\x20\\x09-\\x0D]+` of a block: starts, ends, hashes, and each document's range."""
 
-    def __init__(self, block: Block, lower: bool = False):
-        space = SPACE[block.data]
+    def __init__(self, block: Block, lower: bool = False, gaps: np.ndarray | None = None):
+        space = (SPACE if gaps is None else gaps)[block.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate([[0], edge])

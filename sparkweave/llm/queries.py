@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import lines, mixing, near_dup, pii, quality, secret_scan, substrings, suffixes
+from . import decontaminate, lines, mixing, near_dup, pii, quality, secret_scan, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_table(spark, sf_dir, "documents"), min_chars=10)
 
 
+def op3_cgk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), max_edits=0.2)
+
+
 def op4_risk_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -63,7 +67,7 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op3_cgk_windows, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op10_difference_cover)}
 
 
 def _op1_sql(share: int = 600, epochs: int = 2, seed: int = 7) -> str:
