@@ -17,7 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import _blocks as B
 
@@ -80,18 +80,24 @@ def block_counts(block: B.Block) -> dict[str, np.ndarray]:
     }
 
 
-def text_counts(docs: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, stratum (of a null: '(none)') and the counts of each document's whole text (null: empty)."""
+def text_counts(docs: DataFrame, stratum: str, carry: bool = False) -> DataFrame:
+    """doc_id, stratum (of a null: '(none)') and the counts of each document's whole text (null: empty).
+
+    carry: the columns of docs too, as a struct `row`.
+    """
     names = list(block_counts(B.Block.of([0], [b""])))
 
     def run(batches):
         for batch in batches:
             for part, block in B.in_blocks(batch, "t"):
                 counts = block_counts(block)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(counts[c].astype(np.int64)) for c in names]], names=["doc_id", "stratum", *names])
+                held = part.select(list(held_types))
+                yield pa.RecordBatch.from_arrays([*held.columns, *[pa.array(counts[c].astype(np.int64)) for c in names]], names=[*held_types, *names])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("(none)")).alias("stratum"), F.col("text").alias("t"))
-    out = slim.mapInArrow(run, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in names))
+    held_types = {"doc_id": T.LongType(), "stratum": T.StringType()} | ({"row": docs.schema} if carry else {})
+    schema = T.StructType([T.StructField(c, t) for c, t in (held_types | {c: T.LongType() for c in names}).items()])
+    slim = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("(none)")).alias("stratum"), F.col("text").alias("t"))
+    out = slim.mapInArrow(run, schema)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return out.withColumn("base_failed", failed).withColumns({c: F.expr(f"cast({x} as double)") for c, x in RULES.items()})
 
@@ -137,15 +143,12 @@ def risk_cutoffs(scored: DataFrame, limit: float, delta: float) -> DataFrame:
     return table.groupBy("stratum").agg(best.alias("b")).select("stratum", F.element_at(grid, F.col("b.rank") + 1).alias("cutoff"), F.col("b.k").alias("holdout_rejected"), F.col("b.n").alias("holdout_good"))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.03, delta: float = 0.05, quantile: float = 0.99, seed: int = 17) -> DataFrame:
-    """Base counts and a verdict for each row of docs.
+def _kept() -> Column:
+    return ~F.col("base_failed") & ~F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False))
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    kept, stratum, score, cutoff (null where none is certified).  labels: doc_id, quality (1
-    good, 0 bad; others and nulls ignored; the worst of repeated labels counts).  Null text is
-    empty; rows with a null doc_id have no label; repeated rows each get a row.  Without
-    labels every document that passes the base rules is kept.
-    """
+
+def _calibrated(docs, labels, stratum, limit, delta, quantile, seed) -> tuple[DataFrame, Column, DataFrame]:
+    """Counts of docs, the score in units of the rules' scales, and the certified cutoffs."""
     B.shared_checkpoint_dir(docs.sparkSession)
     stats = text_counts(docs, stratum).checkpoint()
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -155,6 +158,25 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     scale = {c: max(fit[c] or 0.0, 1e-3) * 1.25 if fit[c] is not None else None for c in RULES}
     worst = F.greatest(F.lit(0.0), *[F.col(c) / F.lit(s) for c, s in scale.items() if s is not None]) if any(s is not None for s in scale.values()) else F.lit(0.0)
     cutoffs = risk_cutoffs(held.filter("half = 1").withColumn("score", worst), limit, delta).checkpoint()
+    return stats, worst, cutoffs
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.03, delta: float = 0.05, quantile: float = 0.99, seed: int = 17) -> DataFrame:
+    """Base counts and a verdict for each row of docs.
+
+    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    kept, stratum, score, cutoff (null where none is certified).  labels: doc_id, quality (1
+    good, 0 bad; others and nulls ignored; the worst of repeated labels counts).  Null text is
+    empty; rows with a null doc_id have no label; repeated rows each get a row.  Without
+    labels every document that passes the base rules is kept.
+    """
+    stats, worst, cutoffs = _calibrated(docs, labels, stratum, limit, delta, quantile, seed)
     out = B.with_small(stats.withColumn("score", worst), cutoffs, "stratum")
-    kept = ~F.col("base_failed") & ~F.coalesce(F.col("score") > F.col("cutoff"), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "stratum", "score", "cutoff")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept().alias("kept"), "stratum", "score", "cutoff")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.03, delta: float = 0.05, quantile: float = 0.99, seed: int = 17) -> DataFrame:
+    """The rows and columns of docs that quality_verdicts() keeps; texts are not shuffled."""
+    _, worst, cutoffs = _calibrated(docs, labels, stratum, limit, delta, quantile, seed)
+    out = B.with_small(text_counts(docs, stratum, carry=True).withColumn("score", worst), cutoffs, "stratum").filter(_kept())
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
