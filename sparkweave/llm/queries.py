@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, mixing, near_dup, pii, quality, secret_scan, substrings, suffixes
+from . import decontaminate, lines, lm_score, mixing, near_dup, pii, quality, secret_scan, substrings, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,16 @@ def op8_bootstrapped_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op3_cgk_windows, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op3_cgk_windows, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op9_context_mixing, op10_difference_cover)}
 
 
 def _op1_sql(share: int = 600, epochs: int = 2, seed: int = 7) -> str:
