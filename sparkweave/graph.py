@@ -34,3 +34,130 @@ def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt", m
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge as (u, v) and (v, u)."""
+    return edges.select(F.col("src").alias("u"), F.col("tgt").alias("v")).unionByName(edges.select(F.col("tgt").alias("u"), F.col("src").alias("v")))
+
+
+def find_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs(src, tgt) with the edge's columns in either orientation; null where there is none."""
+    key = lambda df: df.withColumns({"_a": F.least("src", "tgt"), "_b": F.greatest("src", "tgt")})
+    return key(pairs).join(key(edges).drop("src", "tgt"), ["_a", "_b"], "left").drop("_a", "_b")
+
+
+def node_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node_id, neighbour) for the wanted nodes."""
+    return both_ways(edges).withColumnRenamed("u", "node_id").join(nodes.select("node_id"), "node_id", "left_semi").withColumnRenamed("v", "neighbour")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return both_ways(edges).groupBy(F.col("u").alias("node_id")).agg(F.count("*").alias("degree"))
+
+
+def edge_degrees(edges: DataFrame) -> DataFrame:
+    d = degrees(edges)
+    x = edges.join(d.withColumnsRenamed({"node_id": "src", "degree": "_s"}), "src").join(d.withColumnsRenamed({"node_id": "tgt", "degree": "_t"}), "tgt")
+    return x.select("src", "tgt", (F.col("_s") + F.col("_t")).alias("degree"))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    return both_ways(edges).groupBy(F.col("u").alias("node_id")).agg(F.array_sort(F.collect_set("v")).alias("neighbours"))
+
+
+def induced_edges(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """membership(community_id, node_id) -> (community_id, src, tgt): edges with both ends in one community."""
+    m = membership.select("community_id", F.col("node_id").alias("src"))
+    x = edges.join(m, "src")
+    return x.join(membership.select("community_id", F.col("node_id").alias("tgt")), ["community_id", "tgt"], "left_semi").select("community_id", "src", "tgt")
+
+
+def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The largest component with ids upper-cased and trimmed (ties: the smaller component id)."""
+    c = connected_components(edges)
+    alone = nodes.select(F.col("node_id").alias("node")).join(c, "node", "left_anti").withColumn("component", F.col("node"))
+    c = c.unionByName(alone)
+    top = c.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1).select("component")
+    keep = c.join(F.broadcast(top), "component").select(F.col("node").alias("node_id"))  # one row
+    name = lambda x: F.upper(F.trim(x))
+    out = edges.join(keep.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    return nodes.join(keep, "node_id", "left_semi").withColumn("node_id", name("node_id")), out.withColumns({"src": name("src"), "tgt": name("tgt")})
+
+
+def k_hop(edges: DataFrame, seeds: DataFrame, max_hops: int, max_nodes: int, group: str = "intent_id") -> tuple[DataFrame, DataFrame]:
+    """Breadth-first growth of every group's seeds at once.
+
+    seeds(group, node_id) -> (nodes(group, node_id, hop), edges(group, src, tgt)).  A group keeps
+    max_nodes nodes, nearer ones first, then by id; edges join two kept nodes.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    from pyspark.sql import Window
+
+    step = both_ways(edges).distinct()
+    rank = Window.partitionBy(group).orderBy("hop", "node_id")
+    cut = lambda df: df.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= max_nodes).drop("_r")
+    seen = cut(seeds.select(group, "node_id").distinct().withColumn("hop", F.lit(0)))
+    for hop in range(1, max_hops + 1):
+        front = seen.filter(F.col("hop") == hop - 1)
+        new = front.join(step, front["node_id"] == step["u"]).select(group, F.col("v").alias("node_id")).distinct()
+        new = new.join(seen, [group, "node_id"], "left_anti").withColumn("hop", F.lit(hop))
+        seen = cut(seen.unionByName(new)).checkpoint()
+    x = edges.select("src", "tgt").join(seen.select(group, F.col("node_id").alias("src")), "src")
+    x = x.join(seen.select(group, F.col("node_id").alias("tgt")), [group, "tgt"], "left_semi")
+    return seen, x.select(group, "src", "tgt")
+
+
+def first_nodes(nodes: DataFrame, edges: DataFrame, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """The first nodes by id, and the edges among them."""
+    keep = nodes.orderBy("node_id").limit(max_nodes)
+    for end in ("src", "tgt"):
+        edges = edges.join(keep.select(F.col("node_id").alias(end)), end, "left_semi")
+    return keep, edges.select("src", "tgt")
+
+
+def path_lengths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
+    """(source, node_id, hops) for every node within max_hops of each source."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    step = both_ways(edges).distinct()
+    seen = sources.select(F.col("node_id").alias("source"), "node_id").distinct().withColumn("hops", F.lit(0))
+    for hop in range(1, max_hops + 1):
+        front = seen.filter(F.col("hops") == hop - 1)
+        new = front.join(step, front["node_id"] == step["u"]).select("source", F.col("v").alias("node_id")).distinct()
+        seen = seen.unionByName(new.join(seen, ["source", "node_id"], "left_anti").withColumn("hops", F.lit(hop))).checkpoint()
+    return seen
+
+
+def cycle_core(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Directed edges (src, tgt) on cycles or between them: what peeling nodes without a way in, or out, leaves."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select("src", "tgt").distinct().checkpoint()
+    n = e.count()
+    for _ in range(max_rounds):
+        inner = e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
+        e = inner.select("src", "tgt").checkpoint()
+        m = e.count()
+        if m == n:
+            break
+        n = m
+    return e
+
+
+def without_cycles(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+    """Directed edges with one edge per cyclic component dropped (the greatest), again until no cycle is left."""
+    out = edges
+    for _ in range(max_rounds):
+        core = cycle_core(out)
+        if core.isEmpty():
+            return out
+        parts = connected_components(core)
+        tagged = core.join(parts.withColumnRenamed("node", "src"), "src").unionByName(core.filter("src = tgt").withColumn("component", F.col("src")).select("src", "tgt", "component"))
+        drop = tagged.groupBy("component").agg(F.max(F.struct("src", "tgt")).alias("x")).select("x.src", "x.tgt")
+        drop = drop.unionByName(core.filter("src = tgt")).distinct()
+        out = out.join(drop, ["src", "tgt"], "left_anti").checkpoint()
+    return out
+
+
+def occurrences(table: DataFrame, key: list[str]) -> DataFrame:
+    """How many distinct sources each node or edge has."""
+    return table.select(*key, F.size(F.array_distinct("source_ids")).cast("long").alias("occurrences"))
