@@ -1 +1 @@
-
+"""Structured Streaming: incremental ingest, request accounting."""
