@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from .extract import filled
 
 RESULT = "response string, status string, attempts int, prompt_tokens long, completion_tokens long"
 
@@ -23,8 +26,7 @@ def complete(prompts: DataFrame, backend: Callable[[list[str]], list[str]], retr
     backend takes and returns a batch of texts; it runs on the executors, once per Arrow batch, and
     again for prompts without an answer.  A batch that raises is tried again and then marked failed.
     """
-    from pyspark.sql.types import _parse_datatype_string as ddl  # noqa: PLC0415
-
+    ddl = StructType.fromDDL
     names = prompts.columns
 
     def run(batches):
@@ -47,9 +49,7 @@ def complete(prompts: DataFrame, backend: Callable[[list[str]], list[str]], retr
             words = lambda xs: [len((x or "").split()) for x in xs]
             yield pdf.assign(response=out, status=status, attempts=pd.array(tries, "int32"), prompt_tokens=words(pdf["prompt"]), completion_tokens=words(out))
 
-    schema = prompts.schema
-    for f in ddl(RESULT).fields:
-        schema = schema.add(f) if f.name not in names else schema
+    schema = StructType([*prompts.schema.fields, *[f for f in ddl(RESULT).fields if f.name not in names]])
     return prompts.mapInPandas(run, schema)
 
 
@@ -73,15 +73,13 @@ def retained(cache: DataFrame, most: int) -> DataFrame:
 
 def scored(pairs: DataFrame, scorer: Callable[[list[str]], list[float]], template: str = "question: {question} answer: {answer}") -> DataFrame:
     """Adds score from a batch callable over input strings built from columns."""
-    from .extract import filled
-
     x = pairs.withColumn("_in", filled(F.lit(template), question=F.col("question"), answer=F.col("answer")))
 
     def run(batches):
         for pdf in batches:
             yield pdf.assign(score=[float(s) for s in scorer(pdf["_in"].tolist())])
 
-    return x.mapInPandas(run, x.schema.add("score", "double")).drop("_in")
+    return x.mapInPandas(run, StructType([*x.schema.fields, *StructType.fromDDL("score double").fields])).drop("_in")
 
 
 def score_summary(df: DataFrame, column: str = "score") -> DataFrame:

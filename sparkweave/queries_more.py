@@ -1 +1,581 @@
-"""More registered queries."""
+"""Queries over partitions, prompts, question-answer pairs, evaluation, reviews, taxonomies and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from . import graph as G
+from .functions import text as T
+from .operators import complete, evaluation as E, parse, partition as P, prompts, taxonomy as X
+from .queries import _COMPONENTS, nation_graph, part_graph, query, t
+from .sources import exports
+from .streaming import ingest
+
+# Partitions of the graph of customers, nations and regions
+
+
+def nation_nodes(spark, d) -> DataFrame:
+    c = t(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("node_id"), F.lit("customer").alias("entity_type"), F.col("c_mktsegment").alias("description"), F.abs("c_acctbal").alias("loss"))
+    n = t(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node_id"), F.lit("nation").alias("entity_type"), F.col("n_name").alias("description"), F.lit(None).cast("double").alias("loss"))
+    r = t(spark, d, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("node_id"), F.lit("region").alias("entity_type"), F.col("r_name").alias("description"), F.lit(None).cast("double").alias("loss"))
+    return P.with_lengths(c.unionByName(n).unionByName(r))
+
+
+def nation_edges(spark, d) -> DataFrame:
+    return nation_graph(spark, d).withColumns({"description": F.concat_ws(" in ", "src", "tgt"), "length": F.lit(3).cast("long")})
+
+
+_NODES = "nodes as (select 'C' || c_custkey as node_id, 'customer' as entity_type, c_mktsegment as description from customer union all select 'N' || n_nationkey, 'nation', n_name from nation union all select 'R' || r_regionkey, 'region', r_name from region)"
+_EDGES = "edges as (select 'C' || c_custkey as src, 'N' || c_nationkey as tgt from customer union all select 'N' || n_nationkey, 'R' || n_regionkey from nation where n_nationkey % 2 = 0)"
+
+
+@query(f"with {_NODES}, {_EDGES} select node_id as unit_id, 'node' as kind from nodes union all select src || chr(1) || tgt, 'edge' from edges")
+def partition_atomic(spark, d):
+    return P.bfs_communities(nation_nodes(spark, d), nation_edges(spark, d), 1).select("unit_id", "kind")
+
+
+@query()
+def partition_bfs(spark, d):
+    return P.bfs_communities(nation_nodes(spark, d), nation_edges(spark, d), 5)
+
+
+@query()
+def partition_dfs(spark, d):
+    return P.dfs_communities(nation_nodes(spark, d), nation_edges(spark, d), 4)
+
+
+@query()
+def partition_anchor(spark, d):
+    return P.anchored_communities(nation_nodes(spark, d), nation_edges(spark, d), 6, anchor_type="nation")
+
+
+@query()
+def partition_ece(spark, d):
+    return P.loss_communities(nation_nodes(spark, d), nation_edges(spark, d), 5, max_tokens=12, min_units=2, sampling="max_loss")
+
+
+@query()
+def partition_modularity(spark, d):
+    return P.modularity_communities(nation_nodes(spark, d), nation_edges(spark, d), max_size=50)
+
+
+@query()
+def modularity_score(spark, d):
+    e = nation_edges(spark, d)
+    return P.modularity(e, P.modularity_communities(nation_nodes(spark, d), e))
+
+
+@query(f"with {_COMPONENTS}, x as (select node, component, row_number() over (partition by component order by node) as i from k join m using (part)) select component || '#' || ((i - 1) // 20) as community_id, node as node_id from x")
+def sliced_communities(spark, d):
+    c = G.connected_components(nation_graph(spark, d))
+    return P.sliced(c.select(F.col("component").alias("community_id"), F.col("node").alias("node_id")), 20)
+
+
+@query("select n_name as src, r_name as tgt, 'part_of' as relation_type, true as is_hierarchy from nation join region on n_regionkey = r_regionkey union all select c_name, n_name, 'lives_in', false from customer join nation on c_nationkey = n_nationkey")
+def hierarchy_edges(spark, d):
+    n = t(spark, d, "nation")
+    a = n.join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("tgt"), F.lit("part_of").alias("relation_type"))
+    b = t(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("src"), F.col("n_name").alias("tgt"), F.lit("lives_in").alias("relation_type"))
+    return P.hierarchy_edges(a.unionByName(b))
+
+
+_SIBLINGS = "s as (select *, (row_number() over (partition by c_nationkey order by 'C' || c_custkey) - 1) // 10 as g from customer), q as (select *, count(*) over (partition by c_nationkey, g) as n from s)"
+
+
+@query(f"with {_SIBLINGS} select 'N' || c_nationkey || '/' || g as community_id, 'C' || c_custkey as node_id, 'child' as role from q where n >= 2 union select 'N' || c_nationkey || '/' || g, 'N' || c_nationkey, 'parent' from q where n >= 2")
+def sibling_groups(spark, d):
+    e = t(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("tgt"))
+    return P.sibling_groups(e, 10)
+
+
+@query("""with p as (select n_nationkey as n, n_regionkey as r, 'R' || n_regionkey || '>' || 'N' || n_nationkey as path from nation),
+q as (select r, n, coalesce((select min(p.path || '>C' || c_custkey) from customer where c_nationkey = p.n), p.path) as path from p)
+select path as community_id, 'N' || n as node_id, 1 as depth from q
+union all select min(path), 'R' || r, 0 from q group by r
+union all select p.path || '>C' || c_custkey, 'C' || c_custkey, 2 from customer join p on c_nationkey = n""")
+def vertical_chains(spark, d):
+    c = t(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("tgt"))
+    n = t(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("src"), F.concat(F.lit("R"), "n_regionkey").alias("tgt"))
+    return P.vertical_chains(c.unionByName(n), 3)
+
+
+@query(f"with {_NODES}, {_EDGES}, {_SIBLINGS}, used as (select 'C' || c_custkey as node_id from q where n >= 2 union select 'N' || c_nationkey from q where n >= 2), ends as (select src as node_id from edges union select tgt from edges) select node_id as community_id, node_id, node_id in (select node_id from ends) as has_edges from nodes where node_id not in (select node_id from used)")
+def leftover_nodes(spark, d):
+    return P.leftovers(nation_nodes(spark, d), nation_edges(spark, d), sibling_groups(spark, d).select("node_id").distinct())
+
+
+def nation_batches(spark, d) -> DataFrame:
+    """One batch per nation: itself and its customers, and the edges between."""
+    e = t(spark, d, "customer")
+    key = F.concat(F.lit("N"), "c_nationkey")
+    nodes = e.select(key.alias("community_id"), F.concat(F.lit("C"), "c_custkey").alias("unit_id"), F.lit("node").alias("kind")).unionByName(e.select(key.alias("community_id"), key.alias("unit_id"), F.lit("node").alias("kind")).distinct())
+    edges = e.select(key.alias("community_id"), P.edge_unit(F.concat(F.lit("C"), "c_custkey"), key).alias("unit_id"), F.lit("edge").alias("kind"))
+    return P.batches(nodes.unionByName(edges), nation_nodes(spark, d), nation_edges(spark, d))
+
+
+_BULLETS = "b as (select 'N' || c_nationkey as batch_id, 'C' || c_custkey as c, c_mktsegment as about, n_name from customer join nation on c_nationkey = n_nationkey)"
+
+
+@query(f"""with {_BULLETS} select batch_id, string_agg('- ' || c || ': ' || about, chr(10) order by c) || chr(10) || '- ' || batch_id || ': ' || any_value(n_name) || chr(10) ||
+ string_agg('- ' || c || ' - ' || batch_id || ': ' || c || ' in ' || batch_id, chr(10) order by c) as context, 'en' as language from b group by batch_id""")
+def batch_context(spark, d):
+    x = nation_batches(spark, d)
+    return x.select("batch_id", prompts.bullets().alias("context")).withColumn("language", T.main_language("context"))
+
+
+@query(f"with {_BULLETS}, r as (select *, row_number() over (partition by batch_id order by c) as i from b) select batch_id, string_agg(i || '. ' || c || ' -- ' || batch_id || ': ' || c || ' in ' || batch_id, chr(10) order by i) as relations from r group by batch_id")
+def numbered_relations(spark, d):
+    return nation_batches(spark, d).select("batch_id", prompts.numbered_relations().alias("relations"))
+
+
+@query(f"with {_BULLETS} select batch_id, min(c) || ',' || batch_id as nodes, min(c) || '>' || batch_id as edges from b group by batch_id")
+def one_hop_batches(spark, d):
+    x = prompts.one_hop(nation_batches(spark, d))
+    return x.select("batch_id", F.array_join(F.transform("nodes", lambda n: n["node_id"]), ",").alias("nodes"), F.array_join(F.transform("edges", lambda e: F.concat(e["src"], F.lit(">"), e["tgt"])), ",").alias("edges"))
+
+
+@query(f"with {_BULLETS}, k as (select distinct batch_id from b), r as (select *, row_number() over (order by batch_id) as i from k) select 'atomic' as mode, batch_id from r where i <= 13 union all select 'cot', batch_id from r where i <= 6")
+def batches_by_mode(spark, d):
+    return prompts.batches_by_mode(nation_batches(spark, d), {"atomic": 2.0, "cot": 1.0, "multi_hop": -1.0}, 15).select("mode", "batch_id")
+
+
+@query(f"with {_BULLETS}, k as (select distinct batch_id from b), x as (select batch_id, u.turn::int as turn from k, (select unnest([0, 1, 2]) as turn) u) select batch_id, turn from x order by turn, batch_id limit 60")
+def batch_budget(spark, d):
+    return prompts.repeated_to(nation_batches(spark, d), target=40).select("batch_id", "turn").filter(F.lit(True))
+
+
+@query()
+def mode_prompts(spark, d):
+    return prompts.mode_prompts(nation_batches(spark, d), "multi_hop")
+
+
+@query("""select 'R' || r_regionkey as batch_id, '# ' || r_name || chr(10) || string_agg('## ' || n_name || chr(10) || 'nation ' || n_nationkey, chr(10) order by n_name) as text from region join nation on n_regionkey = r_regionkey group by r_regionkey, r_name""")
+def hierarchy_text(spark, d):
+    x = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    batch = F.concat(F.lit("R"), "r_regionkey").alias("batch_id")
+    nodes = x.select(batch, F.col("n_name").alias("node_id"), F.concat(F.lit("nation "), "n_nationkey").alias("description"))
+    return prompts.hierarchy_text(nodes, x.select(batch, F.col("r_name").alias("src"), F.col("n_name").alias("tgt")))
+
+
+@query("select case when 'C' || c_custkey = 'x' then '' else 'C' || c_custkey end as node_id, case when c_custkey % 4 = 0 then '/img/' || c_custkey || '.png' end as img_path from customer")
+def image_attach(spark, d):
+    c = t(spark, d, "customer")
+    images = c.filter("c_custkey % 4 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("chunk_id"), F.concat(F.lit("/img/"), "c_custkey", F.lit(".png")).alias("img_path"))
+    x = P.with_image(c.select(F.concat(F.lit('"C'), "c_custkey", F.lit('"')).alias("node_id")), images)
+    return x.select(F.regexp_replace("node_id", '"', "").alias("node_id"), "img_path")
+
+
+# Question-answer pairs: a user turn and the assistant's next one
+
+
+def qa_rows(spark, d) -> DataFrame:
+    c = t(spark, d, "conversations")
+    a = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(a, ["conv_id", "turn"]).withColumn("mode", F.when(F.col("conv_id") % 2 == 0, "atomic").otherwise("cot"))
+
+
+_QA = "qa as (select u.conv_id, u.turn, u.text as question, a.text as answer, case when u.conv_id % 2 = 0 then 'atomic' else 'cot' end as mode from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')"
+_OK = "trim(question) <> '' and trim(answer) <> '' and not regexp_matches(question || answer, '[\\n*#>-]|[:：]')"
+
+
+@query(f"with {_QA} select conv_id, turn, 0 as pos, trim(question) as question, trim(answer) as answer from qa where {_OK}")
+def parse_atomic(spark, d):
+    x = qa_rows(spark, d).filter(r"trim(question) <> '' and trim(answer) <> '' and not (question || answer) rlike '[\\n*#>-]|[:：]'")
+    r = x.select(F.struct("conv_id", "turn").alias("batch_id"), F.concat(F.lit("**Question:** "), "question", F.lit("\n**Answer:** "), "answer").alias("response"))
+    return parse.atomic_pairs(r).select("batch_id.*", "pos", "question", "answer")
+
+
+@query(f"with {_QA} select conv_id, turn, trim(question) as question, trim(answer) as answer, 'step one' as reasoning_path from qa where {_OK}")
+def parse_multi_hop(spark, d):
+    x = qa_rows(spark, d).filter(r"trim(question) <> '' and trim(answer) <> '' and not (question || answer) rlike '[\\n*#>-]|[:：]'")
+    r = x.select(F.struct("conv_id", "turn").alias("batch_id"), F.concat(F.lit("Question: "), "question", F.lit("\nAnswer: "), "answer", F.lit("\nReasoning Path: step one")).alias("response"))
+    return parse.multi_hop(r).select("batch_id.*", "question", "answer", "reasoning_path")
+
+
+@query("select item_id, (item_id % 3 <> 0) as passed, least(1.0, item_id % 13 / 10.0)::double as score, md5(text) as reason from benchmark")
+def parse_critic(spark, d):
+    b = t(spark, d, "benchmark")
+    body = F.to_json(F.struct((F.col("item_id") % 3 != 0).alias("passed"), (F.col("item_id") % 13 / 10.0).alias("overall_score"), F.md5("text").alias("reason")))
+    r = b.select("item_id", F.concat(F.lit("Here is my verdict:\n```json\n"), body, F.lit("\n```")).alias("response"))
+    return parse.critic_verdicts(r).select("item_id", "passed", "score", "reason")
+
+
+@query("select item_id, text as question, 'eval_know_' || substr(md5('knowledge_coverage:' || text), 1, 12) as id, md5(text) as reference_answer, 2 as distractors, 'ok' as status from benchmark where trim(text) <> ''")
+def parse_eval_items(spark, d):
+    b = t(spark, d, "benchmark")
+    item = F.to_json(F.array(F.struct(F.col("text").alias("question"), F.md5("text").alias("reference_answer"), F.array(F.lit("a"), F.lit("b")).alias("distractors"))))
+    r = b.select(F.lit("knowledge_coverage").alias("type"), F.lit("easy").alias("difficulty"), F.col("item_id").alias("batch_id"), item.alias("response"))
+    return parse.eval_items(r).select(F.col("batch_id").alias("item_id"), "question", "id", "reference_answer", F.size("distractors").alias("distractors"), "status")
+
+
+@query(f"with {_QA} select conv_id, turn, question as instruction, '' as input, answer as output, question as human, 'gpt' as second_speaker, 'user' as first_role from qa")
+def qa_formats(spark, d):
+    q = qa_rows(spark, d).withColumn("metadata", F.struct("conv_id", "turn"))
+    a, s, c = exports.alpaca(q), exports.sharegpt(q), exports.chatml(q)
+    a = a.select("metadata.*", "instruction", "input", "output")
+    s = s.select("metadata.*", parse.question_of(s).alias("human"), F.element_at("conversations", 2)["from"].alias("second_speaker"))
+    c = c.select("metadata.*", F.element_at("messages", 1)["role"].alias("first_role"))
+    return a.join(s, ["conv_id", "turn"]).join(c, ["conv_id", "turn"])
+
+
+@query(f"with {_QA}, x as (select *, row_number() over (partition by md5(mode || '::' || trim(question)) order by conv_id * 1000 + turn) as i from qa) select mode, count(*) as n from x where i = 1 or trim(question) = '' group by mode")
+def qa_dedup(spark, d):
+    q = qa_rows(spark, d).withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    return parse.mode_counts(parse.without_repeats(q, "ord"))
+
+
+@query("""with g as (select o_custkey as batch_id, list(distinct 'L' || o_orderkey order by 'L' || o_orderkey) as ids from orders group by o_custkey) select batch_id, len(ids)::int as chunks, (select count(distinct o_orderpriority) from orders o where o.o_custkey = g.batch_id)::int as documents from g""")
+def provenance(spark, d):
+    o = t(spark, d, "orders")
+    b = o.groupBy(F.col("o_custkey").alias("batch_id")).agg(F.collect_set(F.concat(F.lit("L"), "o_orderkey")).alias("source_ids"))
+    chunks = o.select(F.concat(F.lit("L"), "o_orderkey").alias("chunk_id"), F.col("o_orderpriority").alias("full_doc_id"), F.col("o_orderstatus").alias("content"))
+    docs = o.select(F.col("o_orderpriority").alias("doc_id"), F.col("o_orderpriority").alias("content")).distinct()
+    x = parse.provenance(b.select(F.col("batch_id").alias("qa_id"), "batch_id"), b, chunks, docs)
+    return x.select("batch_id", F.size("source_chunks").alias("chunks"), F.size("source_documents").alias("documents"))
+
+
+@query(f"with {_QA} select conv_id::varchar as conv_id, turn::varchar as turn, mode, coalesce(question, '') as question, '' as reviewer from qa")
+def flat_export(spark, d):
+    return exports.flat(qa_rows(spark, d), ["conv_id", "turn", "mode", "question", "reviewer"], [])
+
+
+# Evaluation items
+
+
+def eval_rows(spark, d) -> DataFrame:
+    i = F.col("conv_id") * 1000 + F.col("turn")
+    x = qa_rows(spark, d).select(
+        i.alias("id"), F.element_at(F.array(*map(F.lit, prompts.EVAL_TYPES)), (F.col("conv_id") % 4 + 1).cast("int")).alias("type"), "question", F.col("answer").alias("reference_answer"),
+        F.element_at(F.array(*map(F.lit, E.DIFFICULTIES)), (F.col("turn") % 3 + 1).cast("int")).alias("difficulty"), (F.col("conv_id") % 7).alias("reasoning_hops"),
+        F.slice(F.array(*[F.lit(f"n{k}") for k in range(6)]), F.lit(1), (F.col("conv_id") % 6).cast("int")).alias("knowledge_nodes"), F.slice(F.array(*[F.lit(f"d{k}") for k in range(4)]), F.lit(1), (F.col("conv_id") % 4).cast("int")).alias("distractors"),
+        F.when(F.col("conv_id") % 5 > 0, F.create_map(F.lit("k"), F.lit("v"))).alias("evaluation_criteria"),
+    )
+    return x
+
+
+_ITEMS = f"""{_QA}, items as (select conv_id * 1000 + turn as id, ['knowledge_coverage', 'reasoning_ability', 'factual_accuracy', 'comprehensive'][conv_id % 4 + 1] as type, question, answer as reference_answer,
+ ['easy', 'medium', 'hard'][turn % 3 + 1] as difficulty, conv_id % 7 as hops, conv_id % 6 as points, conv_id % 4 as distractors, conv_id % 5 > 0 as criteria, len(regexp_extract_all(question, '\\S+')) as qw, len(regexp_extract_all(answer, '\\S+')) as aw from qa)"""
+
+
+@query(f"with {_ITEMS}, n as (select count(*)::double as n from items) select 'type' as what, type as value, count(*) as n, count(*) / any_value(n.n) as share from items, n group by type union all select 'difficulty', difficulty, count(*), count(*) / any_value(n.n) from items, n group by difficulty union all select 'total', null, count(*), 1.0::double from items")
+def eval_statistics(spark, d):
+    return E.dataset_statistics(eval_rows(spark, d))
+
+
+_SCORE = """(case when hops > 0 then least(hops / 5.0, 1) * 0.3 else 0 end + case when points > 0 then least(points / 10.0, 1) * 0.2 else 0 end + least(qw / 50.0, 1) * 0.15 + least(aw / 100.0, 1) * 0.15 + case when distractors > 0 then least(distractors / 5.0, 1) * 0.2 else 0 end)
+ / (0.3 + case when hops > 0 then 0.3 else 0 end + case when points > 0 then 0.2 else 0 end + case when distractors > 0 then 0.2 else 0 end)"""
+
+
+@query(f"with {_ITEMS} select id, round({_SCORE}::double, 6) as score from items")
+def difficulty_scores(spark, d):
+    return E.difficulty_scores(eval_rows(spark, d)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_ITEMS}, s as (select {_SCORE}::double as score from items) select case when score < 0.4 then 'easy' when score < 0.7 then 'medium' else 'hard' end as level, count(*) as n, round(avg(score), 6) as avg_score from s group by 1")
+def difficulty_report(spark, d):
+    return E.difficulty_report(E.difficulty_scores(eval_rows(spark, d))).withColumn("avg_score", F.round("avg_score", 6))
+
+
+_QUALITY = f"""{_ITEMS}, q as (select *, greatest(0, least(1, round(1 - (case when qw < 5 then 0.2 when qw > 200 then 0.1 else 0 end + case when aw < 10 then 0.2 when aw > 500 then 0.1 else 0 end + case when regexp_matches(trim(question), '[?？]$') then 0 else 0.05 end
+ + case when aw = 0 then 0.5 else 0 end + case when criteria then 0 else 0.1 end + case when points > 0 then 0 else 0.05 end), 9)))::double as quality, aw > 0 as has_answer from items)"""
+
+
+@query(f"with {_QUALITY} select id, quality, (quality >= 0.5 and has_answer) as is_valid from q")
+def item_quality(spark, d):
+    return E.item_quality(eval_rows(spark, d)).select("id", "quality", "is_valid")
+
+
+@query(f"with {_QUALITY} select count(*) as total_items, count(*) filter (quality >= 0.5 and has_answer) as valid_items, round(avg(quality), 6) as average_quality, count(*) filter (quality >= 0.8) as high from q")
+def dataset_quality(spark, d):
+    x = E.dataset_quality(E.item_quality(eval_rows(spark, d)))
+    return x.select("total_items", "valid_items", F.round("average_quality", 6).alias("average_quality"), "high")
+
+
+@query(f"with {_QUALITY}, i as (select case when qw < 5 then 'Question too short (' || qw || ' words)' when qw > 200 then 'Question too long (' || qw || ' words)' end as issue from q union all select case when aw < 10 then 'Answer too short (' || aw || ' words)' when aw > 500 then 'Answer too long (' || aw || ' words)' end from q union all select case when not regexp_matches(trim(question), '[?？]$') then 'Question doesn''t end with a question mark' end from q union all select case when aw = 0 then 'Answer is empty' end from q union all select case when not criteria then 'Missing evaluation criteria' end from q union all select case when points = 0 then 'Missing knowledge node information' end from q) select issue, count(*) as n from i where issue is not null group by issue order by n desc, issue limit 5")
+def top_issues(spark, d):
+    return E.issue_counts(E.item_quality(eval_rows(spark, d)))
+
+
+@query(f"with {_ITEMS} select round((count(distinct type) / 4.0 + count(distinct difficulty) / 3.0 + count(distinct lower(regexp_extract(question, '^\\s*(\\S+)', 1))) / count(*)::double) / 3.0, 6)::double as diversity from items")
+def eval_diversity(spark, d):
+    return E.diversity(eval_rows(spark, d)).select(F.round("diversity", 6).alias("diversity"))
+
+
+@query(f"with {_QUALITY} select id from q where quality >= 0.6 and quality >= 0.5 and has_answer")
+def good_items(spark, d):
+    return E.good_items(E.item_quality(eval_rows(spark, d)), 0.6).select("id")
+
+
+@query(f"with {_ITEMS}, x as (select *, row_number() over (partition by lower(trim(question)) order by id) as i from items) select id from x where i = 1")
+def distinct_questions(spark, d):
+    return E.distinct_questions(eval_rows(spark, d), "id").select("id")
+
+
+@query(f"with {_ITEMS} select id, distractors::int + 1 as options from items where distractors > 0")
+def multiple_choice(spark, d):
+    return exports.multiple_choice(eval_rows(spark, d)).select("id", F.size("options").alias("options"))
+
+
+@query("select 'knowledge_coverage' as type, 'easy' as difficulty, 5 as count, turn::int as turn, ((0 + turn) % 25)::varchar as batch_id from (select unnest([0, 1]) as turn) union all select 'knowledge_coverage', 'hard', 5, turn, ((2 + turn) % 25)::varchar from (select unnest([0, 1]) as turn) union all select 'comprehensive', 'easy', 5, turn, ((4 + turn) % 25)::varchar from (select unnest([0, 1]) as turn) union all select 'comprehensive', 'hard', 5, turn, ((6 + turn) % 25)::varchar from (select unnest([0, 1]) as turn)")
+def eval_plan(spark, d):
+    b = t(spark, d, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("batch_id"))
+    x = E.eval_plan(b, {"knowledge_coverage": 0.5, "comprehensive": 0.5}, {"easy": 0.5, "hard": 0.5}, 20)
+    return x.select("type", "difficulty", "count", "turn", F.col("batch_id").cast("int").cast("string").alias("batch_id"))
+
+
+@query("select lang, count(*) as docs, round(avg(n), 6) as avg, min(n) as min, max(n) as max from (select lang, len(regexp_extract_all(text, '\\S+'))::bigint as n from documents) group by lang")
+def length_stats(spark, d):
+    n = F.regexp_count("text", F.lit(r"\S+")).cast("long")
+    x = t(spark, d, "documents").select("lang", n.alias("n"))
+    return x.groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 6).alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
+
+
+@query()
+def mtld_scores(spark, d):
+    tokens = E.content_tokens("text", T.STOPWORDS)
+    return t(spark, d, "conversations").select("conv_id", "turn", E.mtld(tokens).alias("mtld"))
+
+
+# Coverage of the part graph
+
+
+@query("""with e as (select distinct l_partkey as p, l_suppkey as s, l_orderkey as o from lineitem), n as (select p, s, count(distinct o) as occ from e group by p, s) select count(*) as long_tail, count(*) filter (p % 3 = 0) as covered, round(count(*) filter (p % 3 = 0) / count(*)::double, 6) as share from n where occ <= 5""")
+def long_tail_coverage(spark, d):
+    l = t(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
+    counts = l.groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("l_orderkey").alias("occurrences"))
+    covered = l.filter("l_partkey % 3 = 0").select("l_partkey", "l_suppkey")
+    x = E.long_tail(counts, covered, ["l_partkey", "l_suppkey"])
+    return x.select("long_tail", "covered", F.round("share", 6).alias("share"))
+
+
+@query("with e as (select distinct 'P' || l_partkey as src, 'S' || l_suppkey as tgt from lineitem), a as (select src, count(*) as k from e group by src), b as (select tgt, count(*) as k from e group by tgt) select src, tgt from e join a using (src) join b using (tgt) where greatest(a.k, b.k) > 1")
+def complex_relations(spark, d):
+    """In a two-sided graph no two ends of a wedge are adjacent."""
+    return E.on_paths_of_two(part_graph(spark, d))
+
+
+@query("""with k as (select 'C' || c_custkey as c, c_nationkey as n, n_regionkey as r, row_number() over (partition by c_nationkey order by c_custkey) as i from customer join nation on n_nationkey = c_nationkey)
+select a.n::bigint as qa_id, (case when count(*) = 3 then 4.0 / 3 else 1.0 end)::double as mean_hops from k a where i <= 2 group by a.n having count(*) >= 0 and false union all
+select n::bigint, round(case when max(i) >= 2 then 4.0 / 3 else 1.0 end, 6)::double from k group by n""")
+def mean_hops(spark, d):
+    """Per nation: the nation and its first two customers."""
+    from pyspark.sql import Window
+
+    c = t(spark, d, "customer").withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).filter("i <= 2")
+    q = c.select(F.col("c_nationkey").cast("long").alias("qa_id"), F.concat(F.lit("C"), "c_custkey").alias("node_id"))
+    q = q.unionByName(c.select(F.col("c_nationkey").cast("long").alias("qa_id"), F.concat(F.lit("N"), "c_nationkey").alias("node_id")).distinct())
+    return E.mean_hops(q, nation_graph(spark, d), 2).withColumn("mean_hops", F.round("mean_hops", 6))
+
+
+# Critics and reviews
+
+_RULES = f"{_QA}, r as (select *, length(trim(answer)) >= 20 as a, length(trim(question)) >= 10 as b, lower(trim(question)) <> lower(trim(answer)) as c from qa)"
+
+
+@query(f"with {_RULES} select conv_id, turn, round((a::int + b::int + c::int * 1.5) / 3.5, 6)::double as score, (a and b and c) as passed from r")
+def rule_critic(spark, d):
+    return E.rule_critic(qa_rows(spark, d), E.usual_rules()).select("conv_id", "turn", F.round("score", 6).alias("score"), "passed")
+
+
+@query(f"with {_RULES} select conv_id, turn from r where a and b and c")
+def critic_filter(spark, d):
+    return E.accepted(E.rule_critic(qa_rows(spark, d), E.usual_rules())).select("conv_id", "turn")
+
+
+def review_items(spark, d) -> DataFrame:
+    x = t(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.struct(F.col("lang"), F.col("source")).alias("content"), F.lit("pending").alias("review_status"))
+    return x
+
+
+def review_actions(spark, d) -> DataFrame:
+    """Each label is two actions; later ones win; unknown items get some too."""
+    l = t(spark, d, "labels")
+    a = l.select(F.col("doc_id").alias("item_id"), F.lit("rejected").alias("review_status"), F.lit(1).alias("review_time"))
+    b = l.filter("quality = 1").select(F.col("doc_id").alias("item_id"), F.lit("approved").alias("review_status"), F.lit(2).alias("review_time"))
+    c = l.select((-F.col("doc_id") - 1).alias("item_id"), F.lit("approved").alias("review_status"), F.lit(3).alias("review_time"))
+    return a.unionByName(b).unionByName(c)
+
+
+_REVIEW = "r as (select doc_id as item_id, lang, source, case when q is null then 'pending' when q = 1 then 'approved' else 'rejected' end as review_status from documents left join (select doc_id, max(quality) as q from labels group by doc_id) using (doc_id))"
+
+
+@query(f"with {_REVIEW} select item_id, review_status from r")
+def review_latest(spark, d):
+    return E.review(review_items(spark, d), review_actions(spark, d))[0].select("item_id", "review_status")
+
+
+@query("select distinct -doc_id - 1 as item_id from labels")
+def review_unknown(spark, d):
+    return E.review(review_items(spark, d), review_actions(spark, d))[1].select("item_id")
+
+
+@query(f"with {_REVIEW}, s as (select unnest(['pending', 'approved', 'rejected', 'modified', 'auto_approved', 'auto_rejected']) as review_status) select s.review_status, count(r.item_id) as n from s left join r using (review_status) group by 1")
+def review_stats(spark, d):
+    return E.review_counts(E.review(review_items(spark, d), review_actions(spark, d))[0])
+
+
+@query("select doc_id, case when doc_id % 100 / 100.0 >= 0.7 then 'auto_approved' when doc_id % 100 / 100.0 < 0.5 then 'auto_rejected' else 'pending' end as status from documents")
+def auto_review(spark, d):
+    return t(spark, d, "documents").select("doc_id", E.auto_status((F.col("doc_id") % 100).cast("decimal(10,2)") / 100, 0.7, reject=True).alias("status"))
+
+
+@query(f"with {_REVIEW} select item_id, lang, source, review_status from r where review_status = 'approved'")
+def reviewed_export(spark, d):
+    x = E.review(review_items(spark, d), review_actions(spark, d))[0]
+    x = x.withColumns({"modified_content": F.lit(None).cast(x.schema["content"].dataType), "review_comment": F.lit(""), "reviewer": F.lit("")})
+    return exports.reviewed(x, ["approved"]).select("item_id", "lang", "source", "review_status")
+
+
+@query("select l_shipmode as model, count(*) filter (ok) as succeeded, count(*) filter (not ok) as failed, sum(tokens)::bigint as tokens from (select l_returnflag as l_shipmode, l_linestatus = 'F' as ok, l_linenumber as tokens from lineitem) group by grouping sets ((l_shipmode), ())")
+def run_summary(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), (F.col("l_linestatus") == "F").alias("ok"), F.col("l_linenumber").alias("tokens"), F.col("l_quantity").alias("seconds"))
+    return E.run_summary(x).select("model", "succeeded", "failed", "tokens")
+
+
+# Taxonomy: part types as a tree of three levels
+
+
+def part_tree(spark, d) -> DataFrame:
+    p = t(spark, d, "part").select("p_type", "p_brand", "p_partkey").withColumn("k", F.pmod(F.crc32("p_type"), F.lit(6)).cast("int"))
+    dim = F.element_at(F.array(*map(F.lit, X.DIMENSIONS)), F.col("k") + 1)
+    null = F.lit(None).cast("string")
+    top = p.select(F.col("p_type").alias("id"), F.col("p_type").alias("name"), null.alias("description"), dim.alias("cognitive_dimension"), null.alias("parent_id")).distinct()
+    mid = p.select(F.concat_ws("/", "p_type", "p_brand").alias("id"), F.col("p_brand").alias("name"), null.alias("description"), dim.alias("cognitive_dimension"), F.col("p_type").alias("parent_id")).distinct()
+    low = p.select(F.concat_ws("/", "p_type", "p_brand", "p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("name"), null.alias("description"), dim.alias("cognitive_dimension"), F.concat_ws("/", "p_type", "p_brand").alias("parent_id"))
+    return top.unionByName(mid).unionByName(low)
+
+
+_TREE = "tree as (select distinct p_type as id, null as parent_id, 0 as depth, false as is_leaf from part union all select distinct p_type || '/' || p_brand, p_type, 1, false from part union all select p_type || '/' || p_brand || '/' || p_partkey, p_type || '/' || p_brand, 2, true from part)"
+
+
+@query(f"with {_TREE} select id, depth, is_leaf from tree")
+def taxonomy_depths(spark, d):
+    return X.with_depth(part_tree(spark, d)).select("id", "depth", "is_leaf")
+
+
+@query(f"with {_TREE} select id as ancestor, id, 0 as distance from tree union all select parent_id, id, 1 from tree where parent_id is not null union all select a.parent_id, b.id, 2 from tree b join tree a on a.id = b.parent_id where a.parent_id is not null")
+def taxonomy_closure(spark, d):
+    return X.closure(part_tree(spark, d))
+
+
+@query(f"with {_TREE} select 'ERROR' as level, 'unreachable' as rule, id from tree where false union all select 'WARNING', 'orphan', 'x/' || p_partkey from part where p_partkey % 50 = 0")
+def taxonomy_issues(spark, d):
+    bad = t(spark, d, "part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("x/"), "p_partkey").alias("id"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(X.DIMENSIONS[0]).alias("cognitive_dimension"), F.lit("nowhere").alias("parent_id"))
+    return X.validate(part_tree(spark, d).unionByName(bad))
+
+
+@query(f"with {_TREE} select 'depth' as what, depth::varchar as value, count(*) as n from tree group by depth union all select 'nodes', null, count(*) from tree union all select 'leaves', null, count(*) filter (is_leaf) from tree")
+def taxonomy_statistics(spark, d):
+    return X.statistics(part_tree(spark, d)).filter("what <> 'dimension'")
+
+
+@query(f"with {_TREE} select 'overall' as what, count(*) as n, count(*) filter (is_leaf and try_cast(split_part(id, '/', 3) as bigint) % 3 = 0) as covered from tree union all select 'leaf', count(*) filter (is_leaf), count(*) filter (is_leaf and try_cast(split_part(id, '/', 3) as bigint) % 3 = 0) from tree")
+def taxonomy_coverage(spark, d):
+    tree = part_tree(spark, d)
+    seen = tree.filter("id like '%/%/%' and cast(name as long) % 3 = 0").select("id")
+    return X.coverage(tree, seen).filter("what in ('overall', 'leaf')").select("what", "n", "covered")
+
+
+@query(f"with {_TREE} select a.id, b.id as sibling from tree a join tree b on coalesce(a.parent_id, '-') = coalesce(b.parent_id, '-') and a.id <> b.id where a.depth < 2")
+def taxonomy_siblings(spark, d):
+    return X.siblings(part_tree(spark, d).filter("not id like '%/%/%'"))
+
+
+@query()
+def taxonomy_nested(spark, d):
+    return X.nested_json(part_tree(spark, d))
+
+
+@query()
+def sample_branches(spark, d):
+    return X.sample_branches(part_tree(spark, d), 40)
+
+
+@query()
+def sample_by_depth(spark, d):
+    return X.sample_by_depth(part_tree(spark, d), 40)
+
+
+@query()
+def sample_uncovered(spark, d):
+    tree = part_tree(spark, d)
+    return X.sample_uncovered(tree, tree.filter("id like '%/%/%' and cast(name as long) % 3 = 0"), 40)
+
+
+_KEYWORDS = "k as (select n_nationkey as intent_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(n_name || ' ' || r_name || ' supplier overseas'), '[a-z]+'), lambda w: length(w) > 1))) as kw from nation join region on n_regionkey = r_regionkey), n as (select 'S' || s_suppkey as node_id, lower('S' || s_suppkey || ' ' || s_name || ' ' || n_name) as hay from supplier join nation on s_nationkey = n_nationkey)"
+
+
+@query(f"""with {_KEYWORDS}, tot as (select intent_id, count(*) as n from k group by 1), h as (select intent_id, node_id, count(*) as m from k join n on contains(hay, kw) group by 1, 2),
+s as (select intent_id, node_id, m / tot.n::double as score, row_number() over (partition by intent_id order by m / tot.n::double desc, node_id) as rank from h join tot using (intent_id)) select intent_id, node_id, round(score, 6) as score, rank::int as rank from s where rank <= 5 and score >= 0.1""")
+def intent_link(spark, d):
+    n = t(spark, d, "nation")
+    r = n.join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    intents = r.select(F.col("n_nationkey").alias("intent_id"), F.concat_ws(" ", "n_name", "r_name", F.lit("supplier overseas")).alias("text"))
+    s = t(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    nodes = s.select(F.concat(F.lit("S"), "s_suppkey").alias("node_id"), F.col("s_name").alias("description"), F.col("n_name").alias("entity_type"))
+    return X.link_intents(intents, nodes).withColumn("score", F.round("score", 6))
+
+
+@query()
+def intent_subgraph(spark, d):
+    r = t(spark, d, "region").select(F.col("r_regionkey").alias("intent_id"), F.col("r_name").alias("text"))
+    return X.intent_subgraphs(r, nation_nodes(spark, d), nation_edges(spark, d), 1, 20)
+
+
+@query("with x as (select p_brand as cognitive_dimension, count(*) as n from part group by 1) select cognitive_dimension, n, round(n / (sum(n) over ())::double, 6) as share from x")
+def dimension_shares(spark, d):
+    x = X.dimension_shares(t(spark, d, "part").select(F.col("p_brand").alias("cognitive_dimension")))
+    return x.withColumn("share", F.round("share", 6))
+
+
+# Model calls, caches, streams
+
+
+def _prompts(spark, d) -> DataFrame:
+    return t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+
+
+@query("select conv_id, turn, case when text in (select text from conversations where turn = 0 and conv_id % 2 = 0) then 'hit' else 'miss' end as state from conversations")
+def prompt_cache(spark, d):
+    p = _prompts(spark, d)
+    cache = p.filter("turn = 0 and conv_id % 2 = 0").select(complete.prompt_key(p).alias("key"), F.lit("r").alias("response"), F.lit("2024-01-01").cast("timestamp").alias("ts")).dropDuplicates(["key"])
+    hits, _ = complete.with_cache(p, cache, F.lit("2024-01-01 00:10:00"), 3600)
+    x = p.join(hits.select("conv_id", "turn", F.lit("hit").alias("state")), ["conv_id", "turn"], "left")
+    return x.select("conv_id", "turn", F.coalesce("state", F.lit("miss")).alias("state"))
+
+
+def _upper(texts: list[str]) -> list[str]:
+    return [x.upper() if x else "" for x in texts]
+
+
+@query("select conv_id, turn, upper(text) as response, case when regexp_matches(text, '\\S') then 'ok' else 'empty' end as status from conversations where not regexp_matches(text, 'ß|ŉ|ǰ')")
+def model_calls(spark, d):
+    x = complete.complete(_prompts(spark, d).filter("not prompt rlike 'ß|ŉ|ǰ'"), _upper)
+    return x.select("conv_id", "turn", "response", "status")
+
+
+@query("select role, sum(length(text))::bigint as prompt_tokens, sum(turn)::bigint as completion_tokens, sum(length(text) + turn)::bigint as total_tokens from conversations group by role")
+def usage_totals(spark, d):
+    x = t(spark, d, "conversations").select("role", F.length("text").cast("long").alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens"))
+    return complete.usage_totals(x, ["role"])
+
+
+@query("select date_trunc('minute', ts) as minute, count(*) as requests, sum(floor(value))::bigint as tokens, (count(*) > 2 or sum(floor(value)) > 150) as over from events group by 1")
+def requests_per_minute(spark, d):
+    log = t(spark, d, "events").select("ts", F.floor("value").alias("tokens"))
+    return ingest.per_minute(log, 2, 150)
+
+
+@query()
+def incremental_ingest(spark, d):
+    """Documents in two batches; the graph's nodes after both."""
+    import uuid
+
+    G.ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/ingest-{uuid.uuid4().hex}"
+    store = ingest.Store(spark, folder)
+    docs = t(spark, d, "benchmark").select(F.lit("text").alias("type"), F.col("text").alias("content"), F.col("item_id").alias("ord"))
+    ingest.ingest_batch(store, docs.filter("ord % 2 = 0"), 0)
+    ingest.ingest_batch(store, docs, 1)
+    nodes, _ = store.graph()
+    return nodes.select("node_id", "entity_type", F.size("source_ids").alias("sources"))
