@@ -36,7 +36,7 @@ def merged_prompts(chunks: DataFrame, per_prompt: int, entity_types: list[str])
     rank = F.row_number().over(Window.partitionBy("full_doc_id").orderBy("pos", "chunk_id"))
     x = chunks.withColumn("g", F.floor((rank - 1) / per_prompt)).groupBy("full_doc_id", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "content", "language"))).alias("c"))
     body = F.array_join(F.transform("c", lambda r, i: F.concat(F.lit("[Text "), (i + 1).cast("string"), F.lit("]\n"), r["content"])), "\n\n")
-    x = x.withColumns({"text": body, "language": F.element_at("c", 1)["language"], "chunk_ids": F.transform("c", lambda r: r["chunk_id"])})
+    x = x.withColumns({"text": body, "language": F.try_element_at("c", F.lit(1))["language"], "chunk_ids": F.transform("c", lambda r: r["chunk_id"])})
     x = x.join(F.broadcast(templates(chunks.sparkSession)), "language")
     group = F.md5(F.array_join("chunk_ids", ","))
     return x.select(group.alias("group_id"), "chunk_ids", filled(F.col("template"), types=F.lit(", ".join(entity_types)), text=F.col("text")).alias("prompt"))
@@ -71,9 +71,9 @@ def mentions(responses: DataFrame, id_col: str = "chunk_id", text_col: str = "re
     Names are upper-cased and keep their quotes unless bare_names; records with under four fields or without a name go.
     """
     r = parse_records(responses, id_col, text_col).filter(F.size("fields") >= 4)
-    kind = F.regexp_replace(F.lower(F.element_at("fields", 1)), "^[^a-z_]+|[^a-z_]+$", "")
+    kind = F.regexp_replace(F.lower(F.try_element_at("fields", F.lit(1))), "^[^a-z_]+|[^a-z_]+$", "")
     r = r.withColumn("kind", kind)
-    f = lambda i: F.element_at("fields", i)
+    f = lambda i: F.get("fields", F.lit(i - 1))
     name = (lambda c: F.regexp_replace(T.clean(c), "^\"|\"$", "")) if bare_names else T.clean
     entities = r.filter("kind = 'entity'").select(name(F.upper(f(2))).alias("entity_name"), T.clean(F.upper(f(3))).alias("entity_type"), T.clean(f(4)).alias("description"), F.col(id_col).alias("source_id"))
     relations = r.filter("kind = 'relationship'").select(name(F.upper(f(2))).alias("src_id"), name(F.upper(f(3))).alias("tgt_id"), T.clean(f(4)).alias("description"), F.col(id_col).alias("source_id"))

@@ -38,7 +38,7 @@ def only_answers(responses: DataFrame, id_col: str = "batch_id") -> DataFrame:
     t = T.without_thoughts("response")
     labelled = _after(t, _A, r"\n\s*" + _Q)
     after = F.regexp_extract(t, r"(?s)^[^\n]*[?？]\s*\n+(.+)$", 1)
-    last = F.element_at(F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(p) != ""), -1)
+    last = F.try_element_at(F.filter(F.split(t, r"\n\s*\n"), lambda p: F.trim(p) != ""), F.lit(-1))
     a = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (labelled, after, last, t)])
     return responses.select(F.col(id_col), a.alias("answer")).filter("answer is not null")
 
@@ -72,7 +72,7 @@ def chain_of_thought(responses: DataFrame, id_col: str = "batch_id") -> DataFram
     x = responses.select(F.col(id_col), "response", _after(t, _Q, rest).alias("question"), _after(t, path, rest).alias("reasoning_path"), _after(t, think, rest).alias("thinking"), _after(t, final, rest).alias("final"))
     paragraphs = F.filter(F.split("response", r"\n\s*\n"), lambda p: F.trim(p) != "")
     x = x.withColumn("p", paragraphs).withColumn("s", F.filter(F.split("response", r"(?<=[.。!！?？])\s+"), lambda p: F.trim(p) != ""))
-    tail = F.when(F.size("p") > 1, F.element_at("p", -1)).otherwise(F.element_at("s", -1))
+    tail = F.when(F.size("p") > 1, F.try_element_at("p", F.lit(-1))).otherwise(F.try_element_at("s", F.lit(-1)))
     head = F.when(F.size("p") > 1, F.array_join(F.slice("p", F.lit(1), F.size("p") - 1), "\n\n")).otherwise(F.array_join(F.slice("s", F.lit(1), F.greatest(F.size("s") - 1, F.lit(0))), " "))
     return x.select(
         id_col, "question", "reasoning_path", F.when(F.col("thinking") != "", F.col("thinking")).otherwise(F.trim(head)).alias("thinking_process"),

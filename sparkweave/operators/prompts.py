@@ -36,7 +36,7 @@ def one_hop(batches: DataFrame) -> DataFrame:
     The anchor is the first node (or the first end of the first edge); edges that touch it stay, then
     nodes that are ends of those edges, the anchor first.
     """
-    anchor = F.coalesce(F.element_at("nodes", 1)["node_id"], F.element_at("edges", 1)["src"])
+    anchor = F.coalesce(F.try_element_at("nodes", F.lit(1))["node_id"], F.try_element_at("edges", F.lit(1))["src"])
     x = batches.withColumn("a", F.when((F.size("nodes") > 0) | (F.size("edges") > 0), anchor))
     edges = F.slice(F.filter("edges", lambda e: (e["src"] == F.col("a")) | (e["tgt"] == F.col("a"))), 1, 3)
     x = x.withColumn("edges", edges)
