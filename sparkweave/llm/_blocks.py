@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Stands for a null doc_id; smaller than every other.
 NULL_ID = np.iinfo(np.int64).min
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 BLOCK_SCHEMA = "block long, ids binary, lens binary, body binary, raw long, rest binary"
 _COLUMNS = ("ids", "lens", "body", "rest")
 
@@ -40,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, n at least."""
     if len(_POW[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 3 << 19)
         for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             out = np.full(size, b, np.uint64)
             out[0] = 1
@@ -131,8 +132,7 @@ def pack(docs: DataFrame, carry: bool = False, block_bytes: int = BLOCK_BYTES) -
     columns of docs come along, whatever their names, for Block.columns().
     """
     spark = docs.sparkSession
-    shared_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    prepare(spark)
 
     def to_blocks(batches):
         task, seq = TaskContext.get().partitionId(), 0
@@ -205,6 +205,12 @@ def with_small(df: DataFrame, small: DataFrame, on: str, limit: int = 10_000) ->
     return df.join(F.broadcast(small) if few else small, on, "left")
 
 
+def prepare(spark) -> None:
+    """Arrow batches of a bounded size, as texts may be long; and a checkpoint folder."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    shared_checkpoint_dir(spark)
+
+
 def shared_checkpoint_dir(spark) -> None:
     """Use the cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
     sc = spark.sparkContext
@@ -243,10 +249,11 @@ def sent(block: int, hashes: np.ndarray, values: np.ndarray | None, buckets: int
     })
 
 
-def exchange(rows: DataFrame, decide, value_type=None) -> DataFrame:
+def exchange(rows: DataFrame, decide, value_type=None, press: bool = False) -> DataFrame:
     """Per bucket: decide(hashes, values, part) -> one answer per entry, sent back to the entry's block.
 
     hashes and values are those of all blocks one after another; part numbers the block of each entry.
+    press: answers are compressed; see pressed().
     """
 
     def one(table: pa.Table) -> pa.Table:
@@ -256,11 +263,12 @@ def exchange(rows: DataFrame, decide, value_type=None) -> DataFrame:
         if value_type is not None:
             values = np.concatenate([np.frombuffer(x.as_buffer(), value_type) for c in table.column("v").chunks for x in c])
         answer = decide(np.concatenate(hs), values, np.repeat(np.arange(len(n)), n))
+        shut = zstandard.ZstdCompressor(level=1).compress if press else bytes
         cut = np.cumsum([0, *n])
         return pa.table({
             "block": table.column("block"),
             "bucket": table.column("bucket"),
-            "r": pa.array([answer[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
+            "r": pa.array([shut(answer[i:j].tobytes()) for i, j in zip(cut[:-1], cut[1:])], pa.binary()),
         })
 
     return rows.groupBy("bucket").applyInArrow(one, BACK_SCHEMA)
@@ -302,6 +310,12 @@ def each_block(blocks: DataFrame, fn, schema: str) -> DataFrame:
     return blocks.mapInArrow(run, schema)
 
 
+def pressed(got: dict) -> dict:
+    """Compressed answers by bucket, opened."""
+    opened = zstandard.ZstdDecompressor()
+    return {k: opened.decompress(v) for k, v in got.items()}
+
+
 def answers_for(hashes: np.ndarray, got: dict, buckets: int, kind) -> np.ndarray:
     """The answers of all buckets in the order of the sorted hashes that were sent."""
     out = np.zeros(len(hashes), kind)
@@ -310,6 +324,16 @@ def answers_for(hashes: np.ndarray, got: dict, buckets: int, kind) -> np.ndarray
     return out
 
 
+def repeated(h: np.ndarray, many: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For exchange(): which hashes come from two blocks, or are marked as repeated within one."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    out = many.copy()
+    out[order[1:][same]] = 1
+    out[order[:-1][same]] = 1
+    return out
+
+
 def distinct_by_doc(hashes: np.ndarray, doc: np.ndarray):
     """Sorted distinct hashes, the smallest doc of each, and whether another doc has it too."""
     order = np.lexsort((doc, hashes))

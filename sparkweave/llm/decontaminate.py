@@ -215,6 +215,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.
     shuffled.  Null or tokenless texts match nothing; repeated rows match alike; a null doc_id
     or item_id stays null; other columns are ignored.
     """
+    B.prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = max(1, -(-items.count() // block_items))
     out = None
@@ -227,7 +228,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99) -> DataFrame:
     """The rows of docs (with all columns) whose doc_id has no leak; rows with a null doc_id stay."""
-    B.shared_checkpoint_dir(docs.sparkSession)
+    B.prepare(docs.sparkSession)
     bad = benchmark_leaks(docs, benchmark, max_edits, recall).filter("doc_id is not null").select(F.col("doc_id").alias("_leaky")).distinct().checkpoint()
     few = bad.limit(100_001).count() <= 100_000
     return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"] == bad["_leaky"], "left_anti")

@@ -149,7 +149,7 @@ def _kept() -> Column:
 
 def _calibrated(docs, labels, stratum, limit, delta, quantile, seed) -> tuple[DataFrame, Column, DataFrame]:
     """Counts of docs, the score in units of the rules' scales, and the certified cutoffs."""
-    B.shared_checkpoint_dir(docs.sparkSession)
+    B.prepare(docs.sparkSession)
     stats = text_counts(docs, stratum).checkpoint()
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     held = stats.filter("not base_failed").join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)))

@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._blocks import prepare
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # the greedy run of [0-9a-f]+, so a shorter run never matches
@@ -106,6 +108,8 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
 
+    prepare(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             out = {c.split()[0]: [] for c in SCHEMA.split(", ")}
