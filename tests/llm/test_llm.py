@@ -281,6 +281,32 @@ def test_near_duplicates(docs, none, small, monkeypatch):
     assert near_dup.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("slice_docs", [4096, 32])
+def test_near_duplicates_of_copies(spark, slice_docs, monkeypatch):
+    """An original, many copies near it, and for each copy a derivative that is near the copy only."""
+    monkeypatch.setattr(near_dup, "SLICE_DOCS", slice_docs, raising=False)
+    rng = random.Random(11)
+    original = prose(rng, 120).split()
+
+    def edit(words, places):
+        out = list(words)
+        for i in places:
+            out[i] = f"e{rng.randrange(10**9)}"
+        return out
+
+    data = [(0, original)]
+    for k in range(300):
+        a, b, c, d = rng.sample(range(8, 112, 8), 4)
+        copy = edit(original, [a, b])
+        data += [(1000 + k, copy), (2000 + k, edit(copy, [c, d]))]
+    data += [(5000, prose(rng, 60).split()), (5000, original + ["more"]), (5001, prose(rng, 60).split())]
+    bags = {d: set(bag(" ".join(w))) for d, w in data}
+    assert all(len(bags[0] & bags[2000 + k]) < 0.8 * len(bags[0] | bags[2000 + k]) for k in range(300))
+    assert all(len(bags[1000 + k] & bags[2000 + k]) >= 0.8 * len(bags[1000 + k] | bags[2000 + k]) for k in range(300))
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string").repartition(3)
+    assert rows(near_dup.near_duplicates(table)) == Counter((d, 5001 if d == 5001 else 0) for d, _ in data)
+
+
 def test_prob_min_hash_estimates():
     a, b = {1: 3, 2: 1, 3: 5, 4: 1}, {1: 3, 2: 2, 3: 1, 5: 4}
     m = 20000
