@@ -9,6 +9,7 @@ reported if its best target name is sensitive and it looks like a secret itself.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -29,15 +30,19 @@ NAME_SCORE = {
     "credential": 3, "credentials": 3, "auth": 2, "bearer": 2, "cert": 1, "salt": 1, "key": 1,
     "name": -2, "id": -1, "url": -2, "uri": -2, "path": -2, "file": -2, "length": -3, "count": -3, "type": -2, "field": -2, "expiry": -3, "ttl": -3,
 }
-PLACEHOLDER = re.compile(r"x{4,}|\*{3,}|changeme|example|placeholder|your[_-]|dummy|todo|none|null|true|false|undefined", re.I)
+PLACEHOLDER = re.compile(r"x{4}|\*{3}|changeme|example|placeholder|your[_-]|dummy|todo|none|null|true|false|undefined", re.I)
+PLACEHOLDER_AT = re.compile(f"(?={PLACEHOLDER.pattern})", re.I)
 WORTH_LEXING = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer", re.I | re.A)
+#: Possessive, so that names, blanks and literals of any length take linear time.
 PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,80})["']?[\x20\t]{0,4}(?::=|=>|[:=])[\x20\t]{0,4}(?=["'`$\w+/])"""
+    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?=["'`$\w+/])"""
 )
 VALUE = re.compile(
-    r""""((?:[^"\\\n]|\\.){0,4000})"|'((?:[^'\\\n]|\\.){0,4000})'|`([^`\n]{0,4000})`|\$\{?([A-Za-z_]\w{0,80})\}?|([A-Za-z0-9+/_.=-]{1,4000})"""
+    r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{?([A-Za-z_]\w*+)\}?"""
 )
-PLUS = re.compile(r"[\x20\t]{0,4}\+[\x20\t]{0,4}")
+BARE = re.compile(r"[A-Za-z0-9+/_.=-]++")
+NAME = re.compile(r"[A-Za-z_][\w.-]*+")
+PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -48,11 +53,22 @@ def name_score(name: str) -> int:
     return max([0, *found]) + min([0, *found])
 
 
-def literal_score(value: str) -> int:
-    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.search(value):
-        return 0
-    kinds = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value) + any(not c.isalnum() for c in value)
-    return (kinds >= 2) + (len(set(value)) >= 8) + (len(value) >= 16)
+def literal_scores(text: str, starts: list[int], end: int) -> dict[int, int]:
+    """Scores of the literals that end together, by start, in one pass from the last one."""
+    first, seen, kinds, out, at = min(starts), set(), set(), {}, end
+    held = PLACEHOLDER.search(text, first, end)
+    held = held.start() if held else -1
+    if held >= 0 and len(starts) > 1:
+        held = max(m.start() for m in PLACEHOLDER_AT.finditer(text, first, end))
+    for s in sorted(starts, reverse=True):
+        new = set(text[s:at]) - seen
+        seen |= new
+        at = s
+        for c in new:
+            kinds |= {k for k, on in enumerate((c.isdigit(), c.islower(), c.isupper(), not c.isalnum(), c.isspace())) if on}
+        size = end - s
+        out[s] = 0 if size < 8 or 4 in kinds or held >= s else (len(kinds) >= 2) + (len(seen) >= 8) + (size >= 16)
+    return out
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
@@ -61,25 +77,44 @@ def lexed(text: str) -> list[tuple[int, int]]:
         return []
     held: dict[str, list[tuple[int, int]]] = {}
     best: dict[tuple[int, int], int] = {}
+    runs, joined = [], {}  # bare runs (start, end), and the plus after an end: each found once, however many values end there
     for m in PAIR.finditer(text):
         name, at, spans = m[1], m.end(), []
-        while v := VALUE.match(text, at):
-            for g in (1, 2, 3):
-                if v[g] is not None:
-                    spans.append(v.span(g))
-            if v[4] is not None:
-                spans += held.get(v[4], [])
-            elif v[5] is not None:
-                spans += held.get(v[5], [v.span(5)] if text[at - 1 : at] != "+" else [])
-            plus = PLUS.match(text, v.end())
-            if not plus:
+        while True:
+            if v := VALUE.match(text, at):
+                end = v.end()
+                for g in (1, 2, 3):
+                    if v[g] is not None:
+                        spans.append(v.span(g))
+                if v[4] is not None:
+                    spans += held.get(v[4], [])
+            else:
+                k = bisect.bisect(runs, (at, len(text)))
+                if k and at < runs[k - 1][1]:
+                    end = runs[k - 1][1]
+                elif v := BARE.match(text, at):
+                    end = v.end()
+                    runs.insert(k, (at, end))
+                else:
+                    break
+                used = NAME.match(text, at, end)
+                used = held.get(used[0]) if used and used.end() == end else None
+                spans += used if used is not None else [(at, end)] if text[at - 1 : at] != "+" else []
+            if end not in joined:
+                plus = PLUS.match(text, end)
+                joined[end] = plus and plus.end()
+            if not joined[end]:
                 break
-            at = plus.end()
+            at = joined[end]
         held[name] = spans
         score = name_score(name)
         for s in spans:
             best[s] = max(best.get(s, 0), score)
-    return sorted(s for s, score in best.items() if score >= 2 and score + literal_score(text[s[0] : s[1]]) >= 4)
+    by_end: dict[int, list[int]] = {}
+    for (a, b), score in best.items():
+        if score >= 2:
+            by_end.setdefault(b, []).append(a)
+    return sorted((a, b) for b, starts in by_end.items() for a, score in literal_scores(text, starts, b).items() if score + best[a, b] >= 4)
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -184,6 +185,22 @@ def test_secrets(spark, none):
     assert secret_scan.name_score("dbPassword") >= 3 and secret_scan.name_score("passwordLength") < 3
 
 
+def test_secrets_of_any_length():
+    lexed = lambda t: [t[a:b] for a, b in secret_scan.lexed(t)]
+    value, gap = "Zq8-rT5_xW2!", " " * 300
+    assert lexed(f'encryption_key        = "{value}"') == lexed(f'encryption_key{gap}={gap}"{value}"') == [value]
+    assert lexed(f'K1{gap}= "{value}"\nauth_key ={gap}K1') == lexed(f'K1 = "{value}"\nauth_key = ""{gap}+{gap}K1') == [value]
+    assert lexed(f"{'part_' * 40}auth_key = '{value}'") == lexed(f"{'K' * 200} = '{value}'\nauth_key = ${{{'K' * 200}}}") == [value]
+    long = "".join(random.Random(1).choices("abcdefghi0123456789ABC", k=10_000))
+    for q in ('"', "'", "`", ""):
+        assert lexed(f"signing_key = {q}{long}{q} end") == [long]
+    started = time.monotonic()
+    for t in ("token=" * 30_000, "a=" * 100_000, "key" + " " * 200_000, "a=" * 9_000 + "key" + " " * 100_000, 'key="' + "x=" * 50_000):
+        secret_scan.lexed(t)
+    assert time.monotonic() - started < 20
+    assert secret_scan.literal_scores("abcdexample1234567", [0, 4, 11], 18) == {0: 0, 4: 0, 11: 0} and secret_scan.literal_scores(f"xxxx{value}", [0, 1, 4], 16) == {0: 0, 1: 2, 4: 2}
+
+
 def test_personal_data(spark, none):
     t = "a@b.c_d@e.f 1.2.3.4.5.6.7.8 300.1.1.1 card 4111 1111-1111 1111 or +1 (555) 123-4567 é x@y.zz +12 5"
     long = "1 2 " * 6000
