@@ -4,11 +4,15 @@ Positions come from the text between matches: a regular expression's matches and
 pieces that splitting by it leaves alternate, so running sums of their lengths are offsets.
 
 Bootstrapping: tokens with a digit or an at-sign are *mentions*; the words around a mention
-are its lexical *patterns*.  Mentions inside spans of the fixed patterns are seeds.  On the
+are its lexical *patterns*; there a neighbouring mention stands as a class token, `@` or `0`,
+and the start of the text as `@^` (no other word has a digit or an at-sign).  Mentions inside spans of the fixed patterns are seeds.  On the
 graph of (pattern, instance) counts over the whole corpus, a pattern's confidence is the
 smoothed share of its mentions whose instances are trusted, and an instance's trust is the
 noisy-or of its patterns' confidences; a few rounds of both spread trust from the seeds.
-Mentions in the slot of a pattern with high confidence and enough distinct seeds are reported.
+Mentions in the slot of a pattern with high confidence and enough distinct seeds are reported,
+whatever their shape.  An instance of fewer than SHORT characters is too common to vouch for its
+patterns: it is reported and counts against them, but gains no trust, and as a piece of a longer
+span (`555` of a telephone number) it is not an instance.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 SPACES = r"[\x20\x09-\x0D]+"
 SPAN = "array<struct<b:int,e:int,m:string,g:string,n:string>>"
 _STEP = 500
+SHORT = 4
 
 
 def located(df: DataFrame, out: str, pattern: str, where: Column) -> DataFrame:
@@ -104,16 +109,23 @@ def mentions(df: DataFrame) -> DataFrame:
     """Adds (b, e, i: instance, seed, patterns) of each token of t with a digit or an at-sign; base has the seeds."""
     df = located(df, "found", MENTION, F.col("t").rlike("[0-9@]"))
     lead, tail = r"^[^0-9A-Za-z+]+", r"[^0-9A-Za-z]+$"
-    left_words = r"((?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"
+    left_words = r"((?:[^\x20]+\x20)?[^\x20]+)\x20?$"
+    token = lambda x: F.when(x["m"].contains("@"), "@").otherwise("0")
+    at = lambda k: F.get("found", k)
+    nothing = F.lit("")
 
-    def core(x):
+    def core(x, k):
         cut = F.length(x["m"]) - F.length(F.regexp_replace(x["m"], lead, ""))
         inner = F.regexp_replace(F.regexp_replace(x["m"], lead, ""), tail, "")
-        left = F.regexp_replace(F.lower(F.regexp_extract(F.right(x["g"], F.lit(120)), left_words, 1)), SPACES, " ")
-        right = F.lower(F.regexp_extract(F.left(x["n"], F.lit(120)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+        # Two words to the left reach over two mentions at most.
+        before = F.when(k > 0, F.concat(F.when(k > 1, token(at(k - 2))).otherwise("@^"), F.lit(" "), at(k - 1)["g"], F.lit(" "), token(at(k - 1)), F.lit(" "))).otherwise("@^ ")
+        after = F.when(k + 1 < F.size("found"), F.concat(F.lit(" "), token(at(k + 1)))).otherwise(nothing)
+        one_space = lambda t: F.regexp_replace(t, SPACES, " ")
+        left = F.lower(F.regexp_extract(F.right(one_space(F.concat(before, x["g"])), F.lit(120)), left_words, 1))
+        right = F.lower(F.regexp_extract(F.left(one_space(F.concat(x["n"], after)), F.lit(120)), r"^\x20?([^\x20]+)", 1))
         return F.struct((x["b"] + cut).alias("b"), (x["b"] + cut + F.length(inner)).alias("e"), inner.alias("i"), left.alias("left"), right.alias("right"))
 
-    df = df.withColumn("found", F.filter(F.transform("found", core), lambda x: (F.length(x["i"]) >= 4) & (x["left"] != "")))
+    df = df.withColumn("found", F.filter(F.transform("found", core), lambda x: x["i"] != ""))
 
     def shaped(x):
         near = F.element_at(F.split(x["left"], " "), -1)
@@ -121,7 +133,8 @@ def mentions(df: DataFrame) -> DataFrame:
         seed = F.exists("base", lambda s: (s["b"] < x["e"]) & (s["e"] > x["b"]))
         return F.struct(x["b"].alias("b"), x["e"].alias("e"), x["i"].alias("i"), seed.alias("seed"), F.array_distinct(F.array_compact(shapes)).alias("patterns"))
 
-    return df.withColumn("mentions", F.transform("found", shaped)).drop("found")
+    shaped_all = F.transform("found", shaped)
+    return df.withColumn("mentions", F.filter(shaped_all, lambda x: ~x["seed"] | (F.length(x["i"]) >= SHORT))).drop("found")
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, smoothing: float = 1.0) -> DataFrame:
@@ -133,7 +146,7 @@ def score_patterns(edges: DataFrame, rounds: int = 3, smoothing: float = 1.0) ->
             F.sum(F.when(F.col("fixed"), 1).otherwise(0)).alias("seeds"),
         )
         if step + 1 < rounds:
-            spread = edges.drop("seed").join(patterns.filter("seeds > 0"), "pattern").groupBy("instance").agg(
+            spread = edges.drop("seed").filter(F.length("instance") >= SHORT).join(patterns.filter("seeds > 0"), "pattern").groupBy("instance").agg(
                 (1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("said")
             )
             trust = trust.select("instance", "fixed").join(spread, "instance", "left").select("instance", "fixed", F.when(F.col("fixed"), 1.0).otherwise(F.coalesce("said", F.lit(0.0))).alias("trust"))
@@ -160,7 +173,7 @@ def find_personal_data(docs: DataFrame, confidence: float = 0.6, min_seeds: int
     )
     edges = told.groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.max("seed").alias("seed")).checkpoint()
     good = score_patterns(edges, rounds).filter((F.col("confidence") >= confidence) & (F.col("seeds") >= min_seeds)).select("pattern")
-    new = told.filter(~F.col("seed") & (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= 4)).join(good, "pattern", "left_semi")
+    new = told.filter(~F.col("seed")).join(good, "pattern", "left_semi")
     new = new.groupBy("doc_id", "h").agg(F.collect_set(F.struct("b", F.lit(4).alias("k"), "e")).alias("added"))
     out = held.join(new.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "hh"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     names = F.array(*map(F.lit, KINDS))

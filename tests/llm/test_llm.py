@@ -213,6 +213,21 @@ def test_personal_data(spark, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_contexts_of_any_mention(spark):
+    """At-sign identifiers, few digits, short ones and neighbours of other mentions are found in known slots."""
+    texts = {i: f"please contact: u{i}@x.org today" for i in range(6)}
+    texts |= {10 + i: f"their number: {2000 + i} v{i}@x.org end" for i in range(6)}
+    texts |= {20 + i: f"w{i}@x.org wrote  this" for i in range(6)} | {30 + i: f"call {i} times +1 555 123 45{i}7 now" for i in range(6)}
+    new = {
+        100: ("please contact: jane.doe@intranet today", ["jane.doe@intranet"]), 101: ("please contact: K7-ABQX today", ["K7-ABQX"]), 102: ("please contact: k7 today", ["k7"]),
+        103: ("their number: 2024 QX99812 end", ["QX99812"]), 104: ("K8-ABQX wrote this", ["K8-ABQX"]), 105: ("other thing: K9-ABQX here", []), 106: ("chapter 555 and 123 of @ it", []),
+    }
+    table = spark.createDataFrame([*texts.items(), *((d, t) for d, (t, _) in new.items())], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(table).collect()}
+    for d, (t, want) in new.items():
+        assert [t[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[d].split(",") if s) if k == "context"] == want, t
+
+
 def test_scores(docs, none):
     low = lambda t: WORD.findall((t or "").translate(LOW)) + [None]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0
