@@ -242,13 +242,62 @@ def test_scores(docs, none):
     assert lm_score.score_documents(none).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over the first byte, and what follows it, the bit probabilities sum to one."""
-    counts = lm_score.table_counts([b"abba", b"abab", b"ba"]).astype(np.int32)
-    weights = lm_score.learn_weights([b"abba", b"abab", b"ba"], counts)
-    model = lm_score.Model(counts, weights)
-    total = sum(10 ** lm_score.spelled([bytes([a])], model)[0] for a in range(256))
-    assert 0 < total <= 1.000001
+def test_bits_by_plain_python():
+    """Tables, Huffman bits and mixing against dictionaries and loops; no context crosses documents."""
+    texts = ["Abba abab  baab", "", "ab abba\n\nba", "\u00e9 ab Abba", "abab baab"]
+    block = B.Block.of(range(len(texts)), [t.encode() for t in texts])
+    text = lm_score.Running(block)
+    code = lm_score.Code(np.bincount(text.byte, text.times, 256))
+    assert sum(2.0 ** -int(n) for n in code.size) == 1
+    own = lm_score.Learner(code, 20)
+    own.add(text, rate=0.0)
+    got = lm_score.Model(code, own.counts, own.weights).log2_windows(text)[text.of]
+
+    def bits():
+        for t in texts:
+            data = b"\n" * 6 + b"".join(w.encode() + b" " for w in WORD.findall(t.translate(LOW))) + b"\n"
+            for i in range(6, len(data)):
+                path = ()
+                for j in range(int(code.size[data[i]])):
+                    bit = int(code.bit[code.first[data[i]] + j])
+                    yield [(k, data[i - k : i], path) for k in lm_score.ORDERS], bit, j == 0
+                    path += (bit,)
+
+    counts = defaultdict(lambda: [0, 0])
+    for contexts, bit, _ in bits():
+        for c in contexts:
+            counts[c][bit] += 1
+    want = []
+    for contexts, bit, first in bits():
+        dot = 0.3 * sum(math.log((counts[c][1] + 0.4) / (counts[c][0] + 0.4)) for c in contexts)
+        log = -math.log2(1 + math.exp(-dot if bit else dot))
+        want = [*want, log] if first else [*want[:-1], want[-1] + log]
+    assert got == pytest.approx(want, abs=2e-3)
+
+
+def test_weights_are_learned_online():
+    rng = random.Random(3)
+    words = [prose(rng, 1) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=300)).encode() for _ in range(164)]
+    *runs, last = [lm_score.Running(B.Block.of(range(4), texts[i : i + 4])) for i in range(0, 164, 4)]
+    code = lm_score.Code(np.bincount(runs[0].byte, runs[0].times, 256))
+    own = lm_score.Learner(code, 18)
+    for r in runs:
+        own.add(r)
+    bits = lambda w: (lm_score.Model(code, own.counts, w).log2_windows(last) * last.times).sum()
+    assert bits(own.weights) > bits(np.full_like(own.weights, 0.3))
+
+
+def test_scores_tell_what_occurs_elsewhere(spark):
+    """Held out or not, a text that another document holds too scores apart; and the model beats the base on held-out text."""
+    rng = random.Random(8)
+    words = [prose(rng, 1) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=80)) for _ in range(60)]
+    out = lm_score.score_documents(spark.createDataFrame(list(enumerate(texts + texts[:10])), "doc_id long, text string")).collect()
+    of = {r["doc_id"]: r["bits_per_byte"] for r in out}
+    twice = [of[i] for i in range(10)] + [of[60 + i] for i in range(10)]
+    assert np.median(twice) < min(of[i] for i in range(10, 60))
+    assert sum(r["score"] - r["base_score"] for r in out if r["held_out"]) > 0
 
 
 def test_decontamination(spark, docs, none):
