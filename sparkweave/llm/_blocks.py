@@ -95,6 +95,19 @@ class Block:
     def text(self, i: int) -> bytes:
         return self.body[self.starts[i] : self.ends[i]]
 
+    def part(self, which: np.ndarray) -> dict[str, bytes]:
+        """Some of the documents, in order, as the columns of a block of their own."""
+        body = b"".join(self.body[a : b + 1] for a, b in zip(self.starts[which].tolist(), self.ends[which].tolist()))
+        held = pa.BufferOutputStream()
+        if self.rest:
+            table = self.columns().take(pa.array(which))
+            with pa.ipc.new_stream(held, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+        return {
+            "ids": self.ids[which].tobytes(), "lens": self.lens[which].tobytes(),
+            "body": zstandard.ZstdCompressor(level=3).compress(body), "rest": held.getvalue().to_pybytes(),
+        }
+
     def columns(self) -> pa.Table:
         """The other columns that pack() was told to carry."""
         return pa.ipc.open_stream(self.rest).read_all()

@@ -120,7 +120,8 @@ def test_merge_of_suffixes_by_hand():
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def test_lines(docs, none):
+@pytest.mark.parametrize("filter_bytes", [lines.FILTER_BYTES, 0])
+def test_lines(docs, none, filter_bytes):
     key = lambda x: x.strip(" \t\n\r\x0b\x0c").translate(LOW)
     has = defaultdict(set)
     for d, t, *_ in corpus():
@@ -132,10 +133,10 @@ def test_lines(docs, none):
         kept = [y for y in x if not (len(key(y)) >= 10 and len(has[key(y)]) > 1 and min(has[key(y)]) != ids(d))]
         want[d, len(x), len(x) - len(kept), sha("\n".join(kept).encode())] += 1
         texts[d, "\n".join(kept)] += 1
-    assert rows(lines.line_report(docs)) == want
-    out = lines.without_repeated_lines(docs)
+    assert rows(lines.line_report(docs, filter_bytes=filter_bytes)) == want
+    out = lines.without_repeated_lines(docs, filter_bytes=filter_bytes)
     assert out.columns == docs.columns and rows(out.select("doc_id", "text")) == texts
-    assert lines.line_report(none).count() == lines.without_repeated_lines(none).count() == 0
+    assert lines.line_report(none, filter_bytes=filter_bytes).count() == lines.without_repeated_lines(none, filter_bytes=filter_bytes).count() == 0
 
 
 def test_bloom_misses_nothing():
@@ -144,6 +145,18 @@ def test_bloom_misses_nothing():
     assert got[:100].all() and got[4000:].all() and got[100:4000].mean() < 0.05
 
 
+def test_merged_filters_know_what_two_tasks_hold(spark):
+    """Only lines of two documents (and few others) are suspects, in whichever tasks they are."""
+    rng = random.Random(2)
+    own = [[prose(rng, 6) for _ in range(30)] for _ in range(40)]
+    shared = [prose(rng, 6) for _ in range(20)]
+    table = spark.createDataFrame([(i, "\n".join(x + [shared[i % 20]])) for i, x in enumerate(own)], "doc_id long, text string").repartition(5)
+    filters = lines.seen_twice(B.pack(table), 40 * 31, 10)
+    hashes = lambda x: lines.Lines(B.Block.of([0], ["\n".join(x).encode()])).hash
+    assert filters.suspected(hashes(shared)).all()
+    assert filters.suspected(hashes([x for part in own for x in part])).mean() < 0.01
+
+
 def test_quality_base(docs, none, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (2, None, 0), (999, 1, 1)], "doc_id long, quality int, toxic int")
     want = Counter()
@@ -246,11 +259,11 @@ def test_bits_by_plain_python():
     """Tables, Huffman bits and mixing against dictionaries and loops; no context crosses documents."""
     texts = ["Abba abab  baab", "", "ab abba\n\nba", "\u00e9 ab Abba", "abab baab"]
     block = B.Block.of(range(len(texts)), [t.encode() for t in texts])
-    text = lm_score.Running(block)
-    code = lm_score.Code(np.bincount(text.byte, text.times, 256))
+    text = lm_score.Running(block, places=True)
+    code = lm_score.Code(lm_score.running_bytes(block, np.ones(len(texts), bool)))
     assert sum(2.0 ** -int(n) for n in code.size) == 1
     own = lm_score.Learner(code, 20)
-    own.add(text, rate=0.0)
+    own.add(lm_score.Running(block), rate=0.0)
     got = lm_score.Model(code, own.counts, own.weights).log2_windows(text)[text.of]
 
     def bits():
@@ -280,7 +293,7 @@ def test_weights_are_learned_online():
     words = [prose(rng, 1) for _ in range(60)]
     texts = [" ".join(rng.choices(words, k=300)).encode() for _ in range(164)]
     *runs, last = [lm_score.Running(B.Block.of(range(4), texts[i : i + 4])) for i in range(0, 164, 4)]
-    code = lm_score.Code(np.bincount(runs[0].byte, runs[0].times, 256))
+    code = lm_score.Code(np.bincount([c for t in texts for c in t], minlength=256))
     own = lm_score.Learner(code, 18)
     for r in runs:
         own.add(r)
