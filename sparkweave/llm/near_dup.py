@@ -113,11 +113,11 @@ _SLICE = "hub long, near boolean, salt int, nodes binary, lens binary, items bin
 
 def _sliced(table: pa.Table) -> pa.Table:
     """Members (hub, near, salt, node, items, weights) of one slice as one row, with a sketch of each."""
-    items = [np.frombuffer(x, np.uint32) for x in table.column("items").to_pylist()]
+    items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
     weights = [np.frombuffer(w, np.uint32) if w else np.ones(len(x), np.uint32) for x, w in zip(items, table.column("weights").to_pylist())]
     lens = np.array([len(x) for x in items], np.int64)
     items, weights = np.concatenate(items), np.concatenate(weights)
-    sketch = prob_min_hash(np.repeat(np.arange(len(lens)), lens), items.astype(np.uint64), weights, len(lens), SKETCH)
+    sketch = prob_min_hash(np.repeat(np.arange(len(lens)), lens), items, weights, len(lens), SKETCH)
     sketch = (B.mix(sketch) >> np.uint64(56)).astype(np.uint8)
     press = zstandard.ZstdCompressor(level=3)
     columns = {"nodes": table.column("node").to_numpy(), "lens": lens, "items": items, "weights": weights, "sketch": sketch}
@@ -130,7 +130,7 @@ class Slice:
     def __init__(self, nodes: bytes, lens: bytes, items: bytes, weights: bytes, sketch: bytes):
         opened = zstandard.ZstdDecompressor()
         read = lambda x, kind: np.frombuffer(opened.decompress(x), kind)
-        self.nodes, self.items, self.weights = read(nodes, np.int64), read(items, np.uint32), read(weights, np.uint32).astype(np.int64)
+        self.nodes, self.items, self.weights = read(nodes, np.int64), read(items, np.uint64), read(weights, np.uint32).astype(np.int64)
         self.cut = np.concatenate([[0], np.cumsum(read(lens, np.int64))])
         self.sketch = read(sketch, np.uint8).reshape(len(self.nodes), -1)
 
@@ -254,7 +254,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
 
     def profile(number, block, wanted):
         doc, item, weight = bags(block, words)
-        item = (item >> np.uint64(32)).astype(np.uint32)
         cut = np.searchsorted(doc, np.arange(len(block.ids) + 1))
         rows = wanted.column("row").to_pylist()
         parts = [slice(cut[r], cut[r + 1]) for r in rows]
@@ -274,7 +273,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
             keep = []
             ids = [batch.column(k) for k in (0, 1)]
             for ia, wa, ib, wb in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                a, b = np.frombuffer(ia, np.uint32), np.frombuffer(ib, np.uint32)
+                a, b = np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64)
                 u, v = (np.frombuffer(w, np.uint32).astype(np.int64) if w else np.ones(len(x), np.int64) for x, w in ((a, wa), (b, wb)))
                 keep.append(probability_jaccard(a, u, b, v) >= similarity)
             keep = pa.array(keep, pa.bool_())
