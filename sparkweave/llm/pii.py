@@ -10,7 +10,7 @@ graph of (pattern, instance) counts over the whole corpus, a pattern's confidenc
 smoothed share of its mentions whose instances are trusted, and an instance's trust is the
 noisy-or of its patterns' confidences; a few rounds of both spread trust from the seeds.
 Mentions in the slot of a pattern with high confidence and enough distinct seeds are reported,
-whatever their shape.  An instance of fewer than SHORT characters is too common to vouch for its
+whatever their shape (a name without digit or at-sign is no mention).  Words of any length count.  An instance of fewer than SHORT characters is too common to vouch for its
 patterns: it is reported and counts against them, but gains no trust, and as a piece of a longer
 span (`555` of a telephone number) it is not an instance.
 """
@@ -109,7 +109,6 @@ def mentions(df: DataFrame) -> DataFrame:
     """Adds (b, e, i: instance, seed, patterns) of each token of t with a digit or an at-sign; base has the seeds."""
     df = located(df, "found", MENTION, F.col("t").rlike("[0-9@]"))
     lead, tail = r"^[^0-9A-Za-z+]+", r"[^0-9A-Za-z]+$"
-    left_words = r"((?:[^\x20]+\x20)?[^\x20]+)\x20?$"
     token = lambda x: F.when(x["m"].contains("@"), "@").otherwise("0")
     at = lambda k: F.get("found", k)
     nothing = F.lit("")
@@ -121,8 +120,8 @@ def mentions(df: DataFrame) -> DataFrame:
         before = F.when(k > 0, F.concat(F.when(k > 1, token(at(k - 2))).otherwise("@^"), F.lit(" "), at(k - 1)["g"], F.lit(" "), token(at(k - 1)), F.lit(" "))).otherwise("@^ ")
         after = F.when(k + 1 < F.size("found"), F.concat(F.lit(" "), token(at(k + 1)))).otherwise(nothing)
         one_space = lambda t: F.regexp_replace(t, SPACES, " ")
-        left = F.lower(F.regexp_extract(F.right(one_space(F.concat(before, x["g"])), F.lit(120)), left_words, 1))
-        right = F.lower(F.regexp_extract(F.left(one_space(F.concat(x["n"], after)), F.lit(120)), r"^\x20?([^\x20]+)", 1))
+        left = F.lower(F.substring_index(F.rtrim(one_space(F.concat(before, x["g"]))), " ", -2))
+        right = F.lower(F.substring_index(F.ltrim(one_space(F.concat(x["n"], after))), " ", 1))
         return F.struct((x["b"] + cut).alias("b"), (x["b"] + cut + F.length(inner)).alias("e"), inner.alias("i"), left.alias("left"), right.alias("right"))
 
     df = df.withColumn("found", F.filter(F.transform("found", core), lambda x: x["i"] != ""))
