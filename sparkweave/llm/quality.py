@@ -7,7 +7,9 @@ from lenient to strict: a cutoff is certified while the exact (Clopper-Pearson)
 upper bound on the share of good documents that it rejects stays below `limit`.
 Testing in a fixed order needs no correction within a stratum; across strata the
 error `delta` is divided by their number (Bonferroni).  A stratum in which nothing
-can be certified rejects nothing.
+can be certified rejects nothing.  Equal texts of a stratum are one trial, labelled by the
+worst of their labels, and are in the same half.  The bound is on what the cutoffs reject
+among good documents that pass the base rules; what those rules reject is fixed beforehand.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ def block_counts(block: B.Block) -> dict[str, np.ndarray]:
 
 
 def text_counts(docs: DataFrame, stratum: str, carry: bool = False) -> DataFrame:
-    """doc_id, stratum (of a null: '(none)') and the counts of each document's whole text (null: empty).
+    """doc_id, stratum (of a null: '(none)'), text_hash and the counts of each document's whole text (null: empty).
 
     carry: the columns of docs too, as a struct `row`.
     """
@@ -94,9 +96,9 @@ def text_counts(docs: DataFrame, stratum: str, carry: bool = False) -> DataFrame
                 held = part.select(list(held_types))
                 yield pa.RecordBatch.from_arrays([*held.columns, *[pa.array(counts[c].astype(np.int64)) for c in names]], names=[*held_types, *names])
 
-    held_types = {"doc_id": T.LongType(), "stratum": T.StringType()} | ({"row": docs.schema} if carry else {})
+    held_types = {"doc_id": T.LongType(), "stratum": T.StringType(), "text_hash": T.StringType()} | ({"row": docs.schema} if carry else {})
     schema = T.StructType([T.StructField(c, t) for c, t in (held_types | {c: T.LongType() for c in names}).items()])
-    slim = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("(none)")).alias("stratum"), F.col("text").alias("t"))
+    slim = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("(none)")).alias("stratum"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("t"))
     out = slim.mapInArrow(run, schema)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     return out.withColumn("base_failed", failed).withColumns({c: F.expr(f"cast({x} as double)") for c, x in RULES.items()})
@@ -152,8 +154,8 @@ def _calibrated(docs, labels, stratum, limit, delta, quantile, seed) -> tuple[Da
     B.prepare(docs.sparkSession)
     stats = text_counts(docs, stratum).checkpoint()
     known = labels.filter("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    held = stats.filter("not base_failed").join(known, "doc_id").withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(2)))
-    held = held.select("stratum", "quality", "half", *RULES).checkpoint()
+    held = stats.filter("not base_failed").join(known, "doc_id").groupBy("stratum", "text_hash").agg(F.min("quality").alias("quality"), *[F.first(c).alias(c) for c in RULES])
+    held = held.withColumn("half", F.pmod(F.xxhash64(F.lit(seed), "text_hash"), F.lit(2))).select("stratum", "quality", "half", *RULES).checkpoint()
     fit = held.filter("half = 0 and quality = 1").agg(*[F.percentile_approx(c, quantile, 10_000).alias(c) for c in RULES]).first()
     scale = {c: max(fit[c] or 0.0, 1e-3) * 1.25 if fit[c] is not None else None for c in RULES}
     worst = F.greatest(F.lit(0.0), *[F.col(c) / F.lit(s) for c, s in scale.items() if s is not None]) if any(s is not None for s in scale.values()) else F.lit(0.0)
