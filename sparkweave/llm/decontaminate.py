@@ -10,7 +10,7 @@ pauses: at each of 3 L steps it writes the current token, and the pair (step, to
 whether to move on.  Two sequences that share the random draws fall into step again after
 an edit, so edit distance becomes Hamming distance.  Each table of the LSH samples a few
 steps of one embedding; a window and an item meet in a table if all its samples agree.
-As many tables are drawn as seeded edits of the items need for the target recall.  Pairs
+As many tables are drawn as seeded edits of the items, of each kind, need for the target recall.  Pairs
 that meet are verified by exact edit distance.
 """
 
@@ -73,38 +73,67 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, lens
 
 
-def edited(x: np.ndarray, edits: int, rng) -> np.ndarray:
-    """x after so many random token edits, cut or filled to its own length like a window of a text."""
+KINDS_OF_EDITS = ("swap", "delete", "insert", "any")
+
+
+def edited(x: np.ndarray, edits: int, rng, kind: str = "any") -> np.ndarray:
+    """x after so many random token edits of a kind."""
     out = list(x)
     for _ in range(edits):
-        kind, i = rng.integers(3), int(rng.integers(max(1, len(out))))
+        now = kind if kind != "any" else KINDS_OF_EDITS[rng.integers(3)]
+        i = int(rng.integers(max(1, len(out))))
         new = np.uint64(rng.integers(1, 2**63))
-        if kind == 0 and out:
-            out[min(i, len(out) - 1)] = new
-        elif kind == 1 and out:
-            out.pop(min(i, len(out) - 1))
+        if now == "swap" and out:
+            out[i] = new
+        elif now == "delete" and len(out) > 1:
+            out.pop(i)
         else:
             out.insert(i, new)
-    out += [np.uint64(rng.integers(1, 2**63)) for _ in range(len(x) - len(out))]
-    return np.array(out[: len(x)], np.uint64)
+    return np.array(out, np.uint64)
+
+
+def pieces_of(x: np.ndarray, edits: int) -> list[tuple[int, int]]:
+    """(offset, hash) of the edits + 1 disjoint pieces of an item, one of which is intact after so many edits."""
+    size = len(x) // (edits + 1)
+    at = np.arange(edits + 1) * size
+    return list(zip(at.tolist(), B.Rolling(x).at(at, at + size).tolist()))
 
 
-def tables_for(items: list[np.ndarray], max_edits: float, recall: float, seed: int, trials: int = 400) -> Tables:
-    """As few tables (a power of two) as find this share of items after the most edits that count."""
+def tables_for(items: list[np.ndarray], max_edits: float, recall: float, seed: int, trials: int = 200) -> Tables | None:
+    """As few tables (a power of two) as find this share of items after the most edits of whichever kind is worst.
+
+    The trials are passages amid other text, with the windows that the search would look at;
+    half of the misses that the recall allows are kept as a margin.
+    None: MOST_TABLES do not reach it, so all such windows are to be verified.
+    """
     rng = np.random.default_rng(seed)
     every = Tables(MOST_TABLES, seed)
-    picked = [items[int(i)] for i in rng.integers(len(items), size=trials)]
-    changed = [edited(x, int(max_edits * len(x)), rng) for x in picked]
-    width = max(len(x) for x in picked)
-    (a, n), (b, _) = padded(picked), padded(changed)
-    assert a.shape[1] == b.shape[1] == width
+    rows, whole, trial, kinds = [], [], [], []
+    for t in range(trials * len(KINDS_OF_EDITS)):
+        x = items[int(rng.integers(len(items)))]
+        edits, kind = int(max_edits * len(x)), KINDS_OF_EDITS[t % len(KINDS_OF_EDITS)]
+        around = lambda: rng.integers(1, 2**63, len(x)).astype(np.uint64)
+        text = np.concatenate([around(), edited(x, edits, rng, kind), around()])
+        have = B.Rolling(text).every(len(x) // (edits + 1)).tolist()
+        places: dict[int, list[int]] = defaultdict(list)
+        for j, h in enumerate(have):
+            places[h].append(j)
+        for start in {max(0, j - o) for o, h in pieces_of(x, edits) for j in places.get(h, ())}:
+            rows.append(text[start : start + len(x)])
+            whole.append(x)
+            trial.append(t)
+        kinds.append(t % len(KINDS_OF_EDITS))
+    (a, n), (b, _) = padded(whole), padded(rows)
+    b = np.concatenate([b, np.zeros((len(b), a.shape[1] - b.shape[1]), np.uint64)], axis=1)
     meet = every.keys(a, n) == every.keys(b, n)
     count = EMBEDDINGS
-    while count < MOST_TABLES and meet[:, :count].any(axis=1).mean() < recall:
+    while count <= MOST_TABLES:
+        found = np.bincount(trial, meet[:, :count].any(axis=1), minlength=len(kinds)) > 0
+        if np.min(np.bincount(kinds, found) / np.bincount(kinds)) >= (1 + recall) / 2:
+            every.spots = every.spots[:count]
+            return every
         count *= 2
-    out = Tables(MOST_TABLES, seed)
-    out.spots = out.spots[:count]
-    return out
+    return None
 
 
 def edit_distance_within(item: list[int], text: list[int], most: int) -> tuple[int, int] | None:
@@ -144,14 +173,11 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], max_edits: float, r
     edits = [int(max_edits * len(x)) for x in seqs]
     pieces: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
     for i, (x, k) in enumerate(zip(seqs, edits)):
-        size = len(x) // (k + 1)
-        roll = B.Rolling(x)
-        for p in range(k + 1):
-            h = roll.at(np.array([p * size]), np.array([(p + 1) * size]))[0]
-            pieces[size][int(h)].append((i, p * size))
+        for offset, h in pieces_of(x, k):
+            pieces[len(x) // (k + 1)][h].append((i, offset))
     pieces = {size: dict(x) for size, x in pieces.items()}
     known = {size: np.sort(np.array(list(x), np.uint64)) for size, x in pieces.items()}
-    item_keys = tables.keys(*padded(seqs))
+    item_keys = tables.keys(*padded(seqs)) if tables else None
     low = np.uint64(0xFFFF)
 
     def leaks(block):
@@ -183,7 +209,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], max_edits: float, r
             lens = np.array([len(seqs[i]) for _, i, _ in kept[c : c + 4096]], np.int64)
             if tokens.shape[1] < lens.max():
                 tokens = np.concatenate([tokens, np.zeros((len(tokens), lens.max() - tokens.shape[1]), np.uint64)], axis=1)
-            meet = (tables.keys(tokens, lens) == item_keys[[i for _, i, _ in kept[c : c + 4096]]]).any(axis=1)
+            meet = (tables.keys(tokens, lens) == item_keys[[i for _, i, _ in kept[c : c + 4096]]]).any(axis=1) if tables else np.ones(len(lens), bool)
             for (d, i, s), m in zip(kept[c : c + 4096], meet.tolist()):
                 if not m:
                     continue
@@ -206,18 +232,20 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, str]], max_edits: float, r
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).mapInArrow(run, SCHEMA)
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_items: int = 5000, seed: int = 11) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = 0.2, recall: float = 0.99, block_items: int = 5000, block_bytes: int = 16 << 20, seed: int = 11) -> DataFrame:
     """Which rows of docs hold a passage close to a benchmark item.
 
     Returns a row per row of docs and item: doc_id, item_id, edits (the least token edit
     distance found), item_tokens, first_token (about where the passage begins).  The items are
-    the query set, taken in blocks of about `block_items`, each sent to every task; docs are never
+    the query set, taken in blocks of about `block_items` and `block_bytes`, each sent to every task; docs are never
     shuffled.  Null or tokenless texts match nothing; repeated rows match alike; a null doc_id
-    or item_id stays null; other columns are ignored.
+    or item_id stays null; other columns are ignored.  Where no number of tables would reach
+    the recall, all windows that align with a piece are verified, and none is lost.
     """
     B.prepare(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
+    sizes = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-sizes[0] // block_items), -(-(sizes[1] or 0) // block_bytes))
     out = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
