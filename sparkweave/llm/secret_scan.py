@@ -1,10 +1,13 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
-The lexer reads source and configuration syntax into (name, value) pairs: `name =
-"literal"`, `name: literal`, `"name": "literal"`, `name => 'literal'`, `export NAME=bare`.
-Names that hold a literal are constants; where one is used as a value (bare, `$NAME`,
-`${NAME}`, or joined with `+`), its literals count under the new name too.  A literal is
-reported if its best target name is sensitive and it looks like a secret itself.
+The lexer tells code from comments, strings, triple-quoted strings and here-documents, and
+reads code into (name, value) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`,
+`name => 'literal'`, `export NAME=bare`.  A value is made of literals and of names (bare,
+`$NAME`, `${NAME}`, also within a string, or joined with `+`).  Names are constants: their
+literals count under every name that uses them, before or after, over any number of steps.
+What comments and strings hold is read too, for pairs that define no constant.  A literal is
+reported if the most sensitive name it reaches and its own looks say so.  All is linear in
+the text.
 """
 
 from __future__ import annotations
@@ -37,11 +40,13 @@ WORTH_LEXING = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer", re.I |
 PAIR = re.compile(
     r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?=["'`$\w+/])"""
 )
-VALUE = re.compile(
-    r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{?([A-Za-z_]\w*+)\}?"""
-)
+STRING = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
+VARIABLE = re.compile(r"\$(?:\{([A-Za-z_]\w*+)\}|([A-Za-z_]\w*+))")
+#: What begins a part that is not code; a comment sign stands at the start of a word.
+OPENING = re.compile(r"""(?P<triple>\"{3}|'{3})|(?P<comment>/\*)|(?<![^\s;{}(),])(?P<line>\#|//)|<<[-~]?["']?(?P<here>[A-Za-z_]\w*+)["']?(?=[^\n]*+\n)|(?P<quote>["'`])""")
 BARE = re.compile(r"[A-Za-z0-9+/_.=-]++")
 NAME = re.compile(r"[A-Za-z_][\w.-]*+")
+WORD_LINE = re.compile(r"^[\x20\t]*+(\w++)[\x20\t]*+$", re.M)
 PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -71,48 +76,124 @@ def literal_scores(text: str, starts: list[int], end: int) -> dict[int, int]:
     return out
 
 
-def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name."""
-    if ("=" not in text and ":" not in text) or not WORTH_LEXING.search(text):
-        return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], int] = {}
-    runs, joined = [], {}  # bare runs (start, end), and the plus after an end: each found once, however many values end there
-    for m in PAIR.finditer(text):
-        name, at, spans = m[1], m.end(), []
+class Lexer:
+    """The pairs of a text: (name, literals as spans, names that the value uses, whether the name is a constant)."""
+
+    def __init__(self, text: str):
+        self.text, self.pairs = text, []
+        self.runs, self.joined = [], {}  # bare runs (start, end), and the plus after an end: each found once, however many values end there
+        self.last = {mark: text.rfind(mark) for mark in ('"""', "'''", "*/")}
+        self.lines: dict[str, list[int]] | None = None  # where a line holds one word only, for here-documents
+        inner: list[tuple[int, int]] = []
+        self.read(0, len(text), inner)
+        for a, b in inner:
+            self.read(a, b, None)
+
+    def read(self, at: int, stop: int, inner: list | None) -> None:
+        """Pairs from at to stop; inner gets the parts that are not code, if these are to be told apart."""
+        def ahead(pattern, found):
+            return found if found is None or found.start() >= at else pattern.search(self.text, at, stop)
+
+        pair, opening = PAIR.search(self.text, at, stop), inner is not None and OPENING.search(self.text, at, stop) or None
+        while at < stop:
+            pair, opening = ahead(PAIR, pair), ahead(OPENING, opening)
+            if opening and not (pair and pair.start() <= opening.start()):
+                a, b, at = self.closed(opening, stop)
+                if a < b:
+                    inner.append((a, b))
+            elif pair:
+                at = self.value(pair[1], pair.end(), stop, inner)
+            else:
+                return
+
+    def closed(self, opening: re.Match, stop: int) -> tuple[int, int, int]:
+        """(start, end) of what an opening holds, and where code goes on; nothing where it is not closed."""
+        text, at = self.text, opening.end()
+        if mark := opening["triple"] or opening["comment"] and "*/":
+            end = text.find(mark, at, stop) if self.last[mark] >= at else -1
+            return (at, end, end + len(mark)) if end >= 0 else (at, at, at)
+        if opening["line"]:
+            end = text.find("\n", at, stop)
+            return at, end if end >= 0 else stop, end if end >= 0 else stop
+        if opening["here"]:
+            if self.lines is None:
+                self.lines = {}
+                for m in WORD_LINE.finditer(text):
+                    self.lines.setdefault(m[1], []).append(m.start(1))
+            ends = self.lines.get(opening["here"], [])
+            k = bisect.bisect(ends, at)
+            return (at, ends[k], ends[k]) if k < len(ends) and ends[k] < stop else (at, at, at)
+        whole = STRING.match(text, opening.start(), stop)
+        return (whole.start() + 1, whole.end() - 1, whole.end()) if whole else (at, at, at)
+
+    def value(self, name: str, at: int, stop: int, inner: list | None) -> int:
+        """Read the value of a pair; where to go on: after its last string, else where it begins."""
+        text, literals, uses, after = self.text, [], [], at
         while True:
-            if v := VALUE.match(text, at):
+            if v := STRING.match(text, at, stop):
+                end = after = v.end()
+                literals.append((at + 1, end - 1))
+                if v[2] is None:
+                    uses += [x for pair in VARIABLE.findall(v[0]) for x in pair if x]
+                if inner is not None:
+                    inner.append((at + 1, end - 1))
+            elif v := VARIABLE.match(text, at, stop):
                 end = v.end()
-                for g in (1, 2, 3):
-                    if v[g] is not None:
-                        spans.append(v.span(g))
-                if v[4] is not None:
-                    spans += held.get(v[4], [])
+                uses.append(v[1] or v[2])
             else:
-                k = bisect.bisect(runs, (at, len(text)))
-                if k and at < runs[k - 1][1]:
-                    end = runs[k - 1][1]
-                elif v := BARE.match(text, at):
+                k = bisect.bisect(self.runs, (at, len(text)))
+                if k and at < self.runs[k - 1][1]:
+                    end = self.runs[k - 1][1]
+                elif v := BARE.match(text, at, stop):
                     end = v.end()
-                    runs.insert(k, (at, end))
+                    self.runs.insert(k, (at, end))
                 else:
                     break
                 used = NAME.match(text, at, end)
-                used = held.get(used[0]) if used and used.end() == end else None
-                spans += used if used is not None else [(at, end)] if text[at - 1 : at] != "+" else []
-            if end not in joined:
+                uses.append((used[0], at, end) if used and used.end() == end else (None, at, end))
+            if end not in self.joined:
                 plus = PLUS.match(text, end)
-                joined[end] = plus and plus.end()
-            if not joined[end]:
+                self.joined[end] = plus and plus.end()
+            if not self.joined[end]:
                 break
-            at = joined[end]
-        held[name] = spans
-        score = name_score(name)
+            at = self.joined[end]
+        self.pairs.append((name, literals, uses, inner is not None))
+        return after
+
+
+def lexed(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that reach a sensitive name."""
+    if ("=" not in text and ":" not in text) or not WORTH_LEXING.search(text):
+        return []
+    pairs = Lexer(text).pairs
+    constants = {name for name, _, _, constant in pairs if constant}
+    held: dict[str, list[tuple[int, int]]] = {}
+    uses: dict[str, list[str]] = {}
+    for name, literals, used, _ in pairs:
+        spans, names = held.setdefault(name, []), uses.setdefault(name, [])
+        spans += literals
+        for x in used:
+            if isinstance(x, str):
+                names.append(x)
+            elif x[0] in constants and x[0] != name:
+                names.append(x[0])
+            elif text[x[1] - 1 : x[1]] != "+":
+                spans.append(x[1:])
+    reached: dict[str, int] = {}  # the most sensitive name that a name's literals reach
+    for name, score in sorted(((n, name_score(n)) for n in held), key=lambda x: -x[1]):
+        todo = [name]
+        while todo:
+            x = todo.pop()
+            if x not in reached and x in held:
+                reached[x] = score
+                todo += uses[x]
+    best: dict[tuple[int, int], int] = {}
+    for name, spans in held.items():
         for s in spans:
-            best[s] = max(best.get(s, 0), score)
+            best[s] = max(best.get(s, 0), reached[name])
     by_end: dict[int, list[int]] = {}
     for (a, b), score in best.items():
-        if score >= 2:
+        if score >= 2 and a < b:
             by_end.setdefault(b, []).append(a)
     return sorted((a, b) for b, starts in by_end.items() for a, score in literal_scores(text, starts, b).items() if score + best[a, b] >= 4)
 
