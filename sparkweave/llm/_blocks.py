@@ -10,6 +10,8 @@ is still one entry per block.  Answers return to the block by a cogroup.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -225,10 +227,13 @@ def prepare(spark) -> None:
 
 
 def shared_checkpoint_dir(spark) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """Use the cluster's spark.checkpoint.dir; only in local mode (tests) may a folder of our own stand in."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sparkweave-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def buckets_for(blocks: DataFrame, share: float = 0.3, target: int = 32 << 20, least: int = 256) -> int:
