@@ -99,7 +99,7 @@ def pieces_of(x: np.ndarray, edits: int) -> list[tuple[int, int]]:
     return list(zip(at.tolist(), B.Rolling(x).at(at, at + size).tolist()))
 
 
-def tables_for(items: list[np.ndarray], max_edits: float, recall: float, seed: int, trials: int = 200) -> Tables | None:
+def tables_for(items: list[np.ndarray], max_edits: float, recall: float, seed: int, trials: int = 500) -> Tables | None:
     """As few tables (a power of two) as find this share of items after the most edits of whichever kind is worst.
 
     The trials are passages amid other text, with the windows that the search would look at;
