@@ -120,6 +120,26 @@ def token_estimate(text) -> Column:
     return (F.regexp_count(t, F.lit(CJK)) + pieces + F.regexp_count(t, F.lit(r"[^A-Za-z0-9\s\x{4e00}-\x{9fff}]"))).cast("long")
 
 
+def token_counter(encode):
+    """A column function that counts tokens by a tokenizer: encode(text) -> ids, such as a vocabulary's own."""
+
+    @F.pandas_udf("long")
+    def count(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: len(encode(t)) if t else 0)
+
+    return lambda text: count(_c(text))
+
+
+def token_ids(encode):
+    """A column function of the ids themselves, for token_windows()."""
+
+    @F.pandas_udf("array<int>")
+    def ids(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: list(encode(t)) if t else [])
+
+    return lambda text: ids(_c(text))
+
+
 def token_windows(ids, size: int, overlap: int) -> Column:
     """Windows of `size` ids that overlap; the last may be short."""
     step = size - overlap
@@ -137,22 +157,26 @@ def id_list(value, separator: str = "<SEP>") -> Column:
 # Model responses
 
 
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def without_fences(text) -> Column:
     """Without Markdown code fences around the whole answer or its parts."""
     out = F.regexp_replace(_c(text), r"(?m)^\s*```[A-Za-z0-9_+-]*[ \t]*$\n?", "")
-    return F.trim(F.regexp_replace(out, "```", ""))
+    return _stripped(F.regexp_replace(out, "```", ""))
 
 
 def without_chatter(text) -> Column:
     """Without openings such as 'Sure, here is' and 'Answer:' labels of an assistant."""
     out = F.regexp_replace(_c(text), r"(?i)^\s*(sure|certainly|of course|okay|ok)[,!.]\s*(here (is|are)[^\n:]*:)?\s*", "")
     out = F.regexp_replace(out, r"(?i)^\s*here (is|are)[^\n:]{0,80}:\s*", "")
-    return F.trim(F.regexp_replace(out, r"(?i)\n+\s*(let me know if|i hope this helps|feel free to)[^\n]*$", ""))
+    return _stripped(F.regexp_replace(out, r"(?i)\n+\s*(let me know if|i hope this helps|feel free to)[^\n]*$", ""))
 
 
 def without_thoughts(text) -> Column:
     """Without <think> blocks; the original where nothing else is left."""
-    out = F.trim(F.regexp_replace(_c(text), r"(?s)<think>.*?</think>", ""))
+    out = _stripped(F.regexp_replace(_c(text), r"(?s)<think>.*?</think>", ""))
     return F.when(out == "", _c(text)).otherwise(out)
 
 

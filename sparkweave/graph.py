@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests), a folder of our own."""
+    """Use the cluster's spark.checkpoint.dir; only in local mode (tests) may a folder of our own stand in."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sparkweave-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Alternates large-star and small-star (Kiveris et al. 2014) until the edges are stars;
@@ -21,7 +26,7 @@ def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt", m
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.greatest(src, tgt).alias("u"), F.least(src, tgt).alias("v")).filter("u is not null and v is not null and u <> v")
     e = e.distinct()
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -126,12 +131,12 @@ def path_lengths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFra
     return seen
 
 
-def cycle_core(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def cycle_core(edges: DataFrame) -> DataFrame:
     """Directed edges (src, tgt) on cycles or between them: what peeling nodes without a way in, or out, leaves."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select("src", "tgt").distinct().checkpoint()
     n = e.count()
-    for _ in range(max_rounds):
+    while True:  # each round but the last takes edges away
         inner = e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
         e = inner.select("src", "tgt").checkpoint()
         m = e.count()
@@ -141,10 +146,10 @@ def cycle_core(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return e
 
 
-def without_cycles(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def without_cycles(edges: DataFrame) -> DataFrame:
     """Directed edges with one edge per cyclic component dropped (the greatest), again until no cycle is left."""
     out = edges
-    for _ in range(max_rounds):
+    while True:
         core = cycle_core(out)
         if core.isEmpty():
             return out
@@ -153,7 +158,6 @@ def without_cycles(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         drop = tagged.groupBy("component").agg(F.max(F.struct("src", "tgt")).alias("x")).select("x.src", "x.tgt")
         drop = drop.unionByName(core.filter("src = tgt")).distinct()
         out = out.join(drop, ["src", "tgt"], "left_anti").checkpoint()
-    return out
 
 
 def occurrences(table: DataFrame, key: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from .extract import filled
 
-RESULT = "response string, status string, attempts int, prompt_tokens long, completion_tokens long"
+RESULT = "response string, status string, attempts int, error string, prompt_tokens long, completion_tokens long"
 
 
 def prompt_key(df: DataFrame, params: dict | None = None) -> Column:
@@ -32,7 +32,7 @@ def complete(prompts: DataFrame, backend: Callable[[list[str]], list[str]], retr
     def run(batches):
         for pdf in batches:
             n = len(pdf)
-            out, status, tries = [""] * n, ["failed"] * n, [0] * n
+            out, status, tries, why = [""] * n, ["failed"] * n, [0] * n, [None] * n
             todo = list(range(n))
             for _ in range(retries + 1):
                 if not todo:
@@ -41,13 +41,15 @@ def complete(prompts: DataFrame, backend: Callable[[list[str]], list[str]], retr
                     tries[i] += 1
                 try:
                     got = backend([pdf["prompt"].iloc[i] for i in todo])
-                except Exception:  # a backend's failure is a row's status
+                except Exception as e:  # a backend's failure is a row's status
+                    for i in todo:
+                        why[i] = f"{type(e).__name__}: {e}"
                     continue
                 for i, text in zip(todo, got):
-                    out[i], status[i] = text or "", "ok" if text and text.strip() else "empty"
+                    out[i], status[i], why[i] = text or "", "ok" if text and text.strip() else "empty", None
                 todo = [i for i in todo if status[i] != "ok"]
             words = lambda xs: [len((x or "").split()) for x in xs]
-            yield pdf.assign(response=out, status=status, attempts=pd.array(tries, "int32"), prompt_tokens=words(pdf["prompt"]), completion_tokens=words(out))
+            yield pdf.assign(response=out, status=status, attempts=pd.array(tries, "int32"), error=pd.array(why, "string"), prompt_tokens=words(pdf["prompt"]), completion_tokens=words(out))
 
     schema = StructType([*prompts.schema.fields, *[f for f in ddl(RESULT).fields if f.name not in names]])
     return prompts.mapInPandas(run, schema)

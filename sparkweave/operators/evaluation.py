@@ -134,7 +134,6 @@ def mtld(tokens: Column, threshold: float = 0.72) -> Column:
     """Measure of textual lexical diversity, forward and backward, as one aggregate over the tokens."""
 
     def factors(ts: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("seen"))
         start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
 
         def add(acc, x):

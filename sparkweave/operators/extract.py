@@ -154,17 +154,17 @@ def coreference_prompts(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.concat(F.lit("Reference:\n"), first, F.lit("\nRewrite with every pronoun replaced by its referent:\n"), F.col("content")).alias("prompt"))
 
 
-def enriched(nodes: DataFrame, results: DataFrame, known: DataFrame) -> DataFrame:
+def enriched(nodes: DataFrame, results: DataFrame, known: DataFrame, sources=("wikipedia", "google", "bing")) -> DataFrame:
     """results(entity, source, description) of outside searches for nodes that are not known yet, one column per source."""
     x = results.filter("trim(coalesce(description, '')) <> ''").join(known.select(F.col("node_id").alias("entity")), "entity", "left_anti")
     x = x.join(nodes.select(F.col("node_id").alias("entity")), "entity", "left_semi")
-    return x.groupBy("entity").pivot("source", ["wikipedia", "google", "bing"]).agg(F.min("description"))
+    return x.groupBy("entity").pivot("source", list(sources)).agg(F.min("description"))
 
 
 def rule_extraction(chunks: DataFrame) -> DataFrame:
     """A model-free backend: capitalised words are entities and neighbours are related; (chunk_id, response)."""
     words = F.transform(F.regexp_extract_all("content", F.lit(r"\b[A-Z][a-z]{3,}\b"), F.lit(0)), lambda w: F.upper(w))
-    x = chunks.select("chunk_id", F.slice(words, 1, 400).alias("w"))
+    x = chunks.select("chunk_id", words.alias("w"))
     entity = F.transform(F.array_distinct("w"), lambda w: F.concat(F.lit('("entity"<|>"'), w, F.lit('"<|>"TERM"<|>"'), w, F.lit(' occurs")')))
     near = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(F.lit('("relationship"<|>"'), a, F.lit('"<|>"'), b, F.lit('"<|>"next to")')))
     return x.select("chunk_id", F.concat(F.array_join(F.concat(entity, F.array_distinct(near)), RECORD), F.lit(RECORD + DONE)).alias("response"))

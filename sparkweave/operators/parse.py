@@ -135,13 +135,13 @@ def reviewer_scores(responses: DataFrame, parts=("accuracy", "completeness", "cl
     return x.select(F.col(id_col), get("$.overall_score", "double").alias("overall_score"), *[get(f"$.{p}", "double").alias(p) for p in parts], get("$.reason", "string").alias("reason"))
 
 
-def taxonomy_nodes(responses: DataFrame, max_depth: int = 6) -> tuple[DataFrame, DataFrame]:
+def taxonomy_nodes(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """responses(doc_id, response) -> (tree rows per doc_id, unreadable responses to retry)."""
     x = responses.withColumn("v", T.parsed_json("response"))
     bad = x.filter("v is null").select("doc_id", "response")
     level = x.filter("v is not null").select("doc_id", F.explode(F.coalesce(F.expr("try_variant_get(v, '$.nodes', 'array<variant>')"), F.array("v"))).alias("n"), F.lit(None).cast("string").alias("parent_id"))
     out = None
-    for _ in range(max_depth):
+    while out is None or not level.isEmpty():
         get = lambda c: F.expr(f"try_variant_get(n, '$.{c}', 'string')")
         rows = level.select("doc_id", get("id").alias("id"), get("name").alias("name"), get("description").alias("description"), get("cognitive_dimension").alias("cognitive_dimension"), F.coalesce("parent_id", get("parent_id")).alias("parent_id"))
         out = rows if out is None else out.unionByName(rows)

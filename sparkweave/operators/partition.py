@@ -39,7 +39,7 @@ def order_of(seed: int, loss: str = "random") -> Column:
     return F.struct(k.alias("k"), h.alias("h"))
 
 
-def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, max_length: int | None = None, max_phases: int = 100) -> DataFrame:
+def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, max_length: int | None = None) -> DataFrame:
     """units(unit_id, kind, rank, can_seed, length) and links(u, v) -> (community_id, unit_id, kind, ord).
 
     A community has at most cap units, and takes units until the lengths before pass max_length.
@@ -51,7 +51,7 @@ def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, ma
     links = links.checkpoint()
     out = None
     free = units
-    for _ in range(max_phases):
+    while True:  # each phase uses up the seeds that come first
         rivals = links.join(free.filter("can_seed").select(F.col("unit_id").alias("v"), F.col("rank").alias("vr")), "v").groupBy("u").agg(F.min("vr").alias("best"))
         seeds = free.filter("can_seed").join(rivals, F.col("unit_id") == F.col("u"), "left").filter("best is null or rank < best")
         members = seeds.select(F.col("unit_id").alias("community_id"), "unit_id", "kind", F.lit(0).alias("ord"), F.col("rank").alias("c_rank"), "rank", "length").checkpoint()

@@ -16,13 +16,13 @@ def roots(tree: DataFrame) -> DataFrame:
     return tree.join(ids, "parent_id", "left_anti")
 
 
-def closure(tree: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(tree: DataFrame) -> DataFrame:
     """(ancestor, id, distance) over all nodes below roots, each its own ancestor; members of cycles are not reached."""
     G.ensure_checkpoint_dir(tree.sparkSession)
     up = tree.join(tree.select(F.col("id").alias("p")), F.col("parent_id") == F.col("p"), "left").select("id", F.col("p").alias("parent"))
     level = roots(tree).select("id", F.array("id").alias("path"))
     out = level
-    for _ in range(max_depth):
+    while True:  # no path from a root has a cycle
         level = up.join(level.select(F.col("id").alias("parent"), "path"), "parent").select("id", F.array_append("path", F.col("id")).alias("path")).checkpoint()
         if level.isEmpty():
             break
@@ -56,6 +56,14 @@ def siblings(tree: DataFrame) -> DataFrame:
     return t.join(t.select(F.col("id").alias("sibling"), "p"), "p").filter("id <> sibling").select("id", "sibling")
 
 
+def sibling_counts(tree: DataFrame) -> DataFrame:
+    """(id, parent_id, siblings): how many other nodes each node's parent has; roots count roots."""
+    top = roots(tree).select("id").withColumn("_root", F.lit("\u0001root"))
+    t = tree.select("id", "parent_id").join(top, "id", "left").withColumn("_p", F.coalesce("_root", "parent_id"))
+    sizes = t.groupBy("_p").agg((F.count("*") - 1).alias("siblings"))
+    return t.join(sizes, "_p").select("id", "parent_id", "siblings")
+
+
 def validate(tree: DataFrame, max_depth: int = 10) -> DataFrame:
     """(level, rule, id): what is wrong with a tree."""
     d = with_depth(tree)
@@ -87,7 +95,6 @@ def nested_json(tree: DataFrame) -> DataFrame:
     below = None
     for depth in range(deepest if deepest is not None else -1, -1, -1):
         x = d.filter(F.col("depth") == depth)
-        own = F.concat(F.lit('{"id":'), F.to_json(F.array("id")), F.lit("}"))
         own = F.regexp_replace(F.to_json(F.struct("id", "name", "cognitive_dimension")), r"\}$", "")
         if below is not None:
             x = x.join(below, F.col("id") == F.col("p"), "left").drop("p")
@@ -108,6 +115,11 @@ def _u(seed: int) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 1) / float(1 << 52)
 
 
+def in_order(d: DataFrame, seed: int) -> DataFrame:
+    """Rows (id, is_leaf, ...) in the order they are sampled in: leaves first, each kind in seeded order."""
+    return d.orderBy(~F.col("is_leaf"), _u(seed), "id")
+
+
 def sample_branches(tree: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """k nodes spread evenly over roots, leaves first; the remainder goes to roots in seeded order."""
     paths = closure(tree)

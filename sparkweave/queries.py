@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import queries_more  # noqa: F401  registers its own
+    from . import queries_extra, queries_more  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
@@ -88,10 +88,9 @@ def token_usage(spark, d):
     return t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(T.token_estimate("text")).alias("tokens"), (F.sum(T.token_estimate("text")) * 50).alias("usage_estimate"))
 
 
-@query(r"""select doc_id, trim(regexp_replace(replace(replace(text, '&lt;', '<'), '&amp;', '&'), '[\x00-\x1f\x7f]', '', 'g')) as clean from documents where not regexp_matches(text, '[\x{80}-\x{9f}]') and not regexp_matches(text, '&(quot|#39|apos|nbsp);')""")
+@query(r"""select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '^[\s\x0b]+|[\s\x0b]+$', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&nbsp;', ' '), '&amp;', '&'), '[\x00-\x1f\x7f-\x{9f}]', '', 'g')) as clean from documents""")
 def cleaned_text(spark, d):
-    x = t(spark, d, "documents").filter(~F.col("text").rlike(r"[\x80-\x9f]") & ~F.col("text").rlike("&(quot|#39|apos|nbsp);"))
-    return x.select("doc_id", F.trim(T.clean("text")).alias("clean"))
+    return t(spark, d, "documents").select("doc_id", F.trim(T.clean("text")).alias("clean"))
 
 
 @query("""with w as (select doc_id, regexp_extract_all(text, '[^ \\t-\\r]+') as ids from documents)
@@ -328,12 +327,12 @@ def largest_component(spark, d):
     return nodes.select("node_id")
 
 
-@query(f"""with {_GRAPH}, s as (select (substr(node_id, 2)::bigint % 3)::bigint as intent_id, node_id from g where node_id like 'S%' and substr(node_id, 2)::bigint <= 9),
+@query(f"""with {_GRAPH}, s as (select (substr(node_id, 2)::bigint % 3)::bigint as intent_id, node_id from g where node_id like 'S%' and substr(node_id, 2)::bigint % 10 = 0),
 h1 as (select distinct intent_id, v as node_id from s join b on u = node_id), n1 as (select intent_id, node_id, min(hop)::int as hop from (select *, 0 as hop from s union all select *, 1 from h1) group by 1, 2)
 select intent_id, node_id, hop from (select *, row_number() over (partition by intent_id order by hop, node_id) as r from n1) where r <= 40""")
 def k_hop_subgraph(spark, d):
     e = part_graph(spark, d)
-    seeds = G.degrees(e).filter("node_id like 'S%' and cast(substring(node_id, 2) as long) <= 9").select((F.substring("node_id", 2, 20).cast("long") % 3).alias("intent_id"), "node_id")
+    seeds = G.degrees(e).filter("node_id like 'S%' and cast(substring(node_id, 2) as long) % 10 = 0").select((F.substring("node_id", 2, 20).cast("long") % 3).alias("intent_id"), "node_id")
     return G.k_hop(e, seeds, max_hops=1, max_nodes=40)[0]
 
 
@@ -343,12 +342,12 @@ def fallback_subgraph(spark, d):
     return G.first_nodes(G.degrees(e).select("node_id"), e, 2050)[1]
 
 
-@query(f"""with {_GRAPH}, s as (select node_id from g where node_id in ('S1', 'S2', 'S3')), h1 as (select distinct node_id as source, v as node_id from s join b on u = node_id),
+@query(f"""with {_GRAPH}, s as (select node_id from g where node_id like 'S%' and substr(node_id, 2)::bigint % 10 = 0), h1 as (select distinct node_id as source, v as node_id from s join b on u = node_id),
 h2 as (select distinct source, v as node_id from h1 join b on u = node_id), a as (select node_id as source, node_id, 0 as hops from s union all select *, 1 from h1 union all select *, 2 from h2)
 select source, node_id, min(hops)::int as hops from a group by 1, 2""")
 def path_lengths(spark, d):
     e = part_graph(spark, d)
-    return G.path_lengths(e, G.degrees(e).filter("node_id in ('S1', 'S2', 'S3')"), 2)
+    return G.path_lengths(e, G.degrees(e).filter("node_id like 'S%' and cast(substring(node_id, 2) as long) % 10 = 0"), 2)
 
 
 @query("with m as (select n_regionkey as r, min(n_nationkey) as n from nation group by 1) select 'N' || n as src, 'R' || r as tgt from m union all select 'R' || r, 'N' || n from m")
@@ -383,10 +382,10 @@ def linear_loss(spark, d):
     return assess.losses(_judged(spark, d), case_sensitive=False, entropy=False).withColumn("loss", F.round("loss", 6))
 
 
-@query("""with p as (select vec_id, list_filter(list_transform(embedding[1:8], lambda x: abs(x)::double), lambda x: x > 0) as p from embeddings)
+@query("""with p as (select vec_id, list_filter(list_transform(embedding, lambda x: abs(x)::double), lambda x: x > 0) as p from embeddings)
 select vec_id, round(exp(list_avg(list_transform(p, lambda x: ln(x)))), 6) as joint, round(list_min(p), 6) as least, round(list_avg(p), 6) as mean from p""")
 def token_confidence(spark, d):
-    p = F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x).cast("double"))
+    p = F.transform("embedding", lambda x: F.abs(x).cast("double"))
     x = t(spark, d, "embeddings").withColumn("p", p)
     return x.select("vec_id", F.round(T.joint_probability("p"), 6).alias("joint"), F.round(T.min_probability("p"), 6).alias("least"), F.round(T.mean_probability("p"), 6).alias("mean"))
 

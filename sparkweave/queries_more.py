@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph as G
@@ -175,19 +177,27 @@ def qa_rows(spark, d) -> DataFrame:
 
 
 _QA = "qa as (select u.conv_id, u.turn, u.text as question, a.text as answer, case when u.conv_id % 2 = 0 then 'atomic' else 'cot' end as mode from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant' where u.role = 'user')"
-_OK = "trim(question) <> '' and trim(answer) <> '' and not regexp_matches(question || answer, '[\\n*#>-]|[:：]')"
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9 .,?!]+', ' ', 'g'))"
+_Q, _A = _PLAIN.format("question"), _PLAIN.format("answer")
+_OK = f"{_Q} <> '' and {_A} <> ''"
+
+
+def plain_qa(spark, d):
+    """Questions and answers without the marks that responses are made of."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 .,?!]+", " "))
+    return qa_rows(spark, d).withColumns({"question": plain("question"), "answer": plain("answer")})
 
 
-@query(f"with {_QA} select conv_id, turn, 0 as pos, trim(question) as question, trim(answer) as answer from qa where {_OK}")
+@query(f"with {_QA} select conv_id, turn, 0 as pos, {_Q} as question, {_A} as answer from qa where {_OK}")
 def parse_atomic(spark, d):
-    x = qa_rows(spark, d).filter(r"trim(question) <> '' and trim(answer) <> '' and not (question || answer) rlike '[\\n*#>-]|[:：]'")
+    x = plain_qa(spark, d)
     r = x.select(F.struct("conv_id", "turn").alias("batch_id"), F.concat(F.lit("**Question:** "), "question", F.lit("\n**Answer:** "), "answer").alias("response"))
     return parse.atomic_pairs(r).select("batch_id.*", "pos", "question", "answer")
 
 
-@query(f"with {_QA} select conv_id, turn, trim(question) as question, trim(answer) as answer, 'step one' as reasoning_path from qa where {_OK}")
+@query(f"with {_QA} select conv_id, turn, {_Q} as question, {_A} as answer, 'step one' as reasoning_path from qa where {_OK}")
 def parse_multi_hop(spark, d):
-    x = qa_rows(spark, d).filter(r"trim(question) <> '' and trim(answer) <> '' and not (question || answer) rlike '[\\n*#>-]|[:：]'")
+    x = plain_qa(spark, d)
     r = x.select(F.struct("conv_id", "turn").alias("batch_id"), F.concat(F.lit("Question: "), "question", F.lit("\nAnswer: "), "answer", F.lit("\nReasoning Path: step one")).alias("response"))
     return parse.multi_hop(r).select("batch_id.*", "question", "answer", "reasoning_path")
 
@@ -436,7 +446,7 @@ def run_summary(spark, d):
 
 
 def part_tree(spark, d) -> DataFrame:
-    p = t(spark, d, "part").select("p_type", "p_brand", "p_partkey").withColumn("k", F.pmod(F.crc32("p_type"), F.lit(6)).cast("int"))
+    p = t(spark, d, "part").select("p_type", "p_brand", "p_partkey").withColumn("k", (F.length("p_type") % 6).cast("int"))
     dim = F.element_at(F.array(*map(F.lit, X.DIMENSIONS)), F.col("k") + 1)
     null = F.lit(None).cast("string")
     top = p.select(F.col("p_type").alias("id"), F.col("p_type").alias("name"), null.alias("description"), dim.alias("cognitive_dimension"), null.alias("parent_id")).distinct()
@@ -445,7 +455,8 @@ def part_tree(spark, d) -> DataFrame:
     return top.unionByName(mid).unionByName(low)
 
 
-_TREE = "tree as (select distinct p_type as id, null as parent_id, 0 as depth, false as is_leaf from part union all select distinct p_type || '/' || p_brand, p_type, 1, false from part union all select p_type || '/' || p_brand || '/' || p_partkey, p_type || '/' || p_brand, 2, true from part)"
+_DIM = "[" + ", ".join(f"'{x}'" for x in X.DIMENSIONS) + "][length(p_type) % 6 + 1]"
+_TREE = f"tree as (select distinct p_type as id, null as parent_id, 0 as depth, false as is_leaf, {_DIM} as dim from part union all select distinct p_type || '/' || p_brand, p_type, 1, false, {_DIM} from part union all select p_type || '/' || p_brand || '/' || p_partkey, p_type || '/' || p_brand, 2, true, {_DIM} from part)"
 
 
 @query(f"with {_TREE} select id, depth, is_leaf from tree")
@@ -464,21 +475,23 @@ def taxonomy_issues(spark, d):
     return X.validate(part_tree(spark, d).unionByName(bad))
 
 
-@query(f"with {_TREE} select 'depth' as what, depth::varchar as value, count(*) as n from tree group by depth union all select 'nodes', null, count(*) from tree union all select 'leaves', null, count(*) filter (is_leaf) from tree")
+@query(f"with {_TREE} select 'depth' as what, depth::varchar as value, count(*) as n from tree group by depth union all select 'dimension', dim, count(*) from tree group by dim union all select 'nodes', null, count(*) from tree union all select 'leaves', null, count(*) filter (is_leaf) from tree")
 def taxonomy_statistics(spark, d):
-    return X.statistics(part_tree(spark, d)).filter("what <> 'dimension'")
+    return X.statistics(part_tree(spark, d))
 
 
-@query(f"with {_TREE} select 'overall' as what, count(*) as n, count(*) filter (is_leaf and try_cast(split_part(id, '/', 3) as bigint) % 3 = 0) as covered from tree union all select 'leaf', count(*) filter (is_leaf), count(*) filter (is_leaf and try_cast(split_part(id, '/', 3) as bigint) % 3 = 0) from tree")
+@query(f"""with {_TREE}, x as (select *, (is_leaf and try_cast(split_part(id, '/', 3) as bigint) % 3 = 0)::int as c from tree)
+select 'overall' as what, null as value, count(*) as n, sum(c)::bigint as covered, round(avg(c), 6) as ratio from x union all select 'leaf', null, count(*), sum(c)::bigint, round(avg(c), 6) from x where is_leaf
+union all select 'dimension', dim, count(*), sum(c)::bigint, round(avg(c), 6) from x group by dim union all select 'depth', depth::varchar, count(*), sum(c)::bigint, round(avg(c), 6) from x group by depth""")
 def taxonomy_coverage(spark, d):
     tree = part_tree(spark, d)
     seen = tree.filter("id like '%/%/%' and cast(name as long) % 3 = 0").select("id")
-    return X.coverage(tree, seen).filter("what in ('overall', 'leaf')").select("what", "n", "covered")
+    return X.coverage(tree, seen).select("what", "value", "n", "covered", F.round("ratio", 6).alias("ratio"))
 
 
-@query(f"with {_TREE} select a.id, b.id as sibling from tree a join tree b on coalesce(a.parent_id, '-') = coalesce(b.parent_id, '-') and a.id <> b.id where a.depth < 2")
+@query(f"with {_TREE} select id, parent_id, count(*) over (partition by coalesce(parent_id, '-')) - 1 as siblings from tree")
 def taxonomy_siblings(spark, d):
-    return X.siblings(part_tree(spark, d).filter("not id like '%/%/%'"))
+    return X.sibling_counts(part_tree(spark, d))
 
 
 @query()
@@ -544,13 +557,13 @@ def prompt_cache(spark, d):
     return x.select("conv_id", "turn", F.coalesce("state", F.lit("miss")).alias("state"))
 
 
-def _upper(texts: list[str]) -> list[str]:
-    return [x.upper() if x else "" for x in texts]
+def _digests(texts: list[str]) -> list[str]:
+    return [hashlib.md5(x.encode()).hexdigest() if x and x.strip() else "" for x in texts]
 
 
-@query("select conv_id, turn, upper(text) as response, case when regexp_matches(text, '\\S') then 'ok' else 'empty' end as status from conversations where not regexp_matches(text, 'ß|ŉ|ǰ')")
+@query("select conv_id, turn, case when regexp_matches(text, '\\S') then md5(text) else '' end as response, case when regexp_matches(text, '\\S') then 'ok' else 'empty' end as status from conversations")
 def model_calls(spark, d):
-    x = complete.complete(_prompts(spark, d).filter("not prompt rlike 'ß|ŉ|ǰ'"), _upper)
+    x = complete.complete(_prompts(spark, d), _digests)
     return x.select("conv_id", "turn", "response", "status")
 
 
@@ -574,7 +587,7 @@ def incremental_ingest(spark, d):
     G.ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/ingest-{uuid.uuid4().hex}"
     store = ingest.Store(spark, folder)
-    docs = t(spark, d, "benchmark").select(F.lit("text").alias("type"), F.col("text").alias("content"), F.col("item_id").alias("ord"))
+    docs = t(spark, d, "documents").select(F.lit("text").alias("type"), F.col("text").alias("content"), F.col("doc_id").alias("ord"))
     ingest.ingest_batch(store, docs.filter("ord % 2 = 0"), 0)
     ingest.ingest_batch(store, docs, 1)
     nodes, _ = store.graph()

@@ -91,19 +91,22 @@ def without_blank(docs: DataFrame) -> DataFrame:
     return docs.filter((F.col("type") != "text") | (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0))
 
 
+def _plain(path: str):
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def with_images(docs: DataFrame, image_folder: str) -> DataFrame:
     """Text rows, and others only if their image file exists below the folder."""
-    there = docs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(image_folder).select(F.regexp_replace("path", "^file:(//)?", "").alias("img_path"))
+    there = docs.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(image_folder).select(_plain("path").alias("_there"))
     plain = docs.filter("type = 'text'")
-    return plain.unionByName(docs.filter("type <> 'text'").join(there, "img_path", "left_semi").select(docs.columns))
+    return plain.unionByName(docs.filter("type <> 'text'").join(there, _plain("img_path") == F.col("_there"), "left_semi").select(docs.columns))
 
 
 def read_qa_folder(spark: SparkSession, folder: str) -> DataFrame:
     """JSON files, each a list of objects or an object of objects, as (path, key, item VARIANT)."""
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").withColumn("path", F.col("_metadata.file_path"))
     raw = raw.withColumn("v", F.try_parse_json("value")).filter("v is not null")
-    raw.createOrReplaceTempView("_qa_files")
-    return spark.sql("select path, coalesce(x.key, cast(x.pos as string)) as key, x.value as item from _qa_files, lateral variant_explode(v) as x")
+    return spark.sql("select path, coalesce(x.key, cast(x.pos as string)) as key, x.value as item from {raw}, lateral variant_explode(v) as x", raw=raw)
 
 
 def read_review_items(spark: SparkSession, path: str, task: str) -> DataFrame:
@@ -111,8 +114,7 @@ def read_review_items(spark: SparkSession, path: str, task: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.try_parse_json("value").alias("v"))
     lists = raw.filter("v is not null").withColumn("kind", F.expr("schema_of_variant(v)"))
     one = lists.withColumn("v", F.expr("case when kind like 'ARRAY%' then v when try_variant_get(v, '$.items', 'variant') is not null then variant_get(v, '$.items', 'variant') else parse_json(concat('[', to_json(v), ']')) end"))
-    one.createOrReplaceTempView("_review_lists")
-    items = spark.sql("select x.pos as pos, x.value as item from _review_lists, lateral variant_explode(v) as x")
+    items = spark.sql("select x.pos as pos, x.value as item from {one}, lateral variant_explode(v) as x", one=one)
     lines = raw.filter("v is null").select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
     items = items.unionByName(lines.select("pos", F.try_parse_json("line").alias("item")).filter("item is not null"))
     own = F.expr("try_variant_get(item, '$.id', 'string')")
