@@ -108,28 +108,29 @@ def tables_for(items: list[np.ndarray], max_edits: float, recall: float, seed: i
     """
     rng = np.random.default_rng(seed)
     every = Tables(MOST_TABLES, seed)
-    rows, whole, trial, kinds = [], [], [], []
-    for t in range(trials * len(KINDS_OF_EDITS)):
-        x = items[int(rng.integers(len(items)))]
-        edits, kind = int(max_edits * len(x)), KINDS_OF_EDITS[t % len(KINDS_OF_EDITS)]
-        around = lambda: rng.integers(1, 2**63, len(x)).astype(np.uint64)
-        text = np.concatenate([around(), edited(x, edits, rng, kind), around()])
-        have = B.Rolling(text).every(len(x) // (edits + 1)).tolist()
-        places: dict[int, list[int]] = defaultdict(list)
-        for j, h in enumerate(have):
-            places[h].append(j)
-        for start in {max(0, j - o) for o, h in pieces_of(x, edits) for j in places.get(h, ())}:
-            rows.append(text[start : start + len(x)])
-            whole.append(x)
-            trial.append(t)
-        kinds.append(t % len(KINDS_OF_EDITS))
-    (a, n), (b, _) = padded(whole), padded(rows)
-    b = np.concatenate([b, np.zeros((len(b), a.shape[1] - b.shape[1]), np.uint64)], axis=1)
-    meet = every.keys(a, n) == every.keys(b, n)
+    first = np.full(trials * len(KINDS_OF_EDITS), MOST_TABLES)  # the first table that finds each trial
+    kinds = np.arange(len(first)) % len(KINDS_OF_EDITS)
+    for begin in range(0, len(first), 50):
+        rows, whole, trial = [], [], []
+        for t in range(begin, min(begin + 50, len(first))):
+            x = items[int(rng.integers(len(items)))]
+            edits = int(max_edits * len(x))
+            around = lambda: rng.integers(1, 2**63, len(x)).astype(np.uint64)  # noqa: B023, E731
+            text = np.concatenate([around(), edited(x, edits, rng, KINDS_OF_EDITS[kinds[t]]), around()])
+            places: dict[int, list[int]] = defaultdict(list)
+            for j, h in enumerate(B.Rolling(text).every(len(x) // (edits + 1)).tolist()):
+                places[h].append(j)
+            for start in {max(0, j - o) for o, h in pieces_of(x, edits) for j in places.get(h, ())}:
+                rows.append(text[start : start + len(x)])
+                whole.append(x)
+                trial.append(t)
+        (a, n), (b, _) = padded(whole), padded(rows)
+        b = np.concatenate([b, np.zeros((len(b), a.shape[1] - b.shape[1]), np.uint64)], axis=1)
+        meet = every.keys(a, n) == every.keys(b, n)
+        np.minimum.at(first, trial, np.where(meet.any(axis=1), meet.argmax(axis=1), MOST_TABLES))
     count = EMBEDDINGS
     while count <= MOST_TABLES:
-        found = np.bincount(trial, meet[:, :count].any(axis=1), minlength=len(kinds)) > 0
-        if np.min(np.bincount(kinds, found) / np.bincount(kinds)) >= (1 + recall) / 2:
+        if np.min(np.bincount(kinds, first < count) / np.bincount(kinds)) >= (1 + recall) / 2:
             every.spots = every.spots[:count]
             return every
         count *= 2
