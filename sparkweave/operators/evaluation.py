@@ -181,18 +181,19 @@ def on_paths_of_two(edges: DataFrame) -> DataFrame:
     neighbours are not all among u and u's neighbours, so common neighbours are counted instead of
     listing wedges: deg(v) - 1 > common(u, v), or the same for u.
     """
-    e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).filter("src <> tgt").distinct()
+    G.ensure_checkpoint_dir(edges.sparkSession)
+    e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).filter("src <> tgt").distinct().checkpoint()
     d = G.degrees(e)
     # triangles by edges from the end of smaller degree, so a hub is never expanded by itself
     ds = d.withColumnsRenamed({"node_id": "src", "degree": "a"})
     dt = d.withColumnsRenamed({"node_id": "tgt", "degree": "b"})
-    x = e.join(ds, "src").join(dt, "tgt")
+    x = e.join(ds, "src").join(dt, "tgt").checkpoint()
     low = F.struct("a", "src") < F.struct("b", "tgt")
     out = x.select(F.when(low, F.col("src")).otherwise(F.col("tgt")).alias("u"), F.when(low, F.col("tgt")).otherwise(F.col("src")).alias("v"))
     wedge = out.select("u", F.col("v").alias("p")).join(out.select("u", F.col("v").alias("q")), "u").filter("p < q")
     tri = wedge.join(e.select(F.col("src").alias("p"), F.col("tgt").alias("q")), ["p", "q"])
-    pair = lambda a, b: tri.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("tgt"))
-    common = pair("u", "p").unionByName(pair("u", "q")).unionByName(pair("p", "q")).groupBy("src", "tgt").agg(F.count("*").alias("common"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("tgt"))
+    common = tri.select(F.explode(F.array(pair("u", "p"), pair("u", "q"), pair("p", "q"))).alias("x")).groupBy("x.src", "x.tgt").agg(F.count("*").alias("common"))
     y = x.join(common, ["src", "tgt"], "left").na.fill({"common": 0})
     return y.filter(F.greatest("a", "b") - 1 > F.col("common")).select("src", "tgt")
 

@@ -87,14 +87,14 @@ def merge_nodes(new: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     descriptions and sources are sorted and distinct.  Types are counted before names are grouped.
     """
     x = new.select(F.col("entity_name").alias("node_id"), "entity_type", "description", "source_id")
-    votes = x.groupBy("node_id", "entity_type").agg(F.count("*").alias("n"))
-    texts = x.select("node_id", F.col("description").alias("d"), F.col("source_id").cast("string").alias("s"))
+    x = x.select("node_id", "entity_type", F.col("description").alias("d"), F.col("source_id").cast("string").alias("s"), F.lit(1).alias("vote"))
     if stored is not None:
-        votes = votes.unionByName(stored.select("node_id", "entity_type", F.lit(1).cast("long").alias("n"))).groupBy("node_id", "entity_type").agg(F.sum("n").alias("n"))
         null = F.lit(None).cast("string")
-        texts = texts.unionByName(stored.select("node_id", F.explode("descriptions").alias("d"), null.alias("s"))).unionByName(stored.select("node_id", null.alias("d"), F.explode("source_ids").alias("s")))
-    kinds = votes.groupBy("node_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"))
-    return kinds.join(_collected(texts, ["node_id"]), "node_id")
+        row = lambda d, s, vote: stored.select("node_id", "entity_type", d.alias("d"), s.alias("s"), F.lit(vote).alias("vote"))
+        x = x.unionByName(row(null, null, 1)).unionByName(row(F.explode("descriptions"), null, 0)).unionByName(row(null, F.explode("source_ids"), 0))
+    kinds = x.groupBy("node_id", "entity_type").agg(F.sum("vote").alias("n"), F.collect_set("d").alias("d"), F.collect_set("s").alias("s"))
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    return kinds.groupBy("node_id").agg(F.min_by("entity_type", F.struct(-F.col("n"), F.col("entity_type"))).alias("entity_type"), both("d").alias("descriptions"), both("s").alias("source_ids"))
 
 
 def _collected(texts: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,10 +72,10 @@ def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, ma
             won = won.withColumns({"place": F.row_number().over(line), "before": F.sum("length").over(line) - F.col("length")}).filter(F.col("n") + F.col("place") <= cap)
             if max_length is not None:
                 won = won.filter(F.col("size") + F.col("before") <= max_length)
-            won = won.select("community_id", "unit_id", "kind", F.lit(step).alias("ord"), "c_rank", "rank", "length").checkpoint()
-            if won.isEmpty():
-                break
+            won = won.select("community_id", "unit_id", "kind", F.lit(step).alias("ord"), "c_rank", "rank", "length")
             members = members.unionByName(won).checkpoint()
+            if members.filter(F.col("ord") == step).isEmpty():
+                break
         done = members.select("community_id", "unit_id", "kind", "ord")
         out = done if out is None else out.unionByName(done)
         free = free.join(done.select("unit_id"), "unit_id", "left_anti").checkpoint()
@@ -174,20 +174,30 @@ def hierarchy_edges(edges: DataFrame, relations=RELATIONS) -> DataFrame:
     return edges.withColumn("is_hierarchy", F.coalesce(*kinds, F.lit("")).isin(*relations))
 
 
-def sibling_groups(edges: DataFrame, max_siblings: int = 10, max_rounds: int = 20) -> DataFrame:
+def sibling_groups(edges: DataFrame, max_siblings: int = 10) -> DataFrame:
     """edges(src child, tgt parent) -> (community_id, node_id, role): a parent and two or more of its children.
 
     A child belongs to the parent with most free children (ties: the smaller id); a group takes
-    max_siblings, and what is left over forms further groups of the parent while two remain.
+    max_siblings, and what is left over forms further groups of the parent while two remain.  Children
+    that are alone in a group try again with other parents, until a round makes no group.
     """
     G.ensure_checkpoint_dir(edges.sparkSession)
     free = edges.filter("src <> tgt").select("src", "tgt").distinct()
-    sizes = free.groupBy("tgt").agg(F.count("*").alias("n"))
-    claim = free.join(sizes, "tgt").groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("parent"))
     place = F.row_number().over(Window.partitionBy("parent").orderBy("src"))
-    x = claim.withColumn("g", F.floor((place - 1) / max_siblings))
     n = F.count("*").over(Window.partitionBy("parent", "g"))
-    x = x.withColumn("n", n).filter("n >= 2").withColumn("community_id", F.concat_ws("/", F.col("parent"), F.col("g").cast("string")))
+    x, again = None, ""
+    while True:
+        sizes = free.groupBy("tgt").agg(F.count("*").alias("n"))
+        claim = free.join(sizes, "tgt").groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("parent"))
+        claim = claim.withColumn("g", F.floor((place - 1) / max_siblings)).withColumn("n", n)
+        found = claim.filter("n >= 2").withColumn("community_id", F.concat(F.col("parent"), F.lit("/" + again), F.col("g").cast("string"))).checkpoint()
+        if x is not None and found.isEmpty():
+            break
+        x, again = found if x is None else x.unionByName(found), again + "+"
+        alone = claim.filter("n < 2").select("src", F.col("parent").alias("tgt"))  # this parent has no second child for it
+        free = free.join(found.select("src"), "src", "left_anti").join(alone, ["src", "tgt"], "left_anti").checkpoint()
+        if free.isEmpty():
+            break
     heads = x.select("community_id", F.col("parent").alias("node_id"), F.lit("parent").alias("role")).distinct()
     return x.select("community_id", F.col("src").alias("node_id"), F.lit("child").alias("role")).unionByName(heads)
 

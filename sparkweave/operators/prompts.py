@@ -65,7 +65,7 @@ def subgraph_json() -> Column:
     return F.to_json(F.struct("nodes", "edges"))
 
 
-def hierarchy_text(nodes: DataFrame, edges: DataFrame, layout: str = "markdown", reverse: bool = False, max_depth: int = 10) -> DataFrame:
+def hierarchy_text(nodes: DataFrame, edges: DataFrame, layout: str = "markdown", reverse: bool = False) -> DataFrame:
     """nodes(batch_id, node_id, description), edges(batch_id, src, tgt) -> (batch_id, text): trees in pre-order.
 
     A child is the target of an edge (the source if reverse); children come in order of id; roots have
@@ -78,7 +78,7 @@ def hierarchy_text(nodes: DataFrame, edges: DataFrame, layout: str = "markdown",
     every = nodes.select("batch_id", "node_id").unionByName(e.select("batch_id", F.explode(F.array("parent", "child")).alias("node_id"))).distinct()
     level = every.join(e.select("batch_id", F.col("child").alias("node_id")).distinct(), ["batch_id", "node_id"], "left_anti").withColumn("path", F.array("node_id"))
     out = level
-    for _ in range(max_depth):
+    while True:  # no path meets a node twice
         level = level.join(e, (level["batch_id"] == e["batch_id"]) & (level["node_id"] == e["parent"])).filter(~F.array_contains("path", F.col("child"))).select(level["batch_id"], F.col("child").alias("node_id"), F.array_append("path", F.col("child")).alias("path")).checkpoint()
         if level.isEmpty():
             break

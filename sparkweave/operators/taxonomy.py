@@ -171,16 +171,14 @@ def link_intents(intents: DataFrame, nodes: DataFrame, min_score: float = 0.1, t
     words = intents.select("intent_id", T.keywords("text").alias("kw")).filter(F.size("kw") > 0)
     words = words.select("intent_id", F.size("kw").alias("total"), F.explode("kw").alias("kw"))
     kw = words.select("kw").distinct()
-    gram = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))
-    sizes = (1, 2, 3)
-    index = None
-    for n in sizes:
-        x = hay.filter(F.length("hay") >= n).select("node_id", F.explode(gram("hay", n)).alias("gram"))
-        index = x if index is None else index.unionByName(x)
+    places = lambda c, n: F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
+    gram = lambda c, n: F.transform(places(c, n), lambda i: F.substring(c, i, F.lit(n)))
+    index = hay.select("node_id", F.explode(F.array_distinct(F.concat(*[gram("hay", n) for n in (1, 2, 3)]))).alias("gram"))
     # the rarest gram of a keyword leads to its nodes
-    key = F.when(F.length("kw") >= 3, gram("kw", 3)).otherwise(F.array("kw"))
+    key = F.when(F.length("kw") >= 3, F.array_distinct(gram("kw", 3))).otherwise(F.array("kw"))
     grams = kw.select("kw", F.explode(key).alias("gram"))
-    index = index.join(grams.select("gram").distinct(), "gram", "left_semi")
+    G.ensure_checkpoint_dir(spark)
+    index = index.join(grams.select("gram").distinct(), "gram", "left_semi").checkpoint()
     counts = index.groupBy("gram").agg(F.count("*").alias("n"))
     rare = grams.join(counts, "gram").groupBy("kw").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
     hits = rare.join(index, "gram").join(hay, "node_id").filter(F.col("hay").contains(F.col("kw"))).select("kw", "node_id")

@@ -14,10 +14,14 @@ def documents_of(table: DataFrame) -> DataFrame:
 
 
 def build_graph(docs: DataFrame, respond=extract.rule_extraction) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, nodes, edges); respond(chunks) -> (chunk_id, response)."""
+    """(chunks, nodes, edges); respond(chunks) -> (chunk_id, response).
+
+    Responses are written once (a model is asked once), and so are the mentions and edges that several tables derive from.
+    """
+    G.ensure_checkpoint_dir(docs.sparkSession)
     chunks = chunking.chunk_documents(docs)
-    entities, relations = extract.mentions(respond(chunks))
-    nodes, edges = extract.merge_nodes(entities), extract.merge_edges(relations)
+    entities, relations = extract.mentions(respond(chunks).checkpoint())
+    nodes, edges = extract.merge_nodes(entities).checkpoint(), extract.merge_edges(relations).checkpoint()
     return chunks, extract.with_endpoints(nodes, edges), edges
 
 

@@ -364,19 +364,32 @@ def complex_relations(spark, d):
     return E.on_paths_of_two(part_graph(spark, d))
 
 
-@query("""with k as (select 'C' || c_custkey as c, c_nationkey as n, n_regionkey as r, row_number() over (partition by c_nationkey order by c_custkey) as i from customer join nation on n_nationkey = c_nationkey)
-select a.n::bigint as qa_id, (case when count(*) = 3 then 4.0 / 3 else 1.0 end)::double as mean_hops from k a where i <= 2 group by a.n having count(*) >= 0 and false union all
-select n::bigint, round(case when max(i) >= 2 then 4.0 / 3 else 1.0 end, 6)::double from k group by n""")
+@query(f"""with {_EDGES}, s as (select src as u, tgt as v from edges union select tgt, src from edges),
+q as (select c_custkey as qa_id, 'C' || c_custkey as node_id from customer union all select c_custkey, 'N' || c_nationkey from customer union all select c_custkey, 'R' || n_regionkey from customer join nation on n_nationkey = c_nationkey),
+pairs as (select x.qa_id, x.node_id as a, y.node_id as b from q x join q y on x.qa_id = y.qa_id and x.node_id < y.node_id),
+h as (select qa_id, 1 as hops from pairs semi join s on u = a and v = b union all select qa_id, 2 from pairs anti join s on u = a and v = b where exists (select 1 from s x join s y on x.v = y.u where x.u = a and y.v = b))
+select qa_id::bigint as qa_id, round(avg(hops), 6) as mean_hops from h group by qa_id""")
 def mean_hops(spark, d):
-    """Per nation: the nation and its first two customers."""
-    from pyspark.sql import Window
-
-    c = t(spark, d, "customer").withColumn("i", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).filter("i <= 2")
-    q = c.select(F.col("c_nationkey").cast("long").alias("qa_id"), F.concat(F.lit("C"), "c_custkey").alias("node_id"))
-    q = q.unionByName(c.select(F.col("c_nationkey").cast("long").alias("qa_id"), F.concat(F.lit("N"), "c_nationkey").alias("node_id")).distinct())
+    """Per customer: the customer, its nation and its region; regions of odd nations are out of reach."""
+    c = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    name = F.explode(F.array(F.concat(F.lit("C"), "c_custkey"), F.concat(F.lit("N"), "c_nationkey"), F.concat(F.lit("R"), "n_regionkey")))
+    q = c.select(F.col("c_custkey").cast("long").alias("qa_id"), name.alias("node_id"))
     return E.mean_hops(q, nation_graph(spark, d), 2).withColumn("mean_hops", F.round("mean_hops", 6))
 
 
+@query("""with e as (select distinct 'C' || o_custkey as src, 'P' || o_orderpriority as tgt from orders union select 'C' || c_custkey, 'N' || c_nationkey from customer union select distinct 'P' || o_orderpriority, 'N' || c_nationkey from orders join customer on o_custkey = c_custkey where c_nationkey % 2 = 0),
+s as (select src as u, tgt as v from e union select tgt, src from e), x as (select least(src, tgt) as src, greatest(src, tgt) as tgt from e),
+w as (select a.u, a.v from s a join s b on a.v = b.u and b.v <> a.u anti join s c on c.u = a.u and c.v = b.v)
+select src, tgt from x where exists (select 1 from w where u = src and v = tgt) or exists (select 1 from w where u = tgt and v = src)""")
+def complex_relations_mixed(spark, d):
+    """A graph with triangles: customers, the priorities of their orders, their nations."""
+    o, c = t(spark, d, "orders"), t(spark, d, "customer")
+    name = lambda mark, col: F.concat(F.lit(mark), F.col(col).cast("string"))
+    e = o.select(name("C", "o_custkey").alias("src"), name("P", "o_orderpriority").alias("tgt")).unionByName(c.select(name("C", "c_custkey").alias("src"), name("N", "c_nationkey").alias("tgt")))
+    even = o.join(c.filter("c_nationkey % 2 = 0"), o["o_custkey"] == c["c_custkey"])
+    return E.on_paths_of_two(e.unionByName(even.select(name("P", "o_orderpriority").alias("src"), name("N", "c_nationkey").alias("tgt"))))
+
+
 # Critics and reviews
 
 _RULES = f"{_QA}, r as (select *, length(trim(answer)) >= 20 as a, length(trim(question)) >= 10 as b, lower(trim(question)) <> lower(trim(answer)) as c from qa)"
