@@ -179,24 +179,24 @@ def sibling_groups(edges: DataFrame, max_siblings: int = 10) -> DataFrame:
 
     A child belongs to the parent with most free children (ties: the smaller id); a group takes
     max_siblings, and what is left over forms further groups of the parent while two remain.  Children
-    that are alone in a group try again with other parents, until a round makes no group.
+    that are alone in a group try their other parents, until a round changes nothing.
     """
     G.ensure_checkpoint_dir(edges.sparkSession)
     free = edges.filter("src <> tgt").select("src", "tgt").distinct()
     place = F.row_number().over(Window.partitionBy("parent").orderBy("src"))
     n = F.count("*").over(Window.partitionBy("parent", "g"))
-    x, again = None, ""
-    while True:
+    x, again, left = None, "", free.count()
+    while True:  # each round but the last takes edges away
         sizes = free.groupBy("tgt").agg(F.count("*").alias("n"))
-        claim = free.join(sizes, "tgt").groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("parent"))
+        claim = free.join(sizes, "tgt").groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("parent"), F.count("*").alias("parents"))
         claim = claim.withColumn("g", F.floor((place - 1) / max_siblings)).withColumn("n", n)
-        found = claim.filter("n >= 2").withColumn("community_id", F.concat(F.col("parent"), F.lit("/" + again), F.col("g").cast("string"))).checkpoint()
-        if x is not None and found.isEmpty():
-            break
+        claim = claim.withColumn("community_id", F.concat(F.col("parent"), F.lit("/" + again), F.col("g").cast("string"))).checkpoint()
+        found = claim.filter("n >= 2")
         x, again = found if x is None else x.unionByName(found), again + "+"
-        alone = claim.filter("n < 2").select("src", F.col("parent").alias("tgt"))  # this parent has no second child for it
+        alone = claim.filter("n < 2 and parents > 1").select("src", F.col("parent").alias("tgt"))
         free = free.join(found.select("src"), "src", "left_anti").join(alone, ["src", "tgt"], "left_anti").checkpoint()
-        if free.isEmpty():
+        before, left = left, free.count()
+        if left in (0, before):
             break
     heads = x.select("community_id", F.col("parent").alias("node_id"), F.lit("parent").alias("role")).distinct()
     return x.select("community_id", F.col("src").alias("node_id"), F.lit("child").alias("role")).unionByName(heads)

@@ -242,3 +242,11 @@ def test_text_functions(spark):
     assert set(y.select(T.keywords("t")).first()[0]) == {"大", "数", "据", "大数", "数据", "graph", "graphs"}
     z = spark.createDataFrame([("Sure, here is the answer:\n{'a': None}",)], "t string")
     assert z.select(T.without_chatter("t")).first()[0] == "{'a': None}"
+
+
+def test_lone_siblings_try_their_other_parents(spark):
+    edges = spark.createDataFrame([(c, "P") for c in "abcx"] + [("x", "Q"), ("y", "Q"), ("z", "R")], "src string, tgt string")
+    got = partition.sibling_groups(edges, max_siblings=3).collect()
+    assert sorted((r.community_id, r.node_id) for r in got if r.role == "child") == [("P/0", "a"), ("P/0", "b"), ("P/0", "c"), ("Q/+0", "x"), ("Q/+0", "y")]
+    assert sorted(r.node_id for r in got if r.role == "parent") == ["P", "Q"]
+    assert partition.sibling_groups(edges.limit(0)).count() == 0
