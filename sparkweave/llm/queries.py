@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lines, lm_score, mixing, near_dup, pii, quality, secret_scan, substrings, suffixes
+from . import decontaminate, gam, lines, lm_score, mixing, near_dup, pii, quality, secret_scan, spelling, substrings, suffixes, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,20 @@ def op10_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_windows(_table(spark, sf_dir, "documents"), window=50)
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op13_bloom_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), min_chars=5, min_count=3, ratio=2, drop_every=97)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op3_cgk_windows, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op9_context_mixing, op10_difference_cover)}
+    return {f.__name__: f for f in (op1_hierarchical_budget, op2_suffix_array, op3_cgk_windows, op4_risk_thresholds, op5_bloom_lines, op6_prob_min_hash, op7_assignment_lexing, op8_bootstrapped_contexts, op9_context_mixing, op10_difference_cover, op11_polarised_whitening, op12_additive_model, op13_bloom_neighbours)}
 
 
 def _op1_sql(share: int = 600, epochs: int = 2, seed: int = 7) -> str:
