@@ -206,11 +206,13 @@ def _fitted(rows: DataFrame, names: list[str], max_rows: int, seed: int) -> Mode
     some = rows.filter(F.pmod(F.xxhash64(F.lit(seed), *names), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def boost(table: pa.Table) -> pa.Table:
-        m = fit(np.stack([table.column(c).to_numpy() for c in names], axis=1), table.column("quality").to_numpy().astype(float), cuts)
+        x, y = np.stack([table.column(c).to_numpy() for c in names], axis=1), table.column("quality").to_numpy().astype(float)
+        order = np.lexsort((y, *x.T))  # the sums do not depend on how rows arrive
+        m = fit(x[order], y[order], cuts)
         parts = [("base", 0, 0, np.array([m.base])), *[("table", k, k, t) for k, t in enumerate(m.tables)], *[("grid", a, b, t.reshape(-1)) for (a, b), t in zip(m.pairs, m.grids)]]
         return pa.table({"kind": [p[0] for p in parts], "a": pa.array([p[1] for p in parts], pa.int32()), "b": pa.array([p[2] for p in parts], pa.int32()), "v": pa.array([p[3].tolist() for p in parts], pa.list_(pa.float64()))})
 
-    fitted = some.orderBy(*names, "quality").groupBy(F.lit(0).alias("one")).applyInArrow(boost, "kind string, a int, b int, v array<double>").collect()
+    fitted = some.groupBy(F.lit(0).alias("one")).applyInArrow(boost, "kind string, a int, b int, v array<double>").collect()
     m = Model(cuts, [c[np.unique(np.linspace(0, len(c) - 1, GRID - 1).astype(int))] if len(c) else c for c in cuts])
     m.tables = [np.zeros(len(c) + 1) for c in cuts]
     for r in fitted:
