@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,22 +18,34 @@ def ensure_checkpoint_dir(spark) -> None:
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back.
+
+    Cuts the lineage as checkpoint() does, but the plan then knows the table's size; after checkpoint()
+    it keeps the estimate of the old plan, which multiplies with every join of a loop.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 
     Alternates large-star and small-star (Kiveris et al. 2014) until the edges are stars;
     each round is checkpointed.  Nulls and self-loops are ignored.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.greatest(src, tgt).alias("u"), F.least(src, tgt).alias("v")).filter("u is not null and v is not null and u <> v")
-    e = e.distinct()
+    e = settled(e.distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        e = settled(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select("v", F.lit(0), F.lit(1)).toDF("x", "up", "root"))
         if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or (up = 1 and root = 1)").isEmpty():
             break  # stars: every node points to one root, and no root points on
@@ -131,33 +144,113 @@ def path_lengths(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFra
     return seen
 
 
-def cycle_core(edges: DataFrame) -> DataFrame:
-    """Directed edges (src, tgt) on cycles or between them: what peeling nodes without a way in, or out, leaves."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select("src", "tgt").distinct().checkpoint()
-    n = e.count()
-    while True:  # each round but the last takes edges away
-        inner = e.join(e.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
-        e = inner.select("src", "tgt").checkpoint()
-        m = e.count()
-        if m == n:
+def _farthest(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, top): of all nodes from which steps(u, v) lead to a node, itself included, the one of greatest rank.
+
+    Ranks are hashes, so that no order of ids makes long chains of small gains; besides its neighbours'
+    best a node takes the best of its own best, which doubles the distance that a rank travels.
+    """
+    rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("n"))
+    best = settled(nodes.select("node", rank("node").alias("top")))
+    while True:
+        near = steps.join(best.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node"), "top", F.lit(None).cast(best.schema["top"].dataType).alias("old"))
+        near = best.withColumn("old", F.col("top")).unionByName(near).groupBy("node").agg(F.max("top").alias("top"), F.max("old").alias("old"))
+        ahead = best.select(F.col("node").alias("_n"), F.col("top").alias("_t"))
+        new = near.join(ahead, F.col("top.n") == F.col("_n"), "left").withColumn("top", F.greatest("top", "_t"))
+        new = settled(new.select("node", "top", (F.col("top") > F.col("old")).alias("moved")))
+        best = new.select("node", "top")
+        if new.filter("moved").isEmpty():
+            return best.select("node", F.col("top.n").alias("top"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes on a directed cycle of edges(src, tgt): its strongly connected component, by its smallest node.
+
+    Forward and backward colouring: each node takes the colour of the first-ranked node that leads
+    to it; a colour's node and what leads back to it within the colour are one component.  They go, edges
+    between colours go, and what is left is coloured again.  A loop is a cycle; nulls are ignored.
+    """
+    whole = settled(edges.select("src", "tgt").filter("src is not null and tgt is not null").distinct())
+    left, out = whole.filter("src <> tgt"), None
+    while True:
+        # nodes without a way in or out are on no cycle
+        inner = left.join(left.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
+        left = settled(inner.select("src", "tgt"))
+        if left.isEmpty():
             break
-        n = m
-    return e
+        nodes = left.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
+        colour = settled(_farthest(left.select(F.col("src").alias("u"), F.col("tgt").alias("v")), nodes))
+        side = lambda c: colour.select(F.col("node").alias(c), F.col("top").alias(f"c_{c}"))
+        inside = settled(left.join(side("src"), "src").join(side("tgt"), "tgt").filter("c_src = c_tgt").select("src", "tgt"))
+        back = _farthest(inside.select(F.col("tgt").alias("u"), F.col("src").alias("v")), nodes)
+        found = settled(colour.join(back.withColumnRenamed("top", "b"), "node").filter("b = top").select("node", "top"))
+        out = found if out is None else out.unionByName(found)
+        for end in ("src", "tgt"):
+            inside = inside.join(found.select(F.col("node").alias(end)), end, "left_anti")
+        left = inside.select("src", "tgt")
+    loops = whole.filter("src = tgt").select(F.col("src").alias("node"))
+    if out is None:
+        return loops.select("node", F.col("node").alias("component"))
+    names = out.groupBy("top").agg(F.min("node").alias("component"), F.count("*").alias("n")).filter("n > 1")
+    parts = out.join(names, "top").select("node", "component")
+    return parts.unionByName(loops.join(parts, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """(src, tgt, component): the directed edges that lie on a cycle, loops included; edges between cycles do not."""
+    c = settled(strong_components(edges))
+    side = lambda x: c.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    e = edges.select("src", "tgt").distinct()
+    return e.join(side("src"), "src").join(side("tgt"), "tgt").filter("c_src = c_tgt").select("src", "tgt", F.col("c_src").alias("component"))
+
+
+def cycle_core(edges: DataFrame) -> DataFrame:
+    """(src, tgt) of cycle_edges()."""
+    return cycle_edges(edges).select("src", "tgt")
 
 
 def without_cycles(edges: DataFrame) -> DataFrame:
     """Directed edges with one edge per cyclic component dropped (the greatest), again until no cycle is left."""
     out = edges
     while True:
-        core = cycle_core(out)
+        core = settled(cycle_edges(out))
         if core.isEmpty():
             return out
-        parts = connected_components(core)
-        tagged = core.join(parts.withColumnRenamed("node", "src"), "src").unionByName(core.filter("src = tgt").withColumn("component", F.col("src")).select("src", "tgt", "component"))
-        drop = tagged.groupBy("component").agg(F.max(F.struct("src", "tgt")).alias("x")).select("x.src", "x.tgt")
-        drop = drop.unionByName(core.filter("src = tgt")).distinct()
-        out = out.join(drop, ["src", "tgt"], "left_anti").checkpoint()
+        drop = core.groupBy("component").agg(F.max(F.struct("src", "tgt")).alias("x")).select("x.src", "x.tgt")
+        drop = drop.unionByName(core.filter("src = tgt").select("src", "tgt")).distinct()
+        out = settled(out.join(drop, ["src", "tgt"], "left_anti"))
+
+
+def pair_distances(edges: DataFrame, pairs: DataFrame, max_hops: int) -> DataFrame:
+    """(source, target, hops) of the wanted pairs(source, target) that are at most max_hops apart, the edges taken both ways.
+
+    Two frontiers: rings of nodes grow around the sources and around the targets, of pairs that have
+    not met yet only, on the side whose next ring is the smaller.  A pair has met where a ring touches what
+    the other side has seen; the first touch is its distance, as sides grow by one hop at a time.
+    """
+    step = settled(both_ways(edges).filter("u <> v").distinct())
+    degree = settled(step.groupBy("u").agg(F.count("*").alias("n")))
+    open_ = settled(pairs.select("source", "target").filter("source is not null and target is not null").distinct())
+    done = open_.filter("source = target").withColumn("hops", F.lit(0))
+    open_ = settled(open_.filter("source <> target"))
+    seen = {e: settled(open_.select(F.col(e).alias("end"), F.col(e).alias("node")).distinct()) for e in ("source", "target")}
+    ring = dict(seen)
+    for hops in range(1, max_hops + 1):
+        ring = {e: r.join(open_.select(F.col(e).alias("end")).distinct(), "end", "left_semi") for e, r in ring.items()}
+        ahead = {e: r.join(degree, r["node"] == degree["u"]).agg(F.sum("n")).first()[0] or 0 for e, r in ring.items()}
+        if not min(ahead.values()):
+            break  # one side has nowhere to go
+        side = min(ahead, key=lambda e: (ahead[e], e))
+        other = "target" if side == "source" else "source"
+        new = ring[side].join(step, F.col("node") == F.col("u")).select("end", F.col("v").alias("node")).distinct().join(seen[side], ["end", "node"], "left_anti")
+        ring[side] = settled(new)
+        seen[side] = settled(seen[side].unionByName(ring[side]))
+        near = open_.join(ring[side].select(F.col("end").alias(side), "node"), side)
+        met = near.join(seen[other].select(F.col("end").alias(other), "node"), [other, "node"], "left_semi").select("source", "target").distinct()
+        met = settled(met.withColumn("hops", F.lit(hops)))
+        done = done.unionByName(met)
+        open_ = settled(open_.join(met, ["source", "target"], "left_anti"))
+    return done
 
 
 def occurrences(table: DataFrame, key: list[str]) -> DataFrame:

@@ -130,24 +130,37 @@ def good_items(checked: DataFrame, least: float = 0.5) -> DataFrame:
     return checked.filter((F.col("quality") >= least) & F.col("is_valid"))
 
 
+def _before(tokens: Column) -> Column:
+    """For each token of an array the position of its previous occurrence, -1 if it has none; by sorting, not by search."""
+    place = F.array_sort(F.transform(tokens, lambda x, i: F.struct(x.alias("t"), i.alias("i"))))
+    return F.transform(
+        F.array_sort(F.zip_with(place, F.concat(F.array(F.lit(None).cast("struct<t:string,i:int>")), place), lambda x, y: F.when(x.isNotNull(), F.struct(x["i"].alias("i"), F.when(x["t"] == y["t"], y["i"]).otherwise(-1).alias("b"))))),
+        lambda x: x["b"],
+    )
+
+
 def mtld(tokens: Column, threshold: float = 0.72) -> Column:
-    """Measure of textual lexical diversity, forward and backward, as one aggregate over the tokens."""
+    """Measure of textual lexical diversity, forward and backward, in time linear in the tokens but for a sort.
+
+    A token is a new type of its segment where its previous occurrence lies before the segment, so a
+    segment is a count and a position instead of a set.
+    """
 
     def factors(ts: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("seen"))
+        start = F.struct(F.lit(0.0).alias("f"), F.lit(0).alias("n"), F.lit(0).alias("types"), F.lit(0).alias("i"), F.lit(0).alias("since"))
 
-        def add(acc, x):
-            seen = F.when(F.array_contains(acc["seen"], x), acc["seen"]).otherwise(F.array_append(acc["seen"], x))
-            n = acc["n"] + 1
-            full = F.size(seen) / n <= threshold
-            return F.struct((acc["f"] + F.when(full, 1.0).otherwise(0.0)).alias("f"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, F.array().cast("array<string>")).otherwise(seen).alias("seen"))
+        def add(acc, before):
+            types = acc["types"] + F.when(before < acc["since"], 1).otherwise(0)
+            n, i = acc["n"] + 1, acc["i"] + 1
+            full = types / n <= threshold
+            return F.struct((acc["f"] + F.when(full, 1.0).otherwise(0.0)).alias("f"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, 0).otherwise(types).alias("types"), i.alias("i"), F.when(full, i).otherwise(acc["since"]).alias("since"))
 
         def end(acc):
-            rest = F.when(acc["n"] > 0, 1 - (F.size(acc["seen"]) / acc["n"] - threshold) / (1 - threshold)).otherwise(0.0)
+            rest = F.when(acc["n"] > 0, 1 - (acc["types"] / acc["n"] - threshold) / (1 - threshold)).otherwise(0.0)
             f = acc["f"] + rest
-            return F.when(f > 0, F.size(ts) / f).otherwise(F.size(ts).cast("double"))
+            return F.when(f > 0, acc["i"] / f).otherwise(acc["i"].cast("double"))
 
-        return F.aggregate(ts, start, add, end)
+        return F.aggregate(F.filter(_before(ts), lambda b: b.isNotNull()), start, add, end)
 
     return F.when(F.size(tokens) > 0, (factors(tokens) + factors(F.reverse(tokens))) / 2).otherwise(0.0)
 
@@ -174,6 +187,34 @@ def long_tail(counts: DataFrame, covered: DataFrame, key: list[str], most: int =
     return rare.join(hit, key, "left").agg(F.count("*").alias("long_tail"), F.count("_c").alias("covered"), F.coalesce(F.count("_c") / F.count("*"), F.lit(0.0)).alias("share"))
 
 
+def triangles(edges: DataFrame, cell: int = 512) -> DataFrame:
+    """(u, p, q), p < q: each triangle of edges(src, tgt), each edge once, no loops.
+
+    Edges point from the end of smaller degree, so no node points to more than sqrt(2m) others and a hub
+    is not expanded.  A node that points to more than `cell` is heavy: its targets are hashed into
+    cells, and each two cells meet as a group of their own, so no task holds the wedges of one node.
+    """
+    e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt"))
+    d = G.degrees(e)
+    x = e.join(d.withColumnsRenamed({"node_id": "src", "degree": "a"}), "src").join(d.withColumnsRenamed({"node_id": "tgt", "degree": "b"}), "tgt")
+    low = F.struct("a", "src") < F.struct("b", "tgt")
+    out = G.settled(x.select(F.when(low, F.col("src")).otherwise(F.col("tgt")).alias("u"), F.when(low, F.col("tgt")).otherwise(F.col("src")).alias("v")))
+    heavy = out.groupBy("u").agg(F.ceil(F.count("*") / cell).alias("cells")).filter("cells > 1")
+    out = out.join(heavy, "u", "left").na.fill(1, ["cells"]).withColumn("c", F.pmod(F.xxhash64("v"), F.col("cells")))
+    out = out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    out = G.settled(out.select("u", "v", "c", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi")))
+    side = lambda name: out.select("u", "lo", "hi", F.col("v").alias(name), F.col("c").alias(f"c_{name}"))
+    wedge = side("p").join(side("q"), ["u", "lo", "hi"]).filter("p < q and (lo = hi or c_p <> c_q)").select("u", "p", "q")
+    return wedge.join(e.select(F.col("src").alias("p"), F.col("tgt").alias("q")), ["p", "q"]).select("u", "p", "q")
+
+
+def common_neighbours(edges: DataFrame, cell: int = 512) -> DataFrame:
+    """(src, tgt, common) of the edges whose ends have neighbours in common, src < tgt."""
+    pair = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("tgt"))
+    tri = triangles(edges, cell).select(F.explode(F.array(pair("u", "p"), pair("u", "q"), pair("p", "q"))).alias("x"))
+    return tri.groupBy("x.src", "x.tgt").agg(F.count("*").alias("common"))
+
+
 def on_paths_of_two(edges: DataFrame) -> DataFrame:
     """Edges that lie on a shortest path of length two: (src, tgt).
 
@@ -184,16 +225,8 @@ def on_paths_of_two(edges: DataFrame) -> DataFrame:
     G.ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).filter("src <> tgt").distinct().checkpoint()
     d = G.degrees(e)
-    # triangles by edges from the end of smaller degree, so a hub is never expanded by itself
-    ds = d.withColumnsRenamed({"node_id": "src", "degree": "a"})
-    dt = d.withColumnsRenamed({"node_id": "tgt", "degree": "b"})
-    x = e.join(ds, "src").join(dt, "tgt").checkpoint()
-    low = F.struct("a", "src") < F.struct("b", "tgt")
-    out = x.select(F.when(low, F.col("src")).otherwise(F.col("tgt")).alias("u"), F.when(low, F.col("tgt")).otherwise(F.col("src")).alias("v"))
-    wedge = out.select("u", F.col("v").alias("p")).join(out.select("u", F.col("v").alias("q")), "u").filter("p < q")
-    tri = wedge.join(e.select(F.col("src").alias("p"), F.col("tgt").alias("q")), ["p", "q"])
-    pair = lambda a, b: F.struct(F.least(a, b).alias("src"), F.greatest(a, b).alias("tgt"))
-    common = tri.select(F.explode(F.array(pair("u", "p"), pair("u", "q"), pair("p", "q"))).alias("x")).groupBy("x.src", "x.tgt").agg(F.count("*").alias("common"))
+    x = e.join(d.withColumnsRenamed({"node_id": "src", "degree": "a"}), "src").join(d.withColumnsRenamed({"node_id": "tgt", "degree": "b"}), "tgt").checkpoint()
+    common = common_neighbours(e)
     y = x.join(common, ["src", "tgt"], "left").na.fill({"common": 0})
     return y.filter(F.greatest("a", "b") - 1 > F.col("common")).select("src", "tgt")
 
@@ -201,7 +234,7 @@ def on_paths_of_two(edges: DataFrame) -> DataFrame:
 def mean_hops(qa_nodes: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
     """qa_nodes(qa_id, node_id) -> (qa_id, mean_hops): mean shortest-path length of its node pairs within max_hops."""
     pairs = qa_nodes.alias("x").join(qa_nodes.alias("y"), F.expr("x.qa_id = y.qa_id and x.node_id < y.node_id")).select(F.col("x.qa_id").alias("qa_id"), F.col("x.node_id").alias("source"), F.col("y.node_id").alias("node_id"))
-    reach = G.path_lengths(edges, pairs.select(F.col("source").alias("node_id")), max_hops)
+    reach = G.pair_distances(edges, pairs.select("source", F.col("node_id").alias("target")), max_hops).withColumnRenamed("target", "node_id")
     return pairs.join(reach, ["source", "node_id"]).groupBy("qa_id").agg(F.avg("hops").alias("mean_hops"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import graph as G
 from ..functions import text as T
+from .leiden import leiden
 
 
 def edge_unit(src="src", tgt="tgt") -> Column:
@@ -96,8 +97,52 @@ def _ranked(units: DataFrame, seed: int, loss: str = "random", can_seed: Column
     return units.withColumns({"rank": order_of(seed, loss), "can_seed": F.lit(True) if can_seed is None else can_seed})
 
 
+def walk(units: DataFrame, links: DataFrame, cap: int) -> DataFrame:
+    """units(unit_id, kind, rank) and links(u, v) -> (community_id, unit_id, kind, ord): depth-first walks.
+
+    A walk holds its stack, the path from its first unit to where it is.  In a step it goes on to the
+    first free neighbour (by rank) of the stack's top, or steps back where there is none; it ends at cap
+    units or with an empty stack.  Walks from all units that come first among their free neighbours go
+    on together; of two that want a unit the one whose first unit ranks first gets it, and the other
+    looks again.  Units left over begin further walks.
+    """
+    free = G.settled(units.select("unit_id", "kind", "rank"))
+    links = G.settled(links)
+    out = None
+    while True:  # each phase uses up the units that come first
+        rivals = links.join(free.select(F.col("unit_id").alias("v"), F.col("rank").alias("vr")), "v").groupBy("u").agg(F.min("vr").alias("best"))
+        first = free.join(rivals, F.col("unit_id") == F.col("u"), "left").filter("best is null or rank < best")
+        members = G.settled(first.select(F.col("unit_id").alias("community_id"), "unit_id", "kind", F.lit(0).alias("ord"), F.col("rank").alias("c_rank")))
+        walks = G.settled(members.select("community_id", "c_rank", F.array("unit_id").alias("stack"), F.lit(1).alias("n")))
+        if members.isEmpty():
+            break
+        step = 0
+        while cap > 1:
+            step += 1
+            top = walks.filter((F.size("stack") > 0) & (F.col("n") < cap)).withColumn("u", F.element_at("stack", -1))
+            open_ = free.select(F.col("unit_id").alias("v"), "kind", "rank").join(members.select(F.col("unit_id").alias("v")), "v", "left_anti")
+            want = top.select("community_id", "c_rank", "u").join(links, "u").join(open_, "v").groupBy("community_id").agg(F.first("c_rank").alias("c_rank"), F.min_by(F.struct("v", "kind"), F.struct("rank", "v")).alias("x"))
+            want = want.select("community_id", "c_rank", "x.v", "x.kind")
+            won = want.groupBy("v").agg(F.min_by(F.struct("community_id", "kind", "c_rank"), F.struct("c_rank", "community_id")).alias("x")).select("x.community_id", F.col("v").alias("unit_id"), "x.kind", "x.c_rank")
+            turn = want.select("community_id", F.lit(True).alias("wants")).join(won.select("community_id", F.col("unit_id").alias("got")), "community_id", "left")
+            # the stack: longer by what was won, as it was where another walk won it, shorter where nothing is free
+            x = walks.join(turn, "community_id", "left")
+            going = (F.size("stack") > 0) & (F.col("n") < cap)
+            stack = F.when(F.col("got").isNotNull(), F.array_append("stack", F.col("got"))).when(F.col("wants") | ~going, F.col("stack")).otherwise(F.slice("stack", 1, F.greatest(F.size("stack") - 1, F.lit(0))))
+            x = G.settled(x.select("community_id", "c_rank", stack.alias("stack"), (F.col("n") + F.col("got").isNotNull().cast("int")).alias("n"), "got"))
+            new = x.filter("got is not null").select("community_id", F.col("got").alias("unit_id")).join(free.select("unit_id", "kind"), "unit_id").join(walks.select("community_id", "c_rank"), "community_id")
+            members = G.settled(members.unionByName(new.select("community_id", "unit_id", "kind", F.lit(step).alias("ord"), "c_rank")))
+            walks = x.select("community_id", "c_rank", "stack", "n")
+            if walks.filter((F.size("stack") > 0) & (F.col("n") < cap)).isEmpty():
+                break
+        done = members.select("community_id", "unit_id", "kind", "ord")
+        out = done if out is None else out.unionByName(done)
+        free = G.settled(free.join(done.select("unit_id"), "unit_id", "left_anti"))
+    return out if out is not None else units.sparkSession.createDataFrame([], "community_id string, unit_id string, kind string, ord int")
+
+
 def dfs_communities(nodes: DataFrame, edges: DataFrame, cap: int, seed: int = 0) -> DataFrame:
-    return grow(_ranked(units_of(nodes, edges), seed), incidence(edges), cap, one_way=True)
+    return walk(_ranked(units_of(nodes, edges), seed), incidence(edges), cap)
 
 
 def anchored_communities(nodes: DataFrame, edges: DataFrame, cap: int, anchor_type: str | None = None, anchors: list[str] | None = None, seed: int = 0) -> DataFrame:
@@ -123,37 +168,19 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return inside.crossJoin(total).select((F.col("inside") - F.col("chance")).alias("modularity"))  # one row each
 
 
-def modularity_communities(nodes: DataFrame, edges: DataFrame, max_size: int | None = None, use_lcc: bool = False, rounds: int = 8, seed: int = 0) -> DataFrame:
-    """(community_id, node_id) by local moving on modularity, then split into connected parts.
+def modularity_communities(nodes: DataFrame, edges: DataFrame, max_size: int | None = None, use_lcc: bool = False, seed: int = 0) -> DataFrame:
+    """(community_id, node_id): connected communities of high modularity; see leiden.py.
 
-    In each round half of the nodes (by a hash of node and round) move to the neighbouring
-    community of greatest gain.  Isolated nodes and self-loops are left out; communities over
-    max_size are cut into slices.
+    Isolated nodes and self-loops are left out; communities over max_size are cut into slices.
+    use_lcc: of the largest component only.
     """
-    G.ensure_checkpoint_dir(edges.sparkSession)
     e = edges.filter("src <> tgt").select("src", "tgt").distinct()
     if use_lcc:
         keep = G.connected_components(e)
         top = keep.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
         keep = keep.join(F.broadcast(top), "component").select(F.col("node").alias("src"))  # one row
         e = e.join(keep, "src", "left_semi")
-    e = e.checkpoint()
-    two_m = 2 * max(1, e.count())
-    links = G.both_ways(e).checkpoint()
-    state = G.degrees(e).select("node_id", F.col("degree").alias("k"), F.col("node_id").alias("c")).checkpoint()
-    for r in range(rounds):
-        total = state.groupBy("c").agg(F.sum("k").alias("sum_k"))
-        toward = links.join(state.select(F.col("node_id").alias("v"), "c"), "v").groupBy(F.col("u").alias("node_id"), "c").agg(F.count("*").alias("w"))
-        own = state.select("node_id", "k", F.col("c").alias("now"))
-        x = toward.join(total, "c").join(own, "node_id")
-        gain = F.col("w") - F.col("k") * (F.col("sum_k") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)) / two_m
-        best = x.withColumn("gain", gain).groupBy("node_id").agg(F.max_by("c", F.struct("gain", F.col("c") == F.col("now"), "c")).alias("best"))
-        moves = F.pmod(F.xxhash64(F.lit(seed + r), "node_id"), F.lit(2)) == 0
-        state = state.join(best, "node_id", "left").select("node_id", "k", F.when(moves & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("c")).alias("c")).checkpoint()
-    inside = e.join(state.select(F.col("node_id").alias("src"), F.col("c").alias("a")), "src").join(state.select(F.col("node_id").alias("tgt"), F.col("c").alias("b")), "tgt").filter("a = b")
-    parts = G.connected_components(inside).select(F.col("component").alias("community_id"), F.col("node").alias("node_id"))
-    alone = state.select("node_id").join(parts, "node_id", "left_anti").select(F.col("node_id").alias("community_id"), "node_id")
-    out = parts.unionByName(alone)
+    out = leiden(e, seed=seed).select("community_id", "node_id")
     return sliced(out, max_size) if max_size else out
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import graph as G
 from ..functions import text as T
+from . import tours
 
 DIMENSIONS = ("concept_explanation", "relational_reasoning", "rule_compliance", "anomaly_diagnosis", "comparative_analysis", "procedural_knowledge")
 
@@ -33,8 +36,7 @@ def closure(tree: DataFrame) -> DataFrame:
 
 def with_depth(tree: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Adds depth (null for nodes no root reaches) and is_leaf."""
-    paths = closure(tree) if paths is None else paths
-    depth = paths.groupBy("id").agg(F.max("distance").alias("depth"))
+    depth = tours.depths(tree).select("id", "depth") if paths is None else paths.groupBy("id").agg(F.max("distance").alias("depth"))
     parents = tree.select(F.col("parent_id").alias("id")).filter("id is not null").distinct().withColumn("_p", F.lit(True))
     return tree.join(depth, "id", "left").join(parents, "id", "left").withColumn("is_leaf", F.col("_p").isNull()).drop("_p")
 
@@ -89,22 +91,8 @@ def statistics(tree: DataFrame) -> DataFrame:
 
 
 def nested_json(tree: DataFrame) -> DataFrame:
-    """(id, json) of each root, children nested in order of id: built from the deepest level up."""
-    d = with_depth(tree).select("id", "name", "parent_id", "cognitive_dimension", "depth").checkpoint()
-    deepest = d.agg(F.max("depth")).first()[0]
-    below = None
-    for depth in range(deepest if deepest is not None else -1, -1, -1):
-        x = d.filter(F.col("depth") == depth)
-        own = F.regexp_replace(F.to_json(F.struct("id", "name", "cognitive_dimension")), r"\}$", "")
-        if below is not None:
-            x = x.join(below, F.col("id") == F.col("p"), "left").drop("p")
-        else:
-            x = x.withColumn("kids", F.lit(None).cast("string"))
-        x = x.withColumn("json", F.concat(own, F.lit(',"children":['), F.coalesce("kids", F.lit("")), F.lit("]}")))
-        if depth == 0:
-            return x.select("id", "json")
-        below = x.groupBy(F.col("parent_id").alias("p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "json"))), lambda y: y["json"]), ",").alias("kids"))
-    return tree.sparkSession.createDataFrame([], "id string, json string")
+    """(root, at, piece): the roots' nested JSON as rows, to be read or written in order; see tours.write_nested()."""
+    return tours.nested_steps(G.settled(tours.euler_tour(tree)), tree)
 
 
 # Sampling
@@ -158,30 +146,55 @@ def coverage(tree: DataFrame, history: DataFrame) -> DataFrame:
 # Intents
 
 
+#: Bytes of keywords of one automaton; more keywords take more passes over the nodes.
+AUTOMATON_BYTES = 16 << 20
+
+
+def keyword_hits(table: DataFrame, key: str, text: str, keywords: DataFrame, pass_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """(key, kw): which of keywords(kw) occur anywhere in each row's text; one scan of the table a pass.
+
+    A pass builds an automaton of keywords that fit in pass_bytes, dealt by hash, so what a task holds is bounded.
+    """
+    spark = table.sparkSession
+    kw = G.settled(keywords.filter("kw <> ''").select("kw").distinct())
+    passes = max(1, -(-(kw.agg(F.sum(F.octet_length("kw"))).first()[0] or 0) // pass_bytes))
+    kind = table.schema[key].dataType.simpleString()
+    out = spark.createDataFrame([], f"key {kind}, kw string")
+    rows = table.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    for k in range(passes):
+        words = [r["kw"] for r in kw.filter(F.pmod(F.xxhash64("kw"), F.lit(passes)) == k).collect()]  # about pass_bytes
+        if not words:
+            continue
+        sent = spark.sparkContext.broadcast(words)
+
+        def scan(batches, sent=sent):
+            automaton = ahocorasick.Automaton()
+            for w in sent.value:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    hits = {w for _, w in automaton.iter(text)}
+                    at += [i] * len(hits)
+                    found += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], names=["key", "kw"])
+
+        out = out.unionByName(rows.mapInArrow(scan, f"key {kind}, kw string")) if k else rows.mapInArrow(scan, f"key {kind}, kw string")
+    return out.withColumnRenamed("key", key)
+
+
 def link_intents(intents: DataFrame, nodes: DataFrame, min_score: float = 0.1, top: int = 5) -> DataFrame:
     """intents(intent_id, text), nodes(node_id, description, ...) -> (intent_id, node_id, score).
 
     score: the share of an intent's keywords that occur anywhere in the node's id, description,
-    entity_type, name or label.  Candidates come from an inverted index of trigrams, so no intent
-    meets every node: a keyword can only occur where all its trigrams do; short keywords look up by themselves.
+    entity_type, name or label.  Nodes are read once, by an automaton of all keywords.
     """
-    spark = intents.sparkSession
     parts = [F.coalesce(F.lower(F.col(c).cast("string")), F.lit("")) for c in ("node_id", "description", "entity_type", "name", "label") if c in nodes.columns]
     hay = nodes.select("node_id", F.concat_ws(" ", *parts).alias("hay"))
     words = intents.select("intent_id", T.keywords("text").alias("kw")).filter(F.size("kw") > 0)
-    words = words.select("intent_id", F.size("kw").alias("total"), F.explode("kw").alias("kw"))
-    kw = words.select("kw").distinct()
-    places = lambda c, n: F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1)))
-    gram = lambda c, n: F.transform(places(c, n), lambda i: F.substring(c, i, F.lit(n)))
-    index = hay.select("node_id", F.explode(F.array_distinct(F.concat(*[gram("hay", n) for n in (1, 2, 3)]))).alias("gram"))
-    # the rarest gram of a keyword leads to its nodes
-    key = F.when(F.length("kw") >= 3, F.array_distinct(gram("kw", 3))).otherwise(F.array("kw"))
-    grams = kw.select("kw", F.explode(key).alias("gram"))
-    G.ensure_checkpoint_dir(spark)
-    index = index.join(grams.select("gram").distinct(), "gram", "left_semi").checkpoint()
-    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
-    rare = grams.join(counts, "gram").groupBy("kw").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    hits = rare.join(index, "gram").join(hay, "node_id").filter(F.col("hay").contains(F.col("kw"))).select("kw", "node_id")
+    words = G.settled(words.select("intent_id", F.size("kw").alias("total"), F.explode("kw").alias("kw")))
+    hits = G.settled(keyword_hits(hay, "node_id", "hay", words))
     x = words.join(hits, "kw").groupBy("intent_id", "node_id").agg((F.count("*") / F.first("total")).alias("score")).filter(F.col("score") >= min_score)
     rank = Window.partitionBy("intent_id").orderBy(F.desc("score"), "node_id")
     return x.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("intent_id", "node_id", "score", "rank")

@@ -340,10 +340,18 @@ def length_stats(spark, d):
     return x.groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 6).alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
 
 
-@query()
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(T.STOPWORDS))
+
+
+@query(rf"""with recursive a as (select conv_id, turn, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: w not in ({_STOP})) as t from conversations),
+tk as (select conv_id, turn, 0 as back, t from a union all select conv_id, turn, 1, list_reverse(t) from a),
+r as (select conv_id, turn, back, 0 as i, 0 as since, 0 as types, 0 as f from tk union all
+select conv_id, turn, back, i + 1, case when whole then i + 1 else since end, case when whole then 0 else k end, f + whole::int from (select *, k / (i + 1 - since)::double <= 0.72 as whole from (select r.*, types + (not list_contains(t[since + 1 : i], t[i + 1]))::int as k from r join tk using (conv_id, turn, back) where i < len(t)))),
+e as (select conv_id, turn, i, f + case when i > since then 1 - (types / (i - since)::double - 0.72) / (1 - 0.72) else 0 end as f from r join tk using (conv_id, turn, back) where i = len(t))
+select conv_id, turn, round(avg(case when i = 0 then 0 when f > 0 then i / f else i end), 6) as mtld from e group by conv_id, turn""")
 def mtld_scores(spark, d):
     tokens = E.content_tokens("text", T.STOPWORDS)
-    return t(spark, d, "conversations").select("conv_id", "turn", E.mtld(tokens).alias("mtld"))
+    return t(spark, d, "conversations").select("conv_id", "turn", F.round(E.mtld(tokens), 6).alias("mtld"))
 
 
 # Coverage of the part graph
@@ -507,7 +515,9 @@ def taxonomy_siblings(spark, d):
     return X.sibling_counts(part_tree(spark, d))
 
 
-@query()
+@query(f"""with {_TREE}, x as (select *, split_part(id, '/', 1) as root, case depth when 0 then [id] when 1 then [parent_id, id] else [split_part(id, '/', 1), parent_id, id] end as path, case when is_leaf then split_part(id, '/', 3) when depth = 1 then split_part(id, '/', 2) else id end as name from tree),
+y as (select *, row_number() over (partition by root order by path) - 1 as place, row_number() over (partition by coalesce(parent_id, id) || depth order by id) as nth, 1 + case depth when 0 then (select count(*) from x k where k.root = x.id) - 1 when 1 then (select count(*) from x k where k.parent_id = x.id) else 0 end as size from x)
+select root, (2 * place - depth)::bigint as at, case when depth > 0 and nth > 1 then ',' else '' end || '{{"id":"' || id || '","name":"' || name || '","cognitive_dimension":"' || dim || '","children":[' as piece from y union all select root, (2 * place - depth + 2 * size - 1)::bigint, ']}}' from y""")
 def taxonomy_nested(spark, d):
     return X.nested_json(part_tree(spark, d))
 
