@@ -224,6 +224,21 @@ def repaired_qa(text) -> Column:
     return F.when(F.trim(out) == "", _c(text)).otherwise(out)
 
 
+def repaired(text, kind: str = "general", markers: list[str] | None = None) -> Column:
+    """A response mended for what it should hold; the response itself where nothing would be left, '' for null.
+
+    kind: general (fences and thoughts go), kg_extraction (records), qa_pair (labels), text_markers (each of
+    markers, however its brackets and blanks were written, on a line of its own).
+    """
+    plain = without_thoughts(without_fences(text))
+    out = {"general": lambda: plain, "kg_extraction": lambda: repaired_extraction(plain), "qa_pair": lambda: repaired_qa(plain), "text_markers": lambda: plain}[kind]()
+    if kind == "text_markers":
+        for m in markers or []:
+            loose = r"\s*".join(re.escape(w) for w in re.findall(r"\w+", m))
+            out = F.regexp_replace(out, rf"(?im)^[\s*#]*[\[【(（]\s*{loose}\s*[\]】)）]\s*[:：]?[*\s]*?$", F.lit(m.replace("$", r"\$")))
+    return F.when(F.coalesce(_stripped(out), F.lit("")) != "", out).otherwise(F.coalesce(_c(text), F.lit("")))
+
+
 # Token probabilities
 
 

@@ -31,6 +31,17 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with _place, from 0 in this order: sorted by range, numbered within ranges, the ranges' sizes added up."""
+    from pyspark.sql import Window
+
+    cuts = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = cuts.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    sizes = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    x = cuts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(sizes), "_p")
+    return x.withColumn("_place", F.col("_i") + F.col("_before")).drop("_p", "_i", "_before")
+
+
 def connected_components(edges: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node.
 

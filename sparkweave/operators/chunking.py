@@ -7,6 +7,7 @@ differences of offsets; documents are split in parallel inside mapInArrow.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,12 +21,21 @@ MARKDOWN = ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\
 
 
 class Splitter:
-    """Spans of chunks of a text; separators stay with the piece that they open (or end)."""
+    """Spans of chunks of a text; separators stay with the piece that they open (or end).
 
-    def __init__(self, separators=ENGLISH, regex: bool = False, at_end: bool = False, size: int = 1024, overlap: int = 100, tidy: bool = False):
+    starts: where the units that size and overlap count begin in a text, such as its tokens'
+    offsets; characters by default.
+    """
+
+    def __init__(self, separators=ENGLISH, regex: bool = False, at_end: bool = False, size: int = 1024, overlap: int = 100, tidy: bool = False, starts=None):
+        self.starts, self.units = starts, None
         self.levels = [None if s == "" else re.compile(s if regex else re.escape(s)) for s in separators]
         self.at_end, self.size, self.overlap, self.tidy = at_end, size, overlap, tidy
 
+    def length(self, a: int, b: int) -> int:
+        """Of text[a:b]: characters, or units that begin in it."""
+        return b - a if self.units is None else bisect_left(self.units, b) - bisect_left(self.units, a)
+
     def cuts(self, text: str, a: int, b: int, level) -> list[int]:
         if level is None:
             return list(range(a, b + 1))
@@ -36,9 +46,9 @@ class Splitter:
         """Windows of neighbouring pieces of at most `size`, each beginning within `overlap` of the last one's end."""
         first = 0
         for k in range(1, len(cuts)):
-            if cuts[k] - cuts[first] > self.size and k - 1 > first:
+            if self.length(cuts[first], cuts[k]) > self.size and k - 1 > first:
                 yield cuts[first], cuts[k - 1]
-                while first < k - 1 and (cuts[k - 1] - cuts[first] > self.overlap or cuts[k] - cuts[first] > self.size):
+                while first < k - 1 and (self.length(cuts[first], cuts[k - 1]) > self.overlap or self.length(cuts[first], cuts[k]) > self.size):
                     first += 1
         if first < len(cuts) - 1:
             yield cuts[first], cuts[-1]
@@ -51,11 +61,13 @@ class Splitter:
         last = level is None or depth == len(self.levels) - 1
         run = [cuts[0]]
         for i, j in zip(cuts, cuts[1:]):
-            if j - i < self.size:
+            if self.length(i, j) < self.size:
                 run.append(j)
                 continue
             yield from self.windows(run)
-            if last:
+            if last and level is not None and self.length(i, j) > self.size:
+                yield from self.windows(list(range(i, j + 1)))  # no mark to cut at
+            elif last:
                 yield i, j
             else:
                 yield from self.spans(text, i, j, depth + 1)
@@ -65,6 +77,7 @@ class Splitter:
     def chunks(self, text: str) -> list[tuple[int, str]]:
         """(offset, chunk) with white space stripped and blank chunks dropped."""
         out = []
+        self.units = self.starts(text) if self.starts and text else None
         for a, b in self.spans(text, 0, len(text)) if text else ():
             raw = text[a:b]
             chunk = raw.strip()
@@ -74,23 +87,31 @@ class Splitter:
         return out
 
 
-def splitter(kind: str, size: int, overlap: int) -> Splitter:
+def splitter(kind: str, size: int, overlap: int, starts=None) -> Splitter:
     return {
-        "en": lambda: Splitter(ENGLISH, size=size, overlap=overlap),
-        "zh": lambda: Splitter(CHINESE, regex=True, at_end=True, size=size, overlap=overlap, tidy=True),
-        "markdown": lambda: Splitter(MARKDOWN, regex=True, size=size, overlap=overlap),
+        "en": lambda: Splitter(ENGLISH, size=size, overlap=overlap, starts=starts),
+        "zh": lambda: Splitter(CHINESE, regex=True, at_end=True, size=size, overlap=overlap, tidy=True, starts=starts),
+        "markdown": lambda: Splitter(MARKDOWN, regex=True, size=size, overlap=overlap, starts=starts),
     }[kind]()
 
 
-def split_texts(docs: DataFrame, id_col: str, text_col: str, kind, size, overlap: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, carried columns, pos, start, content): kind and size are Columns or constants."""
+def word_starts(text: str) -> list[int]:
+    """Where words and single marks begin: units that every tokenizer's tokens are about as many as."""
+    return [m.start() for m in re.finditer(r"\w+|[^\w\s]", text)]
+
+
+def split_texts(docs: DataFrame, id_col: str, text_col: str, kind, size, overlap: int = 100, carry: tuple[str, ...] = (), starts=None) -> DataFrame:
+    """(id_col, carried columns, pos, start, content): kind and size are Columns or constants.
+
+    starts(text) -> sorted offsets: what size and overlap count, such as a tokenizer's tokens; characters by default.
+    """
 
     def run(batches):
         made = {}
         for batch in batches:
             rows = {"i": [], "pos": [], "start": [], "content": []}
             for i, (t, k, s) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                one = made.get((k, s)) or made.setdefault((k, s), splitter(k, s, overlap))
+                one = made.get((k, s)) or made.setdefault((k, s), splitter(k, s, overlap, starts))
                 for pos, (at, chunk) in enumerate(one.chunks(t or "")):
                     rows["i"].append(i)
                     rows["pos"].append(pos)

@@ -82,24 +82,26 @@ def difficulty_report(scored: DataFrame) -> DataFrame:
 
 
 def item_quality(items: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """Adds issues (with penalties), quality and is_valid: 1 less the penalties, within 0 and 1; valid from 0.5 with an answer."""
+    """Adds issues, suggestions, quality (1 less the penalties, within 0 and 1) and is_valid (from 0.5, with an answer)."""
     m = {"min_question": 5, "max_question": 200, "min_answer": 10, "max_answer": 500} | (limits or {})
     q, a = words("question"), words("reference_answer")
     num = lambda n: n.cast("string")
     bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+|\s+$", "")
     empty = bare("reference_answer") == ""
+    # issues and suggestions: fixed values
     rules = [
-        (q < m["min_question"], 0.2, F.concat(F.lit("Question too short ("), num(q), F.lit(" words)"))),
-        (q > m["max_question"], 0.1, F.concat(F.lit("Question too long ("), num(q), F.lit(" words)"))),
-        (a < m["min_answer"], 0.2, F.concat(F.lit("Answer too short ("), num(a), F.lit(" words)"))),
-        (a > m["max_answer"], 0.1, F.concat(F.lit("Answer too long ("), num(a), F.lit(" words)"))),
-        (~bare("question").rlike("[?？]$"), 0.05, F.lit("Question doesn't end with a question mark")),
-        (empty, 0.5, F.lit("Answer is empty")),
-        (F.coalesce(F.size("evaluation_criteria"), F.lit(0)) <= 0, 0.1, F.lit("Missing evaluation criteria")),
-        (F.coalesce(F.size("knowledge_nodes"), F.lit(0)) <= 0, 0.05, F.lit("Missing knowledge node information")),
+        (q < m["min_question"], 0.2, F.concat(F.lit("Question too short ("), num(q), F.lit(" words)")), "Expand the question to be more specific"),
+        (q > m["max_question"], 0.1, F.concat(F.lit("Question too long ("), num(q), F.lit(" words)")), "Simplify the question"),
+        (a < m["min_answer"], 0.2, F.concat(F.lit("Answer too short ("), num(a), F.lit(" words)")), "Provide a more detailed answer"),
+        (a > m["max_answer"], 0.1, F.concat(F.lit("Answer too long ("), num(a), F.lit(" words)")), "Condense the answer"),
+        (~bare("question").rlike("[?？]$"), 0.05, F.lit("Question doesn't end with a question mark"), "Add a question mark at the end"),
+        (empty, 0.5, F.lit("Answer is empty"), "Provide a reference answer"),
+        (F.coalesce(F.size("evaluation_criteria"), F.lit(0)) <= 0, 0.1, F.lit("Missing evaluation criteria"), "Add evaluation criteria for scoring"),
+        (F.coalesce(F.size("knowledge_nodes"), F.lit(0)) <= 0, 0.05, F.lit("Missing knowledge node information"), None),
     ]
-    loss = sum((F.when(c, p).otherwise(0.0) for c, p, _ in rules), F.lit(0.0))
-    x = items.withColumns({"issues": F.array_compact(F.array(*[F.when(c, text) for c, _, text in rules])), "quality": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(1 - loss, 9)))})
+    loss = sum((F.when(c, p).otherwise(0.0) for c, p, _, _ in rules), F.lit(0.0))
+    x = items.withColumn("suggestions", F.array_compact(F.array(*[F.when(c, F.lit(s)) for c, _, _, s in rules])))
+    x = x.withColumns({"issues": F.array_compact(F.array(*[F.when(c, text) for c, _, text, _ in rules])), "quality": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(1 - loss, 9)))})
     return x.withColumn("is_valid", (F.col("quality") >= 0.5) & ~empty)
 
 
@@ -298,6 +300,24 @@ def merged_reviews(raw: DataFrame, saved: DataFrame) -> DataFrame:
     return x.withColumns({c: F.coalesce(f"_s_{c}", c) if c in raw.columns else F.col(f"_s_{c}") for c in names}).drop(*[f"_s_{c}" for c in names])
 
 
+TASK_STATES = ("pending", "processing", "auto_reviewing", "completed", "failed")
+
+
+def task_summary(tasks: DataFrame) -> DataFrame:
+    """(status, n) of tasks(status): the total, each usual status (0 where no task has it), and any other that occurs."""
+    x = tasks.groupingSets([["status"], []], "status").agg(F.count("*").alias("n"), F.grouping("status").alias("g"))
+    x = x.select(F.when(F.col("g") == 1, "total").otherwise(F.col("status")).alias("status"), "n")
+    usual = tasks.sparkSession.createDataFrame([(s, 0) for s in TASK_STATES], "status string, n long")
+    return x.unionByName(usual).groupBy("status").agg(F.sum("n").alias("n"))
+
+
+def length_statistics(table: DataFrame, by: list[str], length: Column) -> DataFrame:
+    """by, docs, avg, min, max and the quartiles' estimates of a length, nulls left out."""
+    x = table.select(*by, length.cast("long").alias("_n"))
+    quart = F.percentile_approx("_n", [0.25, 0.5, 0.75], 10_000)
+    return x.groupBy(*by).agg(F.count("_n").alias("docs"), F.avg("_n").alias("avg"), F.min("_n").alias("min"), F.max("_n").alias("max"), quart.alias("quartiles"))
+
+
 def run_summary(runs: DataFrame) -> DataFrame:
     """runs(model, ok, tokens, seconds) by model and in total."""
     agg = [F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum("tokens").alias("tokens"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("mean_seconds")]

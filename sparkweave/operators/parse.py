@@ -10,6 +10,20 @@ _Q = r"(?:Question|问题)"
 _A = r"(?:Answer|答案|回答)"
 
 
+#: What may come before the labels, and what makes a line a question: fixed values.
+_PREAMBLE = r"(?i)^(?:(?:Here is|This is|Below is)[^\n]*?multi-hop[^\n]*?[：:]\s*|(?:以下是|这是)[^\n]*?多跳[^\n]*?[：:]\s*|根据[^\n]*?(?:以下是|如下)[：:]\s*|Based on[^\n]*?(?:here is|as follows)[：:]\s*|(?:好的|好|OK)[，,。.]\s*)"
+_ASKS = "[?？]|what|who|how|why|when|where|什么|谁|如何|为什么|何时|哪里"
+
+
+def _let(value: Column, fn) -> Column:
+    """fn(value), with value computed once however often fn names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _stripped(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def _after(text: Column, label: str, until: str) -> Column:
     return F.trim(F.regexp_extract(text, rf"(?is){label}\s*[:：]\s*(.*?)\s*(?={until}|\z)", 1))
 
@@ -53,11 +67,31 @@ def aggregated_parts(responses: DataFrame, id_col: str = "batch_id") -> DataFram
 
 
 def multi_hop(responses: DataFrame, id_col: str = "batch_id") -> DataFrame:
-    """(id, question, answer, reasoning_path)."""
-    path = r"(?:Reasoning Path|Reasoning|推理路径)"
-    t = F.col("response")
+    """(id, question, answer, reasoning_path): by labels, or leniently where one is missing.
+
+    An answer whose first line asks (a question mark or a question word) gives that line as the
+    question.  Else, of a response without a question, the first sentence of over five characters is
+    the question and the rest the answer.  Rows that still lack either go.
+    """
+    path = r"(?:Reasoning Path|Reasoning|Path|推理路径|推理|路径)"
     rest = rf"\n\s*(?:{_Q}|{_A}|{path})\s*[:：]"
-    return responses.select(F.col(id_col), _after(t, _Q, rest).alias("question"), _after(t, _A, rest).alias("answer"), _after(t, path, rest).alias("reasoning_path")).filter("question <> '' and answer <> ''")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^\"+|\"+$", ""), "^'+|'+$", "")
+
+    def labelled(t: Column) -> Column:
+        return F.struct(t.alias("t"), bare(_after(t, _Q, rest)).alias("q"), bare(_after(t, _A, rest)).alias("a"), bare(_after(t, path, rest)).alias("p"))
+
+    def from_answer(x: Column) -> Column:
+        line, more = F.trim(F.regexp_extract(x["a"], r"^([^\n]*)", 1)), _stripped(F.regexp_extract(x["a"], r"(?s)^[^\n]*\n(.*)$", 1))
+        asks = (x["q"] == "") & (x["a"] != "") & F.lower(line).rlike(_ASKS)
+        return F.struct(x["t"].alias("t"), F.when(asks, line).otherwise(x["q"]).alias("q"), F.when(asks & x["a"].contains("\n"), more).otherwise(x["a"]).alias("a"), x["p"].alias("p"))
+
+    def from_first(x: Column) -> Column:
+        first, more = F.trim(F.regexp_extract(x["t"], r"^([^。！？\n]*)", 1)), _stripped(F.regexp_extract(x["t"], r"(?s)^[^。！？\n]*(.*)$", 1))
+        lone = (x["q"] == "") & (F.length(first) > 5)
+        return F.struct(F.when(lone, first).otherwise(x["q"]).alias("q"), F.when(lone, more).otherwise(x["a"]).alias("a"), x["p"].alias("reasoning_path"))
+
+    x = responses.select(F.col(id_col), _let(_let(_let(_stripped(F.regexp_replace(T.repaired("response"), _PREAMBLE, "")), labelled), from_answer), from_first).alias("x")).select(id_col, F.col("x.q").alias("q"), F.col("x.a").alias("a"), "x.reasoning_path")
+    return x.select(id_col, F.col("q").alias("question"), F.col("a").alias("answer"), "reasoning_path").filter("question <> '' and answer <> ''")
 
 
 def chain_of_thought(responses: DataFrame, id_col: str = "batch_id") -> DataFrame:
@@ -163,6 +197,32 @@ def provenance(qa: DataFrame, batches: DataFrame, chunks: DataFrame, docs: DataF
     return qa.join(c, "qa_id", "left")
 
 
+def with_context(qa: DataFrame, batches: DataFrame, mode: str | None = None) -> DataFrame:
+    """qa(qa_id, batch_id, ...) with context, graph and metadata of its batch.
+
+    batches(batch_id, nodes array<struct<node_id, description, ...>>, edges array<struct<src, tgt, description, ...>>);
+    a batch holds a few units (see partitions), so a row does too.  Fields that units lack are ''.
+    metadata.has_chunks and has_documents tell what provenance() found, if it came before; mode: the
+    generation mode, else the column of that name.
+    """
+    fields = lambda c: batches.schema[c].dataType.elementType.names
+    get = lambda x, have, c: F.coalesce(x[c].cast("string"), F.lit("")) if c in have else F.lit("")
+    n, e = fields("nodes"), fields("edges")
+    nodes = F.transform("nodes", lambda x: F.struct(get(x, n, "node_id").alias("name"), get(x, n, "description").alias("description"), get(x, n, "chunk_id").alias("chunk_id"), get(x, n, "entity_type").alias("entity_type")))
+    edges = F.transform("edges", lambda x: F.struct(get(x, e, "src").alias("source"), get(x, e, "tgt").alias("target"), get(x, e, "description").alias("description"), get(x, e, "relation_type").alias("relation_type")))
+    b = batches.select(
+        "batch_id", F.struct(nodes.alias("nodes"), edges.alias("edges")).alias("context"),
+        F.struct(
+            F.transform("nodes", lambda x: x["node_id"]).alias("entities"), F.transform("edges", lambda x: F.array(x["src"], x["tgt"])).alias("relationships"),
+            F.size("nodes").alias("entity_count"), F.size("edges").alias("relationship_count"),
+        ).alias("graph"),
+    )
+    x = qa.join(b, "batch_id", "left")
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False)) if c in qa.columns else F.lit(False)
+    kind = F.lit(mode) if mode is not None else F.col("mode") if "mode" in qa.columns else F.lit(None).cast("string")
+    return x.withColumn("metadata", F.struct(kind.alias("generation_mode"), (F.col("graph.entity_count") + F.col("graph.relationship_count")).alias("batch_size"), some("source_chunks").alias("has_chunks"), some("source_documents").alias("has_documents")))
+
+
 def question_of(df: DataFrame) -> Column:
     """The question of a row in any layout: instruction, first human or user turn, or question."""
     options = []

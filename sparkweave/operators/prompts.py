@@ -18,6 +18,14 @@ TEMPLATES = [
     ("aggregated", "zh", 0, "先把事实改写成一段文字，再据此提问。\n实体：\n{entities}\n关系：\n{relations}"),
     ("multi_hop", "en", 0, "Ask a question that needs several of the relations; give answer and reasoning path.\nEntities:\n{entities}\nRelations:\n{relations}"),
     ("cot", "en", 0, "Design a question with a chain of thought.\nEntities:\n{entities}\nRelations:\n{relations}"),
+    ("aggregated_question", "en", 0, "Write one question whose answer is this text.\nText:\n{rephrased}"),
+    ("aggregated_question", "zh", 0, "写一个以这段文本为答案的问题。\n文本：\n{rephrased}"),
+    ("aggregated_combined", "en", 0, "Rephrase the facts as one text and ask one question that it answers, labelled Rephrased Text and Question.\nEntities:\n{entities}\nRelations:\n{relations}"),
+    ("aggregated_combined", "zh", 0, "把事实改写成一段文本并写出它所回答的问题，分别标为“改写文本”和“问题”。\n实体：\n{entities}\n关系：\n{relations}"),
+    ("cot_answer", "en", 0, "Answer the question by following the steps.\nQuestion: {question}\nSteps: {path}\nEntities:\n{entities}\nRelations:\n{relations}"),
+    ("cot_answer", "zh", 0, "按步骤回答问题。\n问题：{question}\n步骤：{path}\n实体：\n{entities}\n关系：\n{relations}"),
+    ("cot_combined", "en", 0, "Write a question, the steps that lead to its answer, and the answer.\nEntities:\n{entities}\nRelations:\n{relations}"),
+    ("cot_combined", "zh", 0, "写出问题、推理步骤和答案。\n实体：\n{entities}\n关系：\n{relations}"),
     ("hierarchical", "en", 0, "Ask about the siblings of the hierarchy.\n{hierarchy}"),
     ("hierarchical", "en", 1, "Ask what is inherited in the hierarchy.\n{hierarchy}"),
     ("hierarchical", "en", 2, "Ask for the common parent in the hierarchy.\n{hierarchy}"),
@@ -116,11 +124,35 @@ def mode_prompts(batches: DataFrame, mode: str, seed: int = 0, hierarchy: DataFr
 EVAL_TYPES = ("knowledge_coverage", "reasoning_ability", "factual_accuracy", "comprehensive")
 
 
-def eval_prompts(planned: DataFrame, batches: DataFrame) -> DataFrame:
-    """planned(type, difficulty, batch_id) -> (type, difficulty, batch_id, prompt)."""
-    t = F.broadcast(batches.sparkSession.createDataFrame([(r[0], r[3]) for r in TEMPLATES if r[0] in EVAL_TYPES], "type string, template string"))
-    x = planned.join(batches, "batch_id").join(t, "type")
-    return x.select("type", "difficulty", "batch_id", filled(F.col("template"), context=bullets(), difficulty=F.col("difficulty")).alias("prompt"))
+#: (type, difficulty, guidance): what an item of that difficulty asks for; our own wording, a table that users replace.
+GUIDANCE = [
+    ("knowledge_coverage", "easy", "Ask for one stated fact."),
+    ("knowledge_coverage", "medium", "Ask for a fact together with what it depends on."),
+    ("knowledge_coverage", "hard", "Ask for details that are easily overlooked, from several facts."),
+    ("reasoning_ability", "easy", "One step from a fact to the answer."),
+    ("reasoning_ability", "medium", "Two or three steps over different relations."),
+    ("reasoning_ability", "hard", "Four steps or more, with a condition that rules out a tempting answer."),
+    ("factual_accuracy", "easy", "A statement that plainly agrees or disagrees with a fact."),
+    ("factual_accuracy", "medium", "A statement with one changed detail."),
+    ("factual_accuracy", "hard", "A statement that is true only in part, or only under a condition."),
+    ("comprehensive", "easy", "Summarise what the facts say of one entity."),
+    ("comprehensive", "medium", "Compare two entities by their relations."),
+    ("comprehensive", "hard", "Judge the facts as a whole and give reasons."),
+]
+
+
+def eval_prompts(planned: DataFrame, batches: DataFrame, guidance=GUIDANCE, counts: bool = False) -> DataFrame:
+    """planned(type, difficulty, batch_id[, count]) -> (type, difficulty, batch_id, prompt), with the guidance of its type and difficulty.
+
+    counts: the prompt asks for `count` items.  Pairs without guidance have the level's name alone.
+    """
+    spark = batches.sparkSession
+    t = F.broadcast(spark.createDataFrame([(r[0], r[3]) for r in TEMPLATES if r[0] in EVAL_TYPES], "type string, template string"))
+    g = F.broadcast(spark.createDataFrame(guidance, "type string, difficulty string, guidance string"))  # a row a type and level
+    x = planned.join(batches, "batch_id").join(t, "type").join(g, ["type", "difficulty"], "left")
+    text = filled(F.col("template"), context=bullets(), difficulty=F.col("difficulty"))
+    lines = F.concat_ws("\n", text, F.col("guidance"), *([F.concat(F.lit("Items: "), F.col("count").cast("string"))] if counts else []))
+    return x.select("type", "difficulty", "batch_id", lines.alias("prompt"))
 
 
 def repeated_to(batches: DataFrame, target: int, per_batch: float = 1.0, buffer: float = 1.5) -> DataFrame:

@@ -41,6 +41,20 @@ def with_depth(tree: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return tree.join(depth, "id", "left").join(parents, "id", "left").withColumn("is_leaf", F.col("_p").isNull()).drop("_p")
 
 
+def node(tree: DataFrame, node_id: str) -> DataFrame:
+    """The row of one node, none where it is unknown."""
+    return tree.filter(F.col("id") == node_id)
+
+
+def at_depth(deep: DataFrame, depth: int) -> DataFrame:
+    """Nodes of one depth, from with_depth()."""
+    return deep.filter(F.col("depth") == depth)
+
+
+def by_dimension(tree: DataFrame, dimension: str) -> DataFrame:
+    return tree.filter(F.col("cognitive_dimension") == dimension)
+
+
 def branch(paths: DataFrame, node: str) -> DataFrame:
     """From the root to the node: (id, position)."""
     x = paths.filter(F.col("id") == node)

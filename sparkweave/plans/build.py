@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import graph as G
-from ..operators import chunking, extract
+from ..operators import chunking, extract, mentions
 
 
 def documents_of(table: DataFrame) -> DataFrame:
@@ -25,8 +25,16 @@ def build_graph(docs: DataFrame, respond=extract.rule_extraction) -> tuple[DataF
     return chunks, extract.with_endpoints(nodes, edges), edges
 
 
+def build_tables(docs: DataFrame, respond=extract.rule_extraction) -> tuple[DataFrame, mentions.GraphTables]:
+    """(chunks, the graph in long form): no row holds all sources or texts of an entity."""
+    G.ensure_checkpoint_dir(docs.sparkSession)
+    chunks = chunking.chunk_documents(docs)
+    entities, relations = extract.mentions(G.settled(respond(chunks)))
+    return chunks, mentions.graph_tables(entities, relations)
+
+
 def top_entities(docs: DataFrame, n: int = 20) -> DataFrame:
     """The entities that occur in most chunks, with their degree."""
-    _, nodes, edges = build_graph(docs)
-    x = G.occurrences(nodes, ["node_id", "entity_type"]).join(G.degrees(edges), "node_id", "left").na.fill(0, ["degree"])
+    _, x = build_tables(docs)
+    x = x.nodes.select("node_id", "entity_type", F.col("sources").alias("occurrences")).join(G.degrees(x.edges), "node_id", "left").na.fill(0, ["degree"])
     return x.orderBy(F.desc("occurrences"), "node_id").limit(n)

@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def queries():
-    from . import queries_extra, queries_graph, queries_more  # noqa: F401  register their own
+    from . import queries_extra, queries_graph, queries_items, queries_more  # noqa: F401  register their own
 
     return dict(_QUERIES)
 

@@ -147,7 +147,7 @@ def keyed_ingest(spark, d):
     """The lines of all conversations as a stream of documents: nodes with their mentions and sources, from keyed state."""
     G.ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/graph-{uuid.uuid4().hex}"
-    lines = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversations.parquet")
+    lines = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversations.parque[t]")  # a pattern, as a stream reads folders or patterns
     lines = lines.select(F.explode(F.split("text", "\n")).alias("content"))
     store = state.GraphStore(spark, f"{folder}/graph")
     state.run(lines, store, f"{folder}/state")

@@ -335,9 +335,8 @@ def eval_plan(spark, d):
 
 @query("select lang, count(*) as docs, round(avg(n), 6) as avg, min(n) as min, max(n) as max from (select lang, len(regexp_extract_all(text, '\\S+'))::bigint as n from documents) group by lang")
 def length_stats(spark, d):
-    n = F.regexp_count("text", F.lit(r"\S+")).cast("long")
-    x = t(spark, d, "documents").select("lang", n.alias("n"))
-    return x.groupBy("lang").agg(F.count("*").alias("docs"), F.round(F.avg("n"), 6).alias("avg"), F.min("n").alias("min"), F.max("n").alias("max"))
+    x = E.length_statistics(t(spark, d, "documents"), ["lang"], F.regexp_count("text", F.lit(r"\S+")))
+    return x.select("lang", "docs", F.round("avg", 6).alias("avg"), "min", "max")
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(T.STOPWORDS))

@@ -134,23 +134,34 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 TAXONOMY = "id string, name string, description string, cognitive_dimension string, parent_id string"
 
 
-def taxonomy_rows(tree: dict) -> list[tuple]:
-    """Rows of a small configuration tree, nested (children) or flat (parent_id)."""
-    out, todo = [], [(n, n.get("parent_id")) for n in tree.get("nodes", [])]
-    while todo:
-        node, parent = todo.pop(0)
-        out.append((node["id"], node["name"], node.get("description"), node.get("cognitive_dimension"), parent))
-        todo += [(c, node["id"]) for c in node.get("children", [])]
-    return out
+def tree_rows(trees: DataFrame) -> DataFrame:
+    """trees(path, v VARIANT) -> (path, id, name, description, cognitive_dimension, parent_id), nested (children) or flat (parent_id).
+
+    A level of children a step, each level rows of its own; nodes without id or name go.
+    """
+    get = lambda c: F.expr(f"try_variant_get(n, '$.{c}', 'string')")
+    level = trees.select("path", F.explode(F.expr("try_variant_get(v, '$.nodes', 'array<variant>')")).alias("n"), F.lit(None).cast("string").alias("above"))
+    out = None
+    while out is None or not level.isEmpty():
+        rows = level.select("path", get("id").alias("id"), get("name").alias("name"), get("description").alias("description"), get("cognitive_dimension").alias("cognitive_dimension"), F.coalesce("above", get("parent_id")).alias("parent_id"))
+        out = rows if out is None else out.unionByName(rows)
+        level = level.select("path", get("id").alias("above"), F.explode(F.expr("try_variant_get(n, '$.children', 'array<variant>')")).alias("n"))
+    return out.filter("id is not null and name is not null")
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """A taxonomy file (JSON, or YAML where a YAML reader is installed) as (id, name, description, cognitive_dimension, parent_id)."""
-    text = spark.read.text(path, wholetext=True).first()[0]  # configuration, read by Spark wherever it is stored
+    """Taxonomy files (JSON; a .yaml file where a YAML reader is installed) as (id, name, description, cognitive_dimension, parent_id).
+
+    Files are parsed where they are read, and their trees become rows there; nothing passes the driver.
+    """
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     if path.endswith((".yaml", ".yml")):
-        import yaml
 
-        tree = yaml.safe_load(text)
-    else:
-        tree = json.loads(text)
-    return spark.createDataFrame(taxonomy_rows(tree), TAXONOMY)
+        @F.udf("string")
+        def as_json(x):
+            import yaml
+
+            return json.dumps(yaml.safe_load(x))
+
+        text = text.withColumn("value", as_json("value"))
+    return tree_rows(text.select("path", F.try_parse_json("value").alias("v"))).select("id", "name", "description", "cognitive_dimension", "parent_id")

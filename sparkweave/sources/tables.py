@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .. import graph as G
+
 
 def row_hash(df: DataFrame) -> DataFrame:
     return df.withColumn("_hash", F.md5(F.to_json(F.struct(*sorted(df.columns)))))
@@ -26,6 +28,18 @@ def append_new(store: DataFrame, items: DataFrame) -> DataFrame:
     return store.unionByName(new)
 
 
+def appended(store: DataFrame, items: DataFrame, ordinal: str = "ord") -> DataFrame:
+    """store and all of items after it, repeats too; ordinal numbers the rows on in the order of items' own."""
+    last = store.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("_last"))
+    place = G.numbered(items, ordinal)
+    return store.unionByName(place.crossJoin(F.broadcast(last)).withColumn(ordinal, F.col("_last") + 1 + F.col("_place")).drop("_last", "_place"))  # one row
+
+
+def dropped(store: DataFrame) -> DataFrame:
+    """The store without its rows; its columns stay."""
+    return store.limit(0)
+
+
 def missing_keys(keys: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return keys.join(store.select(key), key, "left_anti")
 
