@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 The lexer tells code from comments, strings, triple-quoted strings and here-documents, and
-reads code into (name, value) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`,
-`name => 'literal'`, `export NAME=bare`.  A value is made of literals and of names (bare,
-`$NAME`, `${NAME}`, also within a string, or joined with `+`).  Names are constants: their
-literals count under every name that uses them, before or after, over any number of steps.
+reads code into (name, value) pairs: `name = "literal"`, `name: literal`, `"a name": "literal"`,
+`name => 'literal'`, `table["name"] = 'literal'`, `export NAME=bare`, `a, b = "one", "two"`, tags
+(`<name>literal</name>`), keys with a block below (`name: |`).  A value is made of literals and of
+names (bare, `$NAME`, `${NAME}`, also within a string), joined with `+` or side by side, in
+parentheses over lines, in lists, as arguments of a call (`getenv("NAME", "literal")`) or as defaults
+(`x or "literal"`).  Comparisons, setters (`setName("literal")`) and options of commands assign nothing
+and are not read.  Names are constants: their literals count under every name that uses them, before or
+after, over any number of steps.  Joined literals of which none is telling by
+itself are judged as one and reported each.
 What comments and strings hold is read too, for pairs that define no constant.  A literal is
 reported if the most sensitive name it reaches and its own looks say so.  All is linear in
 the text.
@@ -35,19 +40,30 @@ NAME_SCORE = {
 }
 PLACEHOLDER = re.compile(r"x{4}|\*{3}|changeme|example|placeholder|your[_-]|dummy|todo|none|null|true|false|undefined", re.I)
 PLACEHOLDER_AT = re.compile(f"(?={PLACEHOLDER.pattern})", re.I)
-WORTH_LEXING = re.compile(r"pass|pwd|secret|token|key|cred|auth|bearer", re.I | re.A)
+#: A text without any part of a telling name is not read.
+WORTH_LEXING = re.compile("|".join(sorted({x.split("-")[-1] for x, score in NAME_SCORE.items() if score >= 2})), re.I | re.A)
 #: Possessive, so that names, blanks and literals of any length take linear time.
 PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?=["'`$\w+/])"""
+    r"""(?:(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?\]?|(?<![\w.-])["']([A-Za-z_][\w.\x20-]*+)["']\]?|^[\x20\t]*+(?:-\x20)?([A-Za-z_][\w.-]*+(?:\x20[\w.-]++)++)(?=:\x20))[\x20\t]*+(?::=|=>|[:=])[\x20\t]*+(?=["'`$\w+/(\[])""",
+    re.M,
 )
 STRING = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`""")
 VARIABLE = re.compile(r"\$(?:\{([A-Za-z_]\w*+)\}|([A-Za-z_]\w*+))")
 #: What begins a part that is not code; a comment sign stands at the start of a word.
 OPENING = re.compile(r"""(?P<triple>\"{3}|'{3})|(?P<comment>/\*)|(?<![^\s;{}(),])(?P<line>\#|//)|<<[-~]?["']?(?P<here>[A-Za-z_]\w*+)["']?(?=[^\n]*+\n)|(?P<quote>["'`])""")
 BARE = re.compile(r"[A-Za-z0-9+/_.=-]++")
+#: What a bare value may go on with: all but white space, quotes and the signs that close or end it.
+REST = re.compile(r"""[^\s"'`,;()\[\]{}<>|&]*+""")
+CALL = re.compile(r"[A-Za-z_][\w.]*+\(")
+ARGUMENT_NAME = re.compile(r"[A-Z][A-Z0-9_]*")
+OR = re.compile(r"[\x20\t]++or[\x20\t]++|[\x20\t]*+(?:\|\||\?\?)[\x20\t]*+")
+BLANKS, SPACES = re.compile(r"[\x20\t]*+"), re.compile(r"\s*+")
+TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>]*+)</\1>")
+BLOCK = re.compile(r"""^([\x20\t]*+)(?:-\x20)?["']?([A-Za-z_][\w.\x20-]*?)["']?[\x20\t]*+:[\x20\t]*+[|>][+-]?[\x20\t]*+\n((?:\1[\x20\t][^\n]*+(?:\n|\Z)|[\x20\t]*+\n)++)""", re.M)
+TARGETS = re.compile(r"^[\x20\t]*+((?:[A-Za-z_][\w.]*+[\x20\t]*+,[\x20\t]*+)++[A-Za-z_][\w.]*+)[\x20\t]*+=[\x20\t]*+(?!=)", re.M)
+LINE_PART = re.compile(r"\S[^\n]*")
 NAME = re.compile(r"[A-Za-z_][\w.-]*+")
 WORD_LINE = re.compile(r"^[\x20\t]*+(\w++)[\x20\t]*+$", re.M)
-PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -81,13 +97,15 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text, self.pairs = text, []
-        self.runs, self.joined = [], {}  # bare runs (start, end), and the plus after an end: each found once, however many values end there
+        self.groups: list[tuple[str, list[tuple[int, int]]]] = []  # names and literals that are joined
+        self.runs = []  # bare runs (start, end): each found once, however many values end there
         self.last = {mark: text.rfind(mark) for mark in ('"""', "'''", "*/")}
         self.lines: dict[str, list[int]] | None = None  # where a line holds one word only, for here-documents
         inner: list[tuple[int, int]] = []
         self.read(0, len(text), inner)
         for a, b in inner:
             self.read(a, b, None)
+        self.marked()
 
     def read(self, at: int, stop: int, inner: list | None) -> None:
         """Pairs from at to stop; inner gets the parts that are not code, if these are to be told apart."""
@@ -102,7 +120,7 @@ class Lexer:
                 if a < b:
                     inner.append((a, b))
             elif pair:
-                at = self.value(pair[1], pair.end(), stop, inner)
+                at = self.value(pair[1] or pair[2] or pair[3], pair.end(), stop, inner)
             else:
                 return
 
@@ -129,14 +147,32 @@ class Lexer:
     def value(self, name: str, at: int, stop: int, inner: list | None) -> int:
         """Read the value of a pair; where to go on: after its last string, else where it begins."""
         text, literals, uses, after = self.text, [], [], at
-        while True:
+        group: list[tuple[int, int]] = []
+        closing, call = 0, None  # brackets that are open; the call whose first argument comes next
+        begun = False
+        while at < stop:
+            space = SPACES if closing else BLANKS
+            at = space.match(text, at, stop).end() if begun else at
+            string = False
+            if text[at : at + 1] in ("(", "[") and at < stop:
+                closing, at, begun, call = closing + 1, at + 1, True, None
+                continue
+            if begun and PAIR.match(text, at, stop):
+                break  # another pair
             if v := STRING.match(text, at, stop):
                 end = after = v.end()
-                literals.append((at + 1, end - 1))
+                string = True
+                if not (call and ARGUMENT_NAME.fullmatch(text, at + 1, end - 1)):
+                    literals.append((at + 1, end - 1))
+                    group.append((at + 1, end - 1))
                 if v[2] is None:
                     uses += [x for pair in VARIABLE.findall(v[0]) for x in pair if x]
                 if inner is not None:
                     inner.append((at + 1, end - 1))
+            elif v := CALL.match(text, at, stop):
+                closing, at, begun = closing + 1, v.end(), True
+                call = re.search("env|get", v[0], re.I)
+                continue
             elif v := VARIABLE.match(text, at, stop):
                 end = v.end()
                 uses.append(v[1] or v[2])
@@ -145,27 +181,64 @@ class Lexer:
                 if k and at < self.runs[k - 1][1]:
                     end = self.runs[k - 1][1]
                 elif v := BARE.match(text, at, stop):
-                    end = v.end()
+                    end = REST.match(text, v.end(), stop).end()
                     self.runs.insert(k, (at, end))
                 else:
                     break
                 used = NAME.match(text, at, end)
                 uses.append((used[0], at, end) if used and used.end() == end else (None, at, end))
-            if end not in self.joined:
-                plus = PLUS.match(text, end)
-                self.joined[end] = plus and plus.end()
-            if not self.joined[end]:
+            begun, call = True, None
+            at = end
+            while closing and (m := SPACES.match(text, at, stop)) and text[m.end() : m.end() + 1] in (")", "]") and m.end() < stop:
+                at, closing, string = m.end() + 1, closing - 1, False
+            space = SPACES if closing else BLANKS
+            on = space.match(text, at, stop).end()
+            if text[on : on + 1] == "+" and on < stop:
+                at = space.match(text, on + 1, stop).end()
+            elif string and text[on : on + 1] in ('"', "'") and on < stop and STRING.match(text, on, stop):
+                at = on  # side by side
+            elif (closing and text[on : on + 1] == "," and on < stop) or (m := OR.match(text, at, stop)):
+                at = on + 1 if text[on : on + 1] == "," else m.end()
+                self.joined(name, group)
+                group = []
+            else:
                 break
-            at = self.joined[end]
+        self.joined(name, group)
         self.pairs.append((name, literals, uses, inner is not None))
         return after
 
+    def joined(self, name: str, group: list[tuple[int, int]]) -> None:
+        if len(group) > 1:
+            self.groups.append((name, group))
+
+    def marked(self) -> None:
+        """Pairs that are known by the layout around them: tags, blocks below a key, several names at once."""
+        text = self.text
+        for m in TAG.finditer(text) if "</" in text else ():
+            a = m.start(2) + len(m[2]) - len(m[2].lstrip())
+            self.pairs.append((m[1], [(a, a + len(m[2].strip()))], [], False))
+        for m in BLOCK.finditer(text):
+            lines = [(x.start(), x.start() + len(x[0].rstrip())) for x in LINE_PART.finditer(text, m.start(3), m.end(3))]
+            self.pairs.append((m[2], lines, [], False))
+            self.joined(m[2], lines)
+        for m in TARGETS.finditer(text):
+            at = m.end()
+            for name in re.split(r"[\x20\t]*,[\x20\t]*", m[1]):
+                v = STRING.match(text, at)
+                end = v.end() if v else REST.match(text, at).end()
+                self.pairs.append((name, [(at + 1, end - 1)] if v else [], [] if v else [(None, at, end)], False))
+                comma = re.compile(r"[\x20\t]*,[\x20\t]*").match(text, end)
+                if not comma:
+                    break
+                at = comma.end()
+
 
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name."""
-    if ("=" not in text and ":" not in text) or not WORTH_LEXING.search(text):
+    if ("=" not in text and ":" not in text and "</" not in text) or not WORTH_LEXING.search(text):
         return []
-    pairs = Lexer(text).pairs
+    lexer = Lexer(text)
+    pairs = lexer.pairs
     constants = {name for name, _, _, constant in pairs if constant}
     held: dict[str, list[tuple[int, int]]] = {}
     uses: dict[str, list[str]] = {}
@@ -195,7 +268,12 @@ def lexed(text: str) -> list[tuple[int, int]]:
     for (a, b), score in best.items():
         if score >= 2 and a < b:
             by_end.setdefault(b, []).append(a)
-    return sorted((a, b) for b, starts in by_end.items() for a, score in literal_scores(text, starts, b).items() if score + best[a, b] >= 4)
+    found = {(a, b) for b, starts in by_end.items() for a, score in literal_scores(text, starts, b).items() if score + best[a, b] >= 4}
+    for name, group in lexer.groups:
+        whole = "".join(text[a:b] for a, b in group)
+        if reached[name] >= 2 and found.isdisjoint(group) and literal_scores(whole, [0], len(whole))[0] + reached[name] >= 4:
+            found.update((a, b) for a, b in group if a < b)
+    return sorted(found)
 
 
 def spans_of(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

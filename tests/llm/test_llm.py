@@ -229,6 +229,25 @@ def test_secrets_of_any_length():
     assert secret_scan.literal_scores("abcdexample1234567", [0, 4, 11], 18) == {0: 0, 4: 0, 11: 0} and secret_scan.literal_scores(f"xxxx{value}", [0, 1, 4], 16) == {0: 0, 1: 2, 4: 2}
 
 
+def test_forms_of_assignments():
+    v = "Zq8-rT5_xW2!kL9p"
+    lexed = lambda t: [t[a:b] for a, b in secret_scan.lexed(t)]
+    for text in (
+        f'cfg["db_password_main"] = "{v}"', f"os.environ['SECRET_KEY'] = '{v}'", f'db_pwd = (\n    "{v}"\n)', f"db_pwd: |\n  {v}\nnext: 1", f"a:\n  db_pwd: >-\n    {v}\n", f'"db pwd": "{v}"', f"db pwd: {v}", f'"auth_pwd": ["{v}"]',
+        f'db_pwd = x or "{v}"', f'db_pwd = x ?? "{v}"', f'db_pwd = os.getenv("DB_PWD_MAIN", "{v}")', f'db_pwd = os.environ.get("DB_PWD_MAIN") or "{v}"', f'db_pwd = str("{v}")', f"<db_pwd>{v}</db_pwd>", f"<db_pwd>\n  {v}\n</db_pwd>",
+        f'user, db_pwd = "bob", "{v}"', f"user, db_pwd = bob, '{v}'", f"DB_PWD={v}", f"export DB_PWD={v};", f"- db_pwd: '{v}'", f"{{db_pwd: {v}}}", f'db_pwd := "{v}"', f"db_pwd => '{v}'",
+    ):
+        assert lexed(text) == [v], text
+    assert lexed('db_pwd = "Zq8-rT5" "_xW2!kL"') == lexed('db_pwd = (\n "Zq8-rT5"\n + "_xW2!kL"\n)') == ["Zq8-rT5", "_xW2!kL"]
+    assert lexed(f'db_pwd = "{v[:5]}" + "{v[5:9]}" + "{v[9:]}"') == [v[:5], v[5:9], v[9:]] and lexed(f'db_pwd = "ab" + "{v}"') == [v]
+    for text in (f'if db_pwd == "{v}":', f'setPwd("{v}")', 'db_pwd = os.getenv("DB_PASSWORD_MAIN")', 'password_field = "user_password_input"', f"run --db-pwd {v}"):
+        assert lexed(text) == [], text
+    for part in ("a=[", "a=f(", "a=a or ", "a=a + ", "pwd=a=", "<a>", "a,", "pwd: |\n ", "pwd=(", 'pwd="a" "b" ', "- a b: ", "pwd=['a',"):
+        began = time.time()
+        secret_scan.lexed("pwd = 1\n" + part * 30_000)
+        assert time.time() - began < 10, part
+
+
 def test_secrets_of_code():
     lexed = lambda t: [t[a:b] for a, b in secret_scan.lexed(t)]
     v, w = "Zq8-rT5_xW2!", "Lk3.mN9-yB4?"
