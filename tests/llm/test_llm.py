@@ -229,6 +229,18 @@ def test_secrets_of_any_length():
     assert secret_scan.literal_scores("abcdexample1234567", [0, 4, 11], 18) == {0: 0, 4: 0, 11: 0} and secret_scan.literal_scores(f"xxxx{value}", [0, 1, 4], 16) == {0: 0, 1: 2, 4: 2}
 
 
+def test_bit_counts_beyond_32_bits():
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    big = np.array([2**31 - 1, 5, 0, 1], np.int32)
+    once = lm_score._summed([press(big.tobytes())] * 3, 4)
+    assert once.tolist() == [3 * (2**31 - 1), 15, 0, 3]
+    both = lm_score._summed([press(once.tobytes()), press(big.tobytes())], 4)  # sums and a task's own counts
+    assert both.tolist() == [4 * (2**31 - 1), 20, 0, 4]
+    assert lm_score._scaled(both).tolist() == [(4 * (2**31 - 1)) >> 2, 5, 0, 1] and lm_score._scaled(big.astype(np.int64)).tolist() == big.tolist()
+
+
 def test_forms_of_assignments():
     v = "Zq8-rT5_xW2!kL9p"
     lexed = lambda t: [t[a:b] for a, b in secret_scan.lexed(t)]
