@@ -125,15 +125,18 @@ def _broken(members: DataFrame, links: DataFrame, cap: int | None) -> list:
 
 
 @query(f"""with {_NODES}, {_EDGES}, n as (select (select count(*) from nodes) + (select count(*) from edges) as n), k as (select count(*) as n from (select src from edges union select tgt from edges))
-select partitioner, units::bigint as units, 0::bigint as twice, 0::bigint as over_cap, 0::bigint as in_pieces from (select 'bfs' as partitioner, n as units from n union all select 'dfs', n from n union all select 'modularity', n from k)""")
+select partitioner, units::bigint as units, 0::bigint as twice, 0::bigint as over_cap, 0::bigint as in_pieces from (select 'bfs' as partitioner, n as units from n union all select 'dfs', n from n union all select 'modularity', n from k union all select 'anchor', null from k union all select 'ece', null from k)""")
 def partition_invariants(spark, d):
-    """Each unit once, no community over its cap or in pieces: breadth-first, depth-first and by modularity."""
+    """Each unit once, no community over its cap or in pieces: breadth-first, depth-first, by modularity, from anchors and by loss."""
     nodes, edges = nation_nodes(spark, d), G.settled(nation_edges(spark, d))
     links = G.settled(P.incidence(edges))
     found = [("bfs", P.bfs_communities(nodes, edges, 5), links, 5), ("dfs", P.dfs_communities(nodes, edges, 4), links, 4)]
     best = P.modularity_communities(nodes, edges).withColumnRenamed("node_id", "unit_id")
     found.append(("modularity", best, G.both_ways(edges), None))
+    found.append(("anchor", P.anchored_communities(nodes, edges, 6, anchor_type="nation"), links, 6))
+    found.append(("ece", P.loss_communities(nodes, edges, 5, max_tokens=12, min_units=2, sampling="max_loss"), links, 5))
     rows = [(name, *_broken(G.settled(x.select("community_id", "unit_id")), y, cap)) for name, x, y, cap in found]
+    rows = [(name, None if name in ("anchor", "ece") else units, *rest) for name, units, *rest in rows]  # these leave units out
     return spark.createDataFrame(rows, "partitioner string, units long, twice long, over_cap long, in_pieces long")
 
 

@@ -8,7 +8,7 @@ from .functions import text as T
 from .operators import chunking, evaluation as E, parse, prompts, taxonomy as X
 from .queries import query, t
 from .queries_more import _QA, _QUALITY, _TREE, eval_rows, part_tree, qa_rows
-from .sources import tables
+from .sources import readers, tables
 
 
 @query(f"""with {_QUALITY} select id, array_to_string(list_filter([case when qw < 5 then 'Expand the question to be more specific' when qw > 200 then 'Simplify the question' end, case when aw < 10 then 'Provide a more detailed answer' when aw > 500 then 'Condense the answer' end,
@@ -129,6 +129,17 @@ def taxonomy_prompts(spark, d):
     return t(spark, d, "documents").select("doc_id", X.taxonomy_prompt(F.col("text")).alias("prompt"))
 
 
+@query("select 'R' || r_regionkey as id, r_name as name, null as parent_id from region union all select 'N' || n_nationkey, n_name, 'R' || n_regionkey from nation union all select 'F' || n_nationkey, 'flat', 'N' || n_nationkey from nation")
+def taxonomy_files(spark, d):
+    """A tree for each region, nested, and its nations' own children, flat: rows of every level."""
+    n = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    kid = F.struct(F.concat(F.lit("N"), "n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    flat = F.struct(F.concat(F.lit("F"), "n_nationkey").alias("id"), F.lit("flat").alias("name"), F.concat(F.lit("N"), "n_nationkey").alias("parent_id"))
+    x = n.groupBy("r_regionkey", "r_name").agg(F.collect_list(kid).alias("kids"), F.collect_list(flat).alias("flat"))
+    text = F.concat(F.lit('{"nodes": ['), F.to_json(F.struct(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.col("kids").alias("children"))), F.lit(", "), F.regexp_replace(F.to_json("flat"), r"^\[|\]$", ""), F.lit("]}"))
+    return readers.tree_rows(x.select(F.col("r_regionkey").alias("path"), F.try_parse_json(text).alias("v"))).select("id", "name", "parent_id")
+
+
 @query("select item_id, md5(text) as found, '' as missing from benchmark")
 def marked_part(spark, d):
     x = F.concat(F.lit("before <answer>\n "), F.md5("text"), F.lit(" \n</answer> after"))

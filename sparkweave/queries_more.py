@@ -143,10 +143,15 @@ def batches_by_mode(spark, d):
 
 @query(f"with {_BULLETS}, k as (select distinct batch_id from b), x as (select batch_id, u.turn::int as turn from k, (select unnest([0, 1, 2]) as turn) u) select batch_id, turn from x order by turn, batch_id limit 60")
 def batch_budget(spark, d):
-    return prompts.repeated_to(nation_batches(spark, d), target=40).select("batch_id", "turn").filter(F.lit(True))
+    return prompts.repeated_to(nation_batches(spark, d), target=40).select("batch_id", "turn")
 
 
-@query()
+_MULTI_HOP = next(r[3] for r in prompts.TEMPLATES if r[:2] == ("multi_hop", "en")).replace("'", "''")
+
+
+@query(f"""with {_BULLETS}, u as (select batch_id, c as id, about from b union select batch_id, batch_id, n_name from b), n as (select batch_id, string_agg(i || '. ' || id || ': ' || about, chr(10) order by i) as entities from (select *, row_number() over (partition by batch_id order by id) as i from u) group by batch_id),
+r as (select batch_id, string_agg(i || '. ' || c || ' -- ' || batch_id || ': ' || c || ' in ' || batch_id, chr(10) order by i) as relations from (select *, row_number() over (partition by batch_id order by c) as i from b) group by batch_id)
+select batch_id, 'multi_hop' as mode, 'en' as language, replace(replace('{_MULTI_HOP}', '{{entities}}', entities), '{{relations}}', relations) as prompt from n join r using (batch_id)""")
 def mode_prompts(spark, d):
     return prompts.mode_prompts(nation_batches(spark, d), "multi_hop")
 
@@ -489,9 +494,16 @@ def taxonomy_closure(spark, d):
     return X.closure(part_tree(spark, d))
 
 
-@query(f"with {_TREE} select 'ERROR' as level, 'unreachable' as rule, id from tree where false union all select 'WARNING', 'orphan', 'x/' || p_partkey from part where p_partkey % 50 = 0")
+@query(f"""with {_TREE} select 'WARNING' as level, 'orphan' as rule, 'x/' || p_partkey as id from part where p_partkey % 50 = 0 union all select 'WARNING', 'unknown_dimension', 'd/' || p_partkey from part where p_partkey % 70 = 0
+union all select 'WARNING', 'too_deep', 'c/' || n_nationkey from nation where n_nationkey > 10 union all select 'ERROR', 'unreachable', 'u/' || r_regionkey from region""")
 def taxonomy_issues(spark, d):
-    bad = t(spark, d, "part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("x/"), "p_partkey").alias("id"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(X.DIMENSIONS[0]).alias("cognitive_dimension"), F.lit("nowhere").alias("parent_id"))
+    """The tree of parts with orphans, odd dimensions, a chain of nations, and regions that go round."""
+    p, n, r = t(spark, d, "part"), t(spark, d, "nation"), t(spark, d, "region")
+    row = lambda df, mark, key, dim, parent: df.select(F.concat(F.lit(mark), key).alias("id"), F.lit(mark).alias("name"), F.lit(None).cast("string").alias("description"), F.lit(dim).alias("cognitive_dimension"), parent.alias("parent_id"))
+    bad = row(p.filter("p_partkey % 50 = 0"), "x/", "p_partkey", X.DIMENSIONS[0], F.lit("nowhere"))
+    bad = bad.unionByName(row(p.filter("p_partkey % 70 = 0"), "d/", "p_partkey", "odd", F.col("p_type")))
+    bad = bad.unionByName(row(n, "c/", "n_nationkey", X.DIMENSIONS[1], F.when(F.col("n_nationkey") > 0, F.concat(F.lit("c/"), (F.col("n_nationkey") - 1).cast("string")))))
+    bad = bad.unionByName(row(r, "u/", "r_regionkey", X.DIMENSIONS[1], F.concat(F.lit("u/"), ((F.col("r_regionkey") + 1) % F.lit(r.count())).cast("string"))))
     return X.validate(part_tree(spark, d).unionByName(bad))
 
 
@@ -551,7 +563,13 @@ def intent_link(spark, d):
     return X.link_intents(intents, nodes).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""with {_NODES}, {_EDGES}, k as (select r_regionkey as intent_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(r_name), '[a-z]+'), lambda w: length(w) > 1))) as kw from region), tot as (select intent_id, count(*) as n from k group by 1),
+h as (select intent_id, node_id, count(*) / any_value(tot.n)::double as score from k join tot using (intent_id) join nodes on contains(lower(node_id || ' ' || description || ' ' || entity_type), kw) group by 1, 2),
+s as (select intent_id, node_id from (select *, row_number() over (partition by intent_id order by score desc, node_id) as i from h where score >= 0.1) where i <= 5),
+b as (select src as u, tgt as v from edges union select tgt, src from edges), g as (select intent_id, node_id, min(hop) as hop from (select intent_id, node_id, 0 as hop from s union all select intent_id, v, 1 from s join b on u = node_id) group by 1, 2),
+q as (select intent_id, node_id from (select *, row_number() over (partition by intent_id order by hop, node_id) as i from g) where i <= 20),
+l as (select intent_id, 0 as part, '- ' || node_id || ': ' || description as line from q join nodes using (node_id) union all select x.intent_id, 1, '- ' || src || ' - ' || tgt from edges join q x on x.node_id = src join q y on y.node_id = tgt and y.intent_id = x.intent_id)
+select intent_id, string_agg(line, chr(10) order by part, line) as text from l group by intent_id""")
 def intent_subgraph(spark, d):
     r = t(spark, d, "region").select(F.col("r_regionkey").alias("intent_id"), F.col("r_name").alias("text"))
     return X.intent_subgraphs(r, nation_nodes(spark, d), nation_edges(spark, d), 1, 20)

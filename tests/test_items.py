@@ -65,3 +65,56 @@ def test_chinese_without_marks_stays_below_its_size():
     text = "天" * 100 + "。" + "地" * 30
     out = [c for _, c in chunking.splitter("zh", 16, 4).chunks(text)]
     assert max(map(len, out)) <= 17 and set("".join(out)) == set(text)
+
+
+def plain_chunks(text, marks, size, overlap, ends=False):
+    """Chunks by plain strings: cut at the coarsest mark that occurs, pack neighbours, cut what is too long more finely."""
+    level = next((k for k, m in enumerate(marks) if m == "" or re.search(m, text)), len(marks) - 1)
+    mark, finer = marks[level], marks[level + 1 :]
+    if mark == "":
+        pieces, finer = list(text), []
+    else:
+        places = [m.end() if ends else m.start() for m in re.finditer(mark, text)]
+        bounds = sorted({0, len(text), *places})
+        pieces = [text[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def packed(run):
+        out, held = [], []
+        for p in run:
+            if held and len("".join(held)) + len(p) > size:
+                out.append("".join(held))
+                while held and (len("".join(held)) > overlap or len("".join(held)) + len(p) > size):
+                    held.pop(0)
+            held.append(p)
+        return [*out, "".join(held)] if held else out
+
+    out, run = [], []
+    for p in pieces:
+        if len(p) < size:
+            run.append(p)
+            continue
+        out += packed(run)
+        run = []
+        if finer:
+            out += plain_chunks(p, finer, size, overlap, ends)
+        else:
+            out += packed(list(p)) if len(p) > size else [p]
+    return out + packed(run)
+
+
+def test_chunks_equal_plain_strings(spark):
+    """Whole documents and pages by the library and by plain strings, at several sizes."""
+    texts = {("documents", r["doc_id"]): r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    texts |= {("pages", r["page_id"]): r["html"] or "" for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    texts |= {("own", 0): "# a\nb c d\n## e\n\nf" * 9, ("own", 1): "今天天气好。明天下雨！" * 30 + "天" * 90, ("own", 2): "x" * 400, ("own", 3): " \n\n ", ("own", 4): ""}
+    plain = {"en": ([re.escape(m) for m in chunking.ENGLISH], False), "markdown": (list(chunking.MARKDOWN), False), "zh": (list(chunking.CHINESE), True)}
+    for kind, (marks, ends) in plain.items():
+        for size, overlap in ((1024, 100), (60, 12)):
+            one = chunking.splitter(kind, size, overlap)
+            for key, t in texts.items():
+                t = t[:6000] if size == 60 else t
+                want = [c.strip() for c in (plain_chunks(t, marks, size, overlap, ends) if t else []) if c.strip()]
+                want = [re.sub(r"\n{2,}", "\n", c) for c in want] if kind == "zh" else want
+                got = [c for _, c in one.chunks(t)]
+                assert got == want, (kind, size, key)
+                assert all(len(c) <= size for c in got)
