@@ -23,6 +23,8 @@ from .quality import block_counts
 #: Labelled rows that a fit sees at most (about; rows are chosen by hash).
 MAX_ROWS = 20_000
 BINS, GRID, PAIRS, ROUNDS, STEP, RIDGE = 48, 12, 8, 120, 0.12, 2.0
+#: Text counted at once; smaller blocks than elsewhere are faster here and bound a worker's arrays.
+BLOCK_BYTES = 1 << 18
 #: A feature's expression over the counts of a text; none of them grows with its length alone but the first.
 FEATURES = {
     "size": "log1p(n_words)",
@@ -84,7 +86,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part, block in B.in_blocks(batch, "t"):
+            for part, block in B.in_blocks(batch, "t", BLOCK_BYTES):
                 counts = text_features(block)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(counts[c].astype(np.int64)) for c in names]], names=["doc_id", *names])
 
