@@ -50,13 +50,15 @@ def intent_run(tree: DataFrame, nodes: DataFrame, edges: DataFrame, respond: Res
     free = taxonomy.with_depth(tree).select("id", "name", "description", "is_leaf").checkpoint()
     kept, n_kept, n_tried = None, 0, 0
     fallback = G.first_nodes(nodes.select("node_id"), edges, 20)[0].agg(F.array_join(F.array_sort(F.collect_list("node_id")), "\n").alias("first"))  # one row, 20 names
+    every = free.select(F.col("id").alias("intent_id"), F.concat_ws(" ", "name", "description").alias("text"))
+    links = G.settled(taxonomy.link_intents(every, nodes))  # nodes are read once a run
     while n_kept < target and n_tried < 3 * target:
         some = taxonomy.in_order(free, seed).limit(min(target - n_kept, 3 * target - n_tried)).checkpoint()
         n = some.count()
         if not n:
             break
         intents = some.select(F.col("id").alias("intent_id"), F.concat_ws(" ", "name", "description").alias("text"))
-        about = taxonomy.intent_subgraphs(intents, nodes, edges).withColumnRenamed("text", "context")
+        about = taxonomy.intent_subgraphs(intents, nodes, edges, links=links).withColumnRenamed("text", "context")
         asked = intents.join(about, "intent_id", "left").crossJoin(F.broadcast(fallback)).withColumn("context", F.coalesce("context", "first"))
         said = respond(asked.withColumn("prompt", filled(F.lit(INTENT), intent=F.col("text"), context=F.col("context")))).select("intent_id", "response").checkpoint()
         pairs = parse.intent_pairs(said, "intent_id")

@@ -47,15 +47,14 @@ def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, ma
     one_way: a node proposes one edge only (a random walk), edges propose both ends.
     """
     spark = units.sparkSession
-    G.ensure_checkpoint_dir(spark)
-    units = units.select("unit_id", "kind", "rank", "can_seed", F.coalesce("length", F.lit(0)).alias("length")).checkpoint()
-    links = links.checkpoint()
+    units = units.select("unit_id", "kind", "rank", "can_seed", F.coalesce("length", F.lit(0)).alias("length")).transform(G.settled)
+    links = G.settled(links)
     out = None
     free = units
     while True:  # each phase uses up the seeds that come first
         rivals = links.join(free.filter("can_seed").select(F.col("unit_id").alias("v"), F.col("rank").alias("vr")), "v").groupBy("u").agg(F.min("vr").alias("best"))
         seeds = free.filter("can_seed").join(rivals, F.col("unit_id") == F.col("u"), "left").filter("best is null or rank < best")
-        members = seeds.select(F.col("unit_id").alias("community_id"), "unit_id", "kind", F.lit(0).alias("ord"), F.col("rank").alias("c_rank"), "rank", "length").checkpoint()
+        members = seeds.select(F.col("unit_id").alias("community_id"), "unit_id", "kind", F.lit(0).alias("ord"), F.col("rank").alias("c_rank"), "rank", "length").transform(G.settled)
         if members.isEmpty():
             break
         for step in range(1, cap):
@@ -74,12 +73,12 @@ def grow(units: DataFrame, links: DataFrame, cap: int, one_way: bool = False, ma
             if max_length is not None:
                 won = won.filter(F.col("size") + F.col("before") <= max_length)
             won = won.select("community_id", "unit_id", "kind", F.lit(step).alias("ord"), "c_rank", "rank", "length")
-            members = members.unionByName(won).checkpoint()
+            members = G.settled(members.unionByName(won))
             if members.filter(F.col("ord") == step).isEmpty():
                 break
         done = members.select("community_id", "unit_id", "kind", "ord")
         out = done if out is None else out.unionByName(done)
-        free = free.join(done.select("unit_id"), "unit_id", "left_anti").checkpoint()
+        free = free.join(done.select("unit_id"), "unit_id", "left_anti").transform(G.settled)
     return out if out is not None else spark.createDataFrame([], "community_id string, unit_id string, kind string, ord int")
 
 
@@ -210,18 +209,19 @@ def sibling_groups(edges: DataFrame, max_siblings: int = 10) -> DataFrame:
     """
     G.ensure_checkpoint_dir(edges.sparkSession)
     free = edges.filter("src <> tgt").select("src", "tgt").distinct()
-    place = F.row_number().over(Window.partitionBy("parent").orderBy("src"))
-    n = F.count("*").over(Window.partitionBy("parent", "g"))
     x, again, left = None, "", free.count()
     while True:  # each round but the last takes edges away
         sizes = free.groupBy("tgt").agg(F.count("*").alias("n"))
         claim = free.join(sizes, "tgt").groupBy("src").agg(F.min_by("tgt", F.struct(-F.col("n"), F.col("tgt"))).alias("parent"), F.count("*").alias("parents"))
-        claim = claim.withColumn("g", F.floor((place - 1) / max_siblings)).withColumn("n", n)
-        claim = claim.withColumn("community_id", F.concat(F.col("parent"), F.lit("/" + again), F.col("g").cast("string"))).checkpoint()
+        claim = G.numbered(claim, "parent", "src")  # places by range: a parent of many children is no task of its own
+        claim = claim.join(claim.groupBy("parent").agg(F.min("_place").alias("_first")), "parent")
+        claim = claim.withColumn("g", F.floor((F.col("_place") - F.col("_first")) / max_siblings)).drop("_place", "_first")
+        claim = claim.join(claim.groupBy("parent", "g").agg(F.count("*").alias("n")), ["parent", "g"])
+        claim = G.settled(claim.withColumn("community_id", F.concat(F.col("parent"), F.lit("/" + again), F.col("g").cast("string"))))
         found = claim.filter("n >= 2")
         x, again = found if x is None else x.unionByName(found), again + "+"
         alone = claim.filter("n < 2 and parents > 1").select("src", F.col("parent").alias("tgt"))
-        free = free.join(found.select("src"), "src", "left_anti").join(alone, ["src", "tgt"], "left_anti").checkpoint()
+        free = free.join(found.select("src"), "src", "left_anti").join(alone, ["src", "tgt"], "left_anti").transform(G.settled)
         before, left = left, free.count()
         if left in (0, before):
             break

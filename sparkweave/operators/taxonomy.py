@@ -214,9 +214,9 @@ def link_intents(intents: DataFrame, nodes: DataFrame, min_score: float = 0.1, t
     return x.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= top).select("intent_id", "node_id", "score", "rank")
 
 
-def intent_subgraphs(intents: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: int = 20, min_score: float = 0.1) -> DataFrame:
-    """(intent_id, text): the serialized neighbourhood of each intent's linked nodes."""
-    seeds = link_intents(intents, nodes, min_score).select("intent_id", "node_id")
+def intent_subgraphs(intents: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2, max_nodes: int = 20, min_score: float = 0.1, links: DataFrame | None = None) -> DataFrame:
+    """(intent_id, text): the serialized neighbourhood of each intent's linked nodes; links(intent_id, node_id) where they are known."""
+    seeds = link_intents(intents, nodes, min_score).select("intent_id", "node_id") if links is None else links.select("intent_id", "node_id").join(intents.select("intent_id"), "intent_id", "left_semi")
     n, e = G.k_hop(edges, seeds, max_hops, max_nodes)
     ns = n.join(nodes.select("node_id", "description"), "node_id", "left").groupBy("intent_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("node_id"), F.lit(": "), F.coalesce("description", F.lit(""))))).alias("ns"))
     es = e.groupBy("intent_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("src"), F.lit(" - "), F.col("tgt")))).alias("es"))

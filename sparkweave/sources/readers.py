@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .. import graph as G
+
 SUFFIXES = ("txt", "md", "markdown", "json", "jsonl", "csv")
 
 
@@ -48,13 +50,16 @@ def read_csv(spark: SparkSession, path) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of any known suffix as one table; unknown suffixes are refused."""
-    out = None
+    """Files of any known suffix as one table, one read for all files of a suffix; unknown suffixes are refused."""
+    groups: dict[str, list[str]] = {}
     for p in paths:
         suffix = p.rsplit(".", 1)[-1].lower()
         if suffix not in SUFFIXES:
             raise ValueError(f"unknown suffix: {p}")
-        df = {"txt": read_text, "md": read_markdown, "markdown": read_markdown, "json": read_json, "jsonl": lambda s, x: read_jsonl(s, x)[0], "csv": read_csv}[suffix](spark, p)
+        groups.setdefault(suffix, []).append(p)
+    out = None
+    for suffix, same in groups.items():
+        df = {"txt": read_text, "md": read_markdown, "markdown": read_markdown, "json": read_json, "jsonl": lambda s, x: read_jsonl(s, x)[0], "csv": read_csv}[suffix](spark, same)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
@@ -110,13 +115,21 @@ def read_qa_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_review_items(spark: SparkSession, path: str, task: str) -> DataFrame:
-    """(item_id, pos, item): a list, {items: [...]}, one object, or JSONL; ids of eval items stay, others are task_pos."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.try_parse_json("value").alias("v"))
+    """(item_id, pos, item): a list, {items: [...]}, one object, or JSONL; ids of eval items stay, others are task_pos.
+
+    pos counts the items from 0 over all files of path, in order of their names; lines that do not parse are not counted.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    # the parser stops after a first value, so a file of several lines of which the first is a value is JSONL
+    some = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    many = (F.size(some) > 1) & F.try_parse_json(F.get(some, F.lit(0))).isNotNull()
+    raw = raw.withColumn("v", F.when(~many, F.try_parse_json("value")))
     lists = raw.filter("v is not null").withColumn("kind", F.expr("schema_of_variant(v)"))
     one = lists.withColumn("v", F.expr("case when kind like 'ARRAY%' then v when try_variant_get(v, '$.items', 'variant') is not null then variant_get(v, '$.items', 'variant') else parse_json(concat('[', to_json(v), ']')) end"))
-    items = spark.sql("select x.pos as pos, x.value as item from {one}, lateral variant_explode(v) as x", one=one)
-    lines = raw.filter("v is null").select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
-    items = items.unionByName(lines.select("pos", F.try_parse_json("line").alias("item")).filter("item is not null"))
+    items = spark.sql("select path, x.pos as pos, x.value as item from {one}, lateral variant_explode(v) as x", one=one)
+    lines = raw.filter("v is null").select("path", F.posexplode(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")).alias("pos", "line"))
+    items = items.unionByName(lines.filter(F.col("line").rlike(r"\}\s*$")).select("path", "pos", F.try_parse_json("line").alias("item")).filter("item is not null"))
+    items = G.numbered(items, "path", "pos").select(F.col("_place").alias("pos"), "item")
     own = F.expr("try_variant_get(item, '$.id', 'string')")
     return items.select(F.when(own.startswith("eval_"), own).otherwise(F.concat(F.lit(task + "_"), F.col("pos").cast("string"))).alias("item_id"), "pos", "item")
 

@@ -210,6 +210,10 @@ def test_readers(spark, tmp_path):
     assert [r["item_id"] for r in readers.read_review_items(spark, f"{f}/r.json", "t").orderBy("pos").collect()] == ["eval_x", "t_1"]
     (tmp_path / "qa").mkdir()
     (tmp_path / "qa" / "1.json").write_text('{"k": {"question": "a"}}')
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.jsonl").write_text('{"q": 1}\nbroken\n\n{"id": "eval_y"}\n{"q": 2}')
+    (tmp_path / "many" / "b.json").write_text('[{"q": 3}, {"q": 4}]')
+    assert [r["item_id"] for r in readers.read_review_items(spark, f"file://{tmp_path}/many", "t").orderBy("pos").collect()] == ["t_0", "eval_y", "t_2", "t_3", "t_4"]
     assert readers.read_qa_folder(spark, f"{f}/qa").first()["key"] == "k"
 
 
