@@ -184,10 +184,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
     whole = settled(edges.select("src", "tgt").filter("src is not null and tgt is not null").distinct())
     left, out = whole.filter("src <> tgt"), None
     while True:
-        # nodes without a way in or out are on no cycle
-        inner = left.join(left.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
-        left = settled(inner.select("src", "tgt"))
-        if left.isEmpty():
+        left = settled(left)
+        n, before = left.count(), None
+        while n and (before is None or n < 0.95 * before):  # nodes without a way in or out are on no cycle; long chains are left to the colours
+            inner = left.join(left.select(F.col("tgt").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("tgt")).distinct(), "tgt", "left_semi")
+            left, before = settled(inner.select("src", "tgt")), n
+            n = left.count()
+        if not n:
             break
         nodes = left.select(F.explode(F.array("src", "tgt")).alias("node")).distinct()
         colour = settled(_farthest(left.select(F.col("src").alias("u"), F.col("tgt").alias("v")), nodes))

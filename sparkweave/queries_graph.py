@@ -143,15 +143,15 @@ def partition_invariants(spark, d):
 # Keyed streaming state
 
 
-@query(r"""with l as (select distinct trim(x) as line from (select unnest(string_split(text, chr(10))) as x from conversations) where trim(x) <> ''),
+@query(r"""with l as (select distinct trim(x) as line from (select unnest(string_split_regex(text, '[.\n]')) as x from conversations) where trim(x) <> ''),
 w as (select line, unnest(list_distinct(list_transform(list_filter(string_split(regexp_replace(line, '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}')), lambda x: upper(x)))) as node_id from l)
 select node_id, '"TERM"' as entity_type, count(*) as mentions, count(distinct line) as sources from w group by node_id""")
 def keyed_ingest(spark, d):
-    """The lines of all conversations as a stream of documents: nodes with their mentions and sources, from keyed state."""
+    """The sentences of all conversations as a stream of documents, a chunk each: nodes with their mentions and sources, from keyed state."""
     G.ensure_checkpoint_dir(spark)
     folder = spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/graph-{uuid.uuid4().hex}"
     lines = spark.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversations.parque[t]")  # a pattern, as a stream reads folders or patterns
-    lines = lines.select(F.explode(F.split("text", "\n")).alias("content"))
+    lines = lines.select(F.explode(F.split("text", r"[.\n]")).alias("content"))
     store = state.GraphStore(spark, f"{folder}/graph")
     state.run(lines, store, f"{folder}/state")
     return store.nodes().join(mentions.occurrences(store.read("node_sources"), ["node_id"]).withColumnRenamed("occurrences", "sources"), "node_id")
