@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkweave import graph as G
 from sparkweave.operators import leiden, partition
@@ -199,3 +200,11 @@ def test_mtld_equals_plain_python(spark):
     began = time.time()
     long.collect()
     assert time.time() - began < 3  # a second on a free machine; quadratic time would be minutes
+
+
+def test_a_pair_is_looked_up_from_its_smaller_ring(spark):
+    pairs = spark.createDataFrame([(f"c{k}", "hub") for k in range(300)], "source string, target string")
+    one = spark.createDataFrame([(f"c{k}", f"c{k}") for k in range(300)], "end string, node string")
+    hub = spark.createDataFrame([("hub", f"c{k}") for k in range(300)], "end string, node string")
+    for sources, targets, turned in ((one, hub, pairs), (hub, one, pairs.select(F.col("target").alias("source"), F.col("source").alias("target")))):
+        assert sum(x.count() for _, _, x in G._by_smaller_ring(turned, sources, targets)) == 300  # not 300 nodes a pair
