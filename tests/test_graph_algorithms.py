@@ -208,3 +208,12 @@ def test_a_pair_is_looked_up_from_its_smaller_ring(spark):
     hub = spark.createDataFrame([("hub", f"c{k}") for k in range(300)], "end string, node string")
     for sources, targets, turned in ((one, hub, pairs), (hub, one, pairs.select(F.col("target").alias("source"), F.col("source").alias("target")))):
         assert sum(x.count() for _, _, x in G._by_smaller_ring(turned, sources, targets)) == 300  # not 300 nodes a pair
+
+
+def test_pairs_of_two_components_grow_no_rings(spark, monkeypatch):
+    edges = [(f"{side}{k}", f"{side}h") for side in "ab" for k in range(50)]
+    pairs = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(50)] + [("a0", "a1")], "source string, target string")
+    found, listed = G._by_smaller_ring, []
+    monkeypatch.setattr(G, "_by_smaller_ring", lambda p, *rings: (listed.append(p.count()), found(p, *rings))[1])
+    assert [tuple(r) for r in G.pair_distances(table(spark, edges), pairs, 4).collect()] == [("a0", "a1", 2)]
+    assert max(listed) == 1
