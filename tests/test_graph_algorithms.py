@@ -217,3 +217,12 @@ def test_pairs_of_two_components_grow_no_rings(spark, monkeypatch):
     monkeypatch.setattr(G, "_by_smaller_ring", lambda p, *rings: (listed.append(p.count()), found(p, *rings))[1])
     assert [tuple(r) for r in G.pair_distances(table(spark, edges), pairs, 4).collect()] == [("a0", "a1", 2)]
     assert max(listed) == 1
+
+
+def test_cycles_of_single_ways_are_followed(spark):
+    edges = [(f"c{k}", f"c{(k + 1) % 30}") for k in range(30)] + [(f"t{k:04}", f"t{k + 1:04}") for k in range(400)] + [("t0400", "c3"), ("x", "y"), ("y", "x"), ("y", "c0"), ("w", "y"), ("dead", "end")]
+    cycles, left = G._followed(table(spark, edges))
+    assert {tuple(r) for r in cycles.collect()} == {(f"c{k}", "c0") for k in range(30)}
+    assert {tuple(r) for r in left.collect()} == {("x", "y"), ("y", "x"), ("w", "y")}
+    got = {tuple(r) for r in G.strong_components(table(spark, edges)).collect()}
+    assert got == {(f"c{k}", "c0") for k in range(30)} | {("x", "x"), ("y", "x")}
