@@ -217,20 +217,42 @@ def common_neighbours(edges: DataFrame, cell: int = 512) -> DataFrame:
     return tri.groupBy("x.src", "x.tgt").agg(F.count("*").alias("common"))
 
 
+def twins(edges: DataFrame) -> DataFrame:
+    """(node, like) of edges(src, tgt), each edge once, no loops: nodes that have the same neighbours, themselves included, as a smaller node `like`.
+
+    Such nodes have equal sums of hashes; each class of equal sums is compared with its smallest node, neighbour
+    by neighbour, and what differs is compared again among itself, so the result is exact and no wedge is listed.
+    """
+    near = G.both_ways(edges)
+    near = G.settled(near.unionByName(near.select("u", F.col("u").alias("v")).distinct()))
+    mark = F.xxhash64("v").cast("decimal(38,0)")
+    left = G.settled(near.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.sum(mark).alias("h")))
+    out = None
+    while True:
+        first = left.groupBy("n", "h").agg(F.min("node").alias("like"), F.count("*").alias("k")).filter("k > 1")
+        some = G.settled(left.join(first, ["n", "h"]).filter("node <> like").select("node", "n", "h", "like"))
+        if some.isEmpty():
+            return out if out is not None else some.select("node", "like")
+        both = some.join(near.withColumnRenamed("u", "node"), "node").join(near.withColumnRenamed("u", "like"), ["like", "v"], "left_semi").groupBy("node").agg(F.count("*").alias("same"))
+        checked = G.settled(some.join(both, "node", "left").withColumn("same", F.coalesce(F.col("same") == F.col("n"), F.lit(False))))
+        found = checked.filter("same").select("node", "like")
+        out = found if out is None else out.unionByName(found)
+        left = checked.filter("not same").select("node", "n", "h")
+
+
 def on_paths_of_two(edges: DataFrame) -> DataFrame:
     """Edges that lie on a shortest path of length two: (src, tgt).
 
-    A wedge u-v-w counts if u and w are not adjacent.  An edge (u, v) has such a w exactly if v's
-    neighbours are not all among u and u's neighbours, so common neighbours are counted instead of
-    listing wedges: deg(v) - 1 > common(u, v), or the same for u.
+    A wedge u-v-w counts if u and w are not adjacent.  An edge (u, v) has such a w, on either side,
+    exactly if u and v have not the same neighbours, themselves included; see twins().
     """
     G.ensure_checkpoint_dir(edges.sparkSession)
-    e = edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).filter("src <> tgt").distinct().checkpoint()
-    d = G.degrees(e)
-    x = e.join(d.withColumnsRenamed({"node_id": "src", "degree": "a"}), "src").join(d.withColumnsRenamed({"node_id": "tgt", "degree": "b"}), "tgt").checkpoint()
-    common = common_neighbours(e)
-    y = x.join(common, ["src", "tgt"], "left").na.fill({"common": 0})
-    return y.filter(F.greatest("a", "b") - 1 > F.col("common")).select("src", "tgt")
+    e = G.settled(edges.select(F.least("src", "tgt").alias("src"), F.greatest("src", "tgt").alias("tgt")).filter("src <> tgt").distinct())
+    same = twins(e)
+    of = G.settled(same.unionByName(same.select(F.col("like").alias("node"), "like").distinct()))
+    side = lambda c: of.select(F.col("node").alias(c), F.col("like").alias(f"_{c}"))
+    y = e.join(side("src"), "src", "left").join(side("tgt"), "tgt", "left")
+    return y.filter("_src is null or _tgt is null or _src <> _tgt").select("src", "tgt")
 
 
 def mean_hops(qa_nodes: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:

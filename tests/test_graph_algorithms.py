@@ -226,3 +226,20 @@ def test_cycles_of_single_ways_are_followed(spark):
     assert {tuple(r) for r in left.collect()} == {("x", "y"), ("y", "x"), ("w", "y")}
     got = {tuple(r) for r in G.strong_components(table(spark, edges)).collect()}
     assert got == {(f"c{k}", "c0") for k in range(30)} | {("x", "x"), ("y", "x")}
+
+
+def test_paths_of_two_list_no_wedges(spark, monkeypatch):
+    from sparkweave.operators import evaluation
+
+    def wedges(*_):
+        raise AssertionError("wedges are listed")
+
+    monkeypatch.setattr(evaluation, "triangles", wedges)
+    rng = random.Random(4)
+    clique = [(f"c{i}", f"c{j}") for i in range(6) for j in range(i)]
+    edges = {tuple(sorted(e)) for e in clique + [("h", f"c{k}") for k in range(3)] + [(f"r{rng.randrange(12)}", f"q{rng.randrange(12)}") for _ in range(60)] + [("a", "b")]}
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    assert {tuple(r) for r in evaluation.on_paths_of_two(table(spark, sorted(edges))).collect()} == {e for e in edges if near[e[0]] != near[e[1]]}
