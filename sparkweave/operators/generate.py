@@ -50,6 +50,7 @@ def intent_run(tree: DataFrame, nodes: DataFrame, edges: DataFrame, respond: Res
     free = taxonomy.with_depth(tree).select("id", "name", "description", "is_leaf").checkpoint()
     kept, n_kept, n_tried = None, 0, 0
     fallback = G.first_nodes(nodes.select("node_id"), edges, 20)[0].agg(F.array_join(F.array_sort(F.collect_list("node_id")), "\n").alias("first"))  # one row, 20 names
+    free = taxonomy.in_order(free, seed).limit(max(0, 3 * target)).checkpoint()  # no other intent is ever tried
     every = free.select(F.col("id").alias("intent_id"), F.concat_ws(" ", "name", "description").alias("text"))
     links = G.settled(taxonomy.link_intents(every, nodes))  # nodes are read once a run
     while n_kept < target and n_tried < 3 * target:

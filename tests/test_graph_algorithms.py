@@ -243,3 +243,16 @@ def test_paths_of_two_list_no_wedges(spark, monkeypatch):
         near.setdefault(a, {a}).add(b)
         near.setdefault(b, {b}).add(a)
     assert {tuple(r) for r in evaluation.on_paths_of_two(table(spark, sorted(edges))).collect()} == {e for e in edges if near[e[0]] != near[e[1]]}
+
+
+def test_only_intents_that_can_be_tried_are_linked(spark, monkeypatch):
+    from sparkweave.operators import generate, taxonomy
+
+    tree = spark.range(200).select(F.concat(F.lit("i"), "id").alias("id"), F.lit("steel").alias("name"), F.lit(None).cast("string").alias("description"), F.lit("recall").alias("cognitive_dimension"), F.lit(None).cast("string").alias("parent_id"))
+    nodes = spark.createDataFrame([("n1", "steel"), ("n2", "steel")], "node_id string, description string")
+    link, asked = taxonomy.link_intents, []
+    monkeypatch.setattr(taxonomy, "link_intents", lambda x, *rest, **names: (asked.append(x.count()), link(x, *rest, **names))[1])
+    respond = lambda x: x.withColumn("response", F.concat(F.lit("Question: Q "), F.md5("intent_id"), F.lit("\nAnswer: A")))
+    review = lambda x: x.withColumn("response", F.lit('{"passed": true, "overall_score": 0.75}'))
+    assert generate.intent_run(tree, nodes, table(spark, [("n1", "n2")]), respond, review, 4).count() == 4
+    assert max(asked) == 12
