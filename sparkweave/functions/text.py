@@ -56,7 +56,8 @@ def clean(text) -> Column:
     out = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
     for a, b in _ENTITIES:
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
+    out = F.regexp_replace(out, r"[\x00-\x1f\x7f-\x9f]", "")
+    return F.when(_c(text).rlike(r"[&\x00-\x1f\x7f-\x9f]|^\s|\s$"), out).otherwise(_c(text))  # most texts have nothing to clean
 
 
 @F.pandas_udf(StringType())

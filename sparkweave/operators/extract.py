@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .. import graph as G
 from ..functions import text as T
 
 SEP, FIELD, RECORD, DONE = "<SEP>", "<|>", "##", "<|COMPLETE|>"
@@ -72,11 +73,15 @@ def mentions(responses: DataFrame, id_col: str = "chunk_id", text_col: str = "re
     """
     r = parse_records(responses, id_col, text_col).filter(F.size("fields") >= 4)
     kind = F.regexp_replace(F.lower(F.try_element_at("fields", F.lit(1))), "^[^a-z_]+|[^a-z_]+$", "")
-    r = r.withColumn("kind", kind)
+    r = r.withColumn("kind", kind).filter("kind in ('entity', 'relationship')")
     f = lambda i: F.get("fields", F.lit(i - 1))
     name = (lambda c: F.regexp_replace(T.clean(c), "^\"|\"$", "")) if bare_names else T.clean
-    entities = r.filter("kind = 'entity'").select(name(F.upper(f(2))).alias("entity_name"), T.clean(F.upper(f(3))).alias("entity_type"), T.clean(f(4)).alias("description"), F.col(id_col).alias("source_id"))
-    relations = r.filter("kind = 'relationship'").select(name(F.upper(f(2))).alias("src_id"), name(F.upper(f(3))).alias("tgt_id"), T.clean(f(4)).alias("description"), F.col(id_col).alias("source_id"))
+    second = T.clean(F.upper(f(3)))
+    second = F.when(F.col("kind") == "entity", second).otherwise(F.regexp_replace(second, "^\"|\"$", "") if bare_names else second)
+    # responses are made and parsed once for both tables
+    r = G.settled(r.select("kind", name(F.upper(f(2))).alias("first"), second.alias("second"), T.clean(f(4)).alias("description"), F.col(id_col).alias("source_id")))
+    entities = r.filter("kind = 'entity'").select(F.col("first").alias("entity_name"), F.col("second").alias("entity_type"), "description", "source_id")
+    relations = r.filter("kind = 'relationship'").select(F.col("first").alias("src_id"), F.col("second").alias("tgt_id"), "description", "source_id")
     return entities.filter(F.trim("entity_name") != ""), relations.filter("trim(src_id) <> '' and trim(tgt_id) <> '' and src_id <> tgt_id")
 
 

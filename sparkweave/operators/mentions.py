@@ -9,26 +9,13 @@ Tables of two batches merge without the mentions that made them.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import graph as G
 
 
-@dataclass
-class GraphTables:
-    """A graph in long form; see the module."""
-
-    nodes: DataFrame
-    node_types: DataFrame  # (node_id, entity_type, votes)
-    node_texts: DataFrame
-    node_sources: DataFrame
-    edges: DataFrame  # (src, tgt, mentions, sources, source_sketch)
-    edge_texts: DataFrame
-    edge_sources: DataFrame
-
-
 def _pairs(x: DataFrame, keys: list[str], value: str) -> DataFrame:
     return x.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
 
@@ -43,6 +30,54 @@ def _counted(x: DataFrame, keys: list[str], sources: DataFrame) -> DataFrame:
     return sources.groupBy(*keys).agg(F.count("*").alias("sources"), F.hll_sketch_agg("source_id").alias("source_sketch"))
 
 
+class GraphTables:
+    """A graph in long form, from mentions that are written already; a table is made when it is asked for, and only then."""
+
+    def __init__(self, entities: DataFrame, relations: DataFrame):
+        self._e, self._r, self._keys = entities, relations, ["src", "tgt"]
+
+    @cached_property
+    def _named(self) -> DataFrame:
+        return G.settled(self._e.groupBy("node_id", "entity_type").agg(F.count("*").alias("votes")))
+
+    @cached_property
+    def _every(self) -> DataFrame:
+        """Texts and sources of entities, and of their relations for ends that no entity names."""
+        ends = self._r.select(F.explode(F.array("src", "tgt")).alias("node_id"), "description", "source_id")
+        return self._e.select("node_id", "description", "source_id").unionByName(ends.join(self._named.select("node_id").distinct(), "node_id", "left_anti"))
+
+    @cached_property
+    def node_types(self) -> DataFrame:
+        """(node_id, entity_type, votes)"""
+        ends = self._r.select(F.explode(F.array("src", "tgt")).alias("node_id")).distinct().join(self._named.select("node_id"), "node_id", "left_anti")
+        return G.settled(self._named.unionByName(ends.select("node_id", F.lit("UNKNOWN").alias("entity_type"), F.lit(0).cast("long").alias("votes"))))
+
+    @cached_property
+    def node_texts(self) -> DataFrame:
+        return _pairs(self._every, ["node_id"], "description")
+
+    @cached_property
+    def node_sources(self) -> DataFrame:
+        return _pairs(self._every, ["node_id"], "source_id")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return winner(self.node_types).join(_counted(self._every, ["node_id"], self.node_sources), "node_id", "left").na.fill(0, ["sources"])
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """(src, tgt, mentions, sources, source_sketch)"""
+        return self._r.groupBy(*self._keys).agg(F.count("*").alias("mentions")).join(_counted(self._r, self._keys, self.edge_sources), self._keys, "left").na.fill(0, ["sources"])
+
+    @cached_property
+    def edge_texts(self) -> DataFrame:
+        return _pairs(self._r, self._keys, "description")
+
+    @cached_property
+    def edge_sources(self) -> DataFrame:
+        return _pairs(self._r, self._keys, "source_id")
+
+
 def graph_tables(entities: DataFrame, relations: DataFrame) -> GraphTables:
     """entities(entity_name, entity_type, description, source_id), relations(src_id, tgt_id, description, source_id).
 
@@ -52,18 +87,7 @@ def graph_tables(entities: DataFrame, relations: DataFrame) -> GraphTables:
     G.ensure_checkpoint_dir(entities.sparkSession)
     e = entities.select(F.col("entity_name").alias("node_id"), "entity_type", "description", F.col("source_id").cast("string").alias("source_id"))
     r = relations.select(F.least("src_id", "tgt_id").alias("src"), F.greatest("src_id", "tgt_id").alias("tgt"), "description", F.col("source_id").cast("string").alias("source_id"))
-    votes = G.settled(e.groupBy("node_id", "entity_type").agg(F.count("*").alias("votes")))
-    named = votes.select("node_id").distinct()
-    ends = r.select(F.explode(F.array("src", "tgt")).alias("node_id"), "description", "source_id").join(named, "node_id", "left_anti")
-    unknown = ends.select("node_id").distinct().select("node_id", F.lit("UNKNOWN").alias("entity_type"), F.lit(0).cast("long").alias("votes"))
-    votes = G.settled(votes.unionByName(unknown))
-    every = e.select("node_id", "description", "source_id").unionByName(ends)
-    texts, sources = _pairs(every, ["node_id"], "description"), G.settled(_pairs(every, ["node_id"], "source_id"))
-    nodes = winner(votes).join(_counted(every, ["node_id"], sources), "node_id", "left").na.fill(0, ["sources"])
-    keys = ["src", "tgt"]
-    edge_sources = G.settled(_pairs(r, keys, "source_id"))
-    edges = r.groupBy(*keys).agg(F.count("*").alias("mentions")).join(_counted(r, keys, edge_sources), keys, "left").na.fill(0, ["sources"])
-    return GraphTables(nodes, votes, texts, sources, edges, _pairs(r, keys, "description"), edge_sources)
+    return GraphTables(e, r)
 
 
 def merged_nodes(a: DataFrame, b: DataFrame, votes: DataFrame) -> DataFrame:

@@ -134,3 +134,20 @@ def test_keyword_passes_agree(spark):
         got = taxonomy.keyword_hits(nodes, "node_id", "hay", kw, size).collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert taxonomy.keyword_hits(nodes, "node_id", "hay", kw.limit(0)).count() == 0
+
+
+def test_responses_are_made_and_parsed_once(spark):
+    """All tables of a graph read mentions that are written; a table that is not asked for is not made."""
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def respond(k):
+        made.add(1)
+        return f'("entity"<|>a{k % 3}<|>t<|>x &amp; y)##("relationship"<|>a{k % 3}<|>b<|>near)<|COMPLETE|>'
+
+    responses = spark.range(20).select(F.col("id").alias("chunk_id"), respond("id").alias("response"))
+    x = mentions.graph_tables(*extract.mentions(responses))
+    assert {tuple(r) for r in x.nodes.select("node_id", "mentions", "sources").collect()} == {("A0", 7, 7), ("A1", 7, 7), ("A2", 6, 6), ("B", 0, 20)}
+    assert x.edges.count() == 3 and {r["description"] for r in x.node_texts.collect()} == {"x & y", "near"}
+    assert made.value == 20
