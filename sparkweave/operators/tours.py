@@ -42,14 +42,20 @@ def euler_tour(tree: DataFrame) -> DataFrame:
     t = tree.filter("id is not null").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     known = t.select(F.col("id").alias("p"))
     t = G.settled(t.join(known, F.col("parent_id") == F.col("p"), "left").select("id", "parent_id", "p"))
-    kids = G.settled(following(t.filter("p is not null").select("p", "id"), ["p"], "id"))
-    first = kids.groupBy("p").agg(F.min("id").alias("first"))
+    # leaves are two steps in a row, so steps of inner nodes alone are ranked, over the leaves between them
+    inner = t.filter("p is not null").select(F.col("p").alias("id")).distinct().withColumn("inner", F.lit(True))
+    kids = G.settled(G.numbered(t.filter("p is not null").select("p", "id"), "p", "id").join(inner, "id", "left").select("p", "id", F.col("_place").alias("place"), F.coalesce("inner", F.lit(False)).alias("inner")))
+    of = G.settled(kids.groupBy("p").agg(F.min("place").alias("begin"), F.max("place").alias("end"), F.min(F.when(F.col("inner"), F.struct("place", "id"))).alias("first")))
+    later = following(kids.filter("inner").select("p", F.struct("place", "id").alias("at")), ["p"], "at")
+    later = later.join(of.select("p", "end"), "p").select(F.col("at.id").alias("id"), F.col("at.place").alias("place"), F.col("next.id").alias("next"), F.col("next.place").alias("next_place"), "end")
+    x = of.withColumnRenamed("p", "id").join(t.select("id", "p"), "id").join(later.withColumnRenamed("end", "above_end"), "id", "left")
     step = lambda node, out: F.struct(F.col(node).alias("id"), F.lit(out).alias("out"))
-    x = t.join(first.withColumnRenamed("p", "id"), "id", "left").join(kids.select("id", "next"), "id", "left")
-    enter = x.select(step("id", 0).alias("s"), F.when(F.col("first").isNotNull(), step("first", 0)).otherwise(step("id", 1)).alias("to"), F.lit(1).alias("up"))
-    leave = x.select(step("id", 1).alias("s"), F.when(F.col("next").isNotNull(), step("next", 0)).when(F.col("p").isNotNull(), step("p", 1)).alias("to"), F.lit(-1).alias("up"))
+    over = lambda leaves: (F.lit(1) + 2 * leaves).cast("long")
+    down = F.col("first").isNotNull()
+    enter = x.select(step("id", 0).alias("s"), F.when(down, step("first.id", 0)).otherwise(step("id", 1)).alias("to"), over(F.when(down, F.col("first.place")).otherwise(F.col("end") + 1) - F.col("begin")).alias("far"), F.lit(1).alias("up"))
+    leave = x.select(step("id", 1).alias("s"), F.when(F.col("next").isNotNull(), step("next", 0)).when(F.col("p").isNotNull(), step("p", 1)).alias("to"), over(F.coalesce(F.col("next_place") - 1, "above_end") - F.col("place")).alias("far"), F.lit(-1).alias("up"))
     # to: a later step; far: how many steps on; up: entries less exits from this step to before that one; last: to ends the tour
-    every = enter.unionByName(leave).select("s", F.coalesce("to", "s").alias("to"), F.col("to").isNull().alias("last"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("far"), F.when(F.col("to").isNull(), 0).otherwise(F.col("up")).cast("long").alias("up"))
+    every = enter.unionByName(leave).select("s", F.coalesce("to", "s").alias("to"), F.col("to").isNull().alias("last"), F.when(F.col("to").isNull(), 0).otherwise(F.col("far")).cast("long").alias("far"), F.when(F.col("to").isNull(), 0).otherwise(F.col("up")).cast("long").alias("up"))
     state = G.settled(every)
     left = state.filter("not last").count()
     while left:
@@ -66,7 +72,20 @@ def euler_tour(tree: DataFrame) -> DataFrame:
     y = ends.withColumn("root", F.col("last.id")).join(total, "root")
     # one node, the root, is open before the last step; what is open before a step is its depth
     y = y.select("id", "root", (F.col("steps") - F.col("a")).alias("enter"), (F.col("steps") - F.col("b")).alias("leave"), (F.lit(1) - F.col("up")).cast("int").alias("depth"))
-    return t.select("id", "parent_id").join(y, "id").withColumn("is_leaf", F.col("leave") == F.col("enter") + 1)
+    y = G.settled(y)
+    # a child begins after its parent's entry and the steps of the children before it
+    long = kids.join(y.select("id", (F.col("leave") - F.col("enter") + 1).alias("long")), "id", "left").select("p", "id", "place", "inner", F.coalesce("long", F.lit(2)).alias("long"))
+    cuts = G.settled(long.repartitionByRange("place").withColumn("_p", F.spark_partition_id()))
+    sums = cuts.groupBy("_p").agg(F.sum("long").alias("_s"))  # a row a partition
+    sums = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    run = F.sum("long").over(Window.partitionBy("_p").orderBy("place")) - F.col("long")
+    cuts = G.settled(cuts.withColumn("_run", run).join(F.broadcast(sums), "_p").select("p", "id", "inner", (F.col("_run") + F.col("_before")).alias("run")))
+    above = y.join(cuts.groupBy("p").agg(F.min("run").alias("begin")).withColumnRenamed("p", "id"), "id").select(F.col("id").alias("p"), "root", F.col("enter").alias("above"), "depth", "begin")
+    low = cuts.filter("not inner").join(above, "p").withColumn("enter", F.col("above") + 1 + F.col("run") - F.col("begin"))
+    low = low.select("id", F.col("p").alias("parent_id"), "root", "enter", (F.col("enter") + 1).alias("leave"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("is_leaf"))
+    top = t.join(y, "id").select("id", "parent_id", "root", "enter", "leave", "depth", F.lit(False).alias("is_leaf"))
+    lone = t.filter("p is null").join(inner, "id", "left_anti").select("id", "parent_id", F.col("id").alias("root"), F.lit(0).cast("long").alias("enter"), F.lit(1).cast("long").alias("leave"), F.lit(0).alias("depth"), F.lit(True).alias("is_leaf"))
+    return low.unionByName(top).unionByName(lone)
 
 
 def depths(tree: DataFrame) -> DataFrame:

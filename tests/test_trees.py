@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from sparkweave import graph as G
 from sparkweave.operators import tours
 
 TREE = "id string, parent_id string, name string, cognitive_dimension string, description string"
@@ -83,3 +84,28 @@ def test_a_chain_and_a_star(spark):
     assert (r["root"], r["enter"], r["leave"], r["depth"]) == ("c00000", 4999, 5000, 4999)
     r = tour.filter("id = 's099999'").first()
     assert (r["root"], r["enter"], r["leave"], r["depth"]) == ("s000000", 2 * 99_998 + 1, 2 * 99_998 + 2, 1)
+
+
+def test_leaves_are_not_ranked_by_doubling(spark, monkeypatch):
+    """Of a star of 300 leaves, a chain and a mixed family only the steps of inner nodes are followed."""
+    rows = [("hub", None)] + [(f"l{k:03}", "hub") for k in range(300)] + [("l010x", "l010"), ("l010y", "l010"), ("l200x", "l200"), ("alone", None), ("lost", "nowhere"), ("g1", "g2"), ("g2", "g1"), ("g3", "g1")]
+    settled, ranked = G.settled, []
+    monkeypatch.setattr(G, "settled", lambda df: (lambda x: (ranked.append(x.count()) if "far" in x.columns else None, x)[1])(settled(df)))
+    got = {r["id"]: r for r in tours.euler_tour(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
+    assert max(ranked) <= 2 * 5  # hub, l010, l200, g1, g2
+
+    kids, want = {}, {}
+    for i, p in rows:
+        kids.setdefault(p if p in {i for i, _ in rows} else None, []).append(i)
+
+    def visit(i, root, at, depth):
+        begin = at
+        for k in sorted(kids.get(i, [])):
+            at = visit(k, root, at + 1, depth + 1)
+        want[i] = (root, begin, at + 1, depth)
+        return at + 1
+
+    for root in kids[None]:
+        visit(root, root, 0, 0)
+    assert {i: (r["root"], r["enter"], r["leave"], r["depth"]) for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r["is_leaf"]} == {i for i in want if i not in kids}
