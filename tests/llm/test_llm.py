@@ -555,3 +555,12 @@ def test_pipeline(spark, tmp_path):
 def repeats(w):
     c = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
     return len({i + k for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+
+def test_every_window_moves_the_weights():
+    texts = [f"some text {k} of words {k * k}" for k in range(40)]
+    block = B.Block.of(range(len(texts)), [t.encode() for t in texts])
+    code, text = lm_score.Code(lm_score.running_bytes(block, np.ones(len(texts), bool))), lm_score.Running(block)
+    own = lm_score.Learner(code, 16)
+    own.add(text)
+    assert own.seen == sum(int(text.times[part].sum()) * len(last.bit) for part, last in lm_score.by_last_byte(code, text.window, 16))
