@@ -256,3 +256,12 @@ def test_only_intents_that_can_be_tried_are_linked(spark, monkeypatch):
     review = lambda x: x.withColumn("response", F.lit('{"passed": true, "overall_score": 0.75}'))
     assert generate.intent_run(tree, nodes, table(spark, [("n1", "n2")]), respond, review, 4).count() == 4
     assert max(asked) == 12
+
+
+def test_large_settled_tables_are_not_broadcast(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    big = G.settled(spark.range(300_000).select("id", F.xxhash64("id").alias("x")))
+    small = G.settled(spark.range(10).withColumn("x", F.lit(1)))
+    assert "BroadcastHashJoin" not in plan(big.join(big.select(F.col("x").alias("id"), F.lit(1).alias("y")), "id"))
+    assert "BroadcastHashJoin" in plan(big.select("id").join(F.broadcast(small), "id"))
+    assert "BroadcastHashJoin" in plan(small.join(small.select(F.col("x").alias("id"), F.lit(1).alias("y")), "id"))
