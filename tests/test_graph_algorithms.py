@@ -265,3 +265,31 @@ def test_large_settled_tables_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(big.join(big.select(F.col("x").alias("id"), F.lit(1).alias("y")), "id"))
     assert "BroadcastHashJoin" in plan(big.select("id").join(F.broadcast(small), "id"))
     assert "BroadcastHashJoin" in plan(small.join(small.select(F.col("x").alias("id"), F.lit(1).alias("y")), "id"))
+
+
+def test_path_lengths_write_each_row_once(spark, monkeypatch):
+    written, settled = [], G.settled
+
+    def counted(df):
+        out = settled(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "settled", counted)
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)] + [(f"c{i}", f"c{i + 1}") for i in range(8)] + [("c3", "c3"), ("c4", "c3"), ("n0", "n1")]
+    near: dict[str, set[str]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in ("n0", "n1", "c0", "c4", "x"):
+        ring, hops = {s}, {s: 0}
+        for k in range(1, 6):
+            ring = {v for u in ring for v in near.get(u, ())} - hops.keys()
+            hops |= dict.fromkeys(ring, k)
+        want |= {(s, v): k for v, k in hops.items()}
+    sources = spark.createDataFrame([(x,) for x in ("n0", "n1", "c0", "c4", "x", "n0")], "node_id string")
+    got = G.path_lengths(spark.createDataFrame(pairs, "src string, tgt string"), sources, 5).collect()
+    assert len(got) == len(want) and {(r["source"], r["node_id"]): r["hops"] for r in got} == want
+    assert sum(written) == len(want)
