@@ -73,8 +73,13 @@ def file_metrics(scores: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+#: Elements in a GraphML part file at most: readers take an XML file whole in one task.
+FILE_ELEMENTS = 100_000
+
+
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Node and edge elements as XML part files below path; attributes are map<key, text>."""
+    """Node and edge elements as XML part files below path, of FILE_ELEMENTS at most; attributes are map<key, text>."""
     data = F.transform(F.map_entries("attributes"), lambda x: F.struct(x["key"].alias("_key"), x["value"].alias("_VALUE")))
-    nodes.select(F.col("node_id").alias("_id"), data.alias("data")).write.format("xml").option("rowTag", "node").option("rootTag", "graph").mode("overwrite").save(f"{path}/nodes")
-    edges.select(F.col("src").alias("_source"), F.col("tgt").alias("_target"), data.alias("data")).write.format("xml").option("rowTag", "edge").option("rootTag", "graph").mode("overwrite").save(f"{path}/edges")
+    write = lambda rows, tag: rows.write.format("xml").option("rowTag", tag).option("rootTag", "graph").option("maxRecordsPerFile", FILE_ELEMENTS).mode("overwrite").save(f"{path}/{tag}s")
+    write(nodes.select(F.col("node_id").alias("_id"), data.alias("data")), "node")
+    write(edges.select(F.col("src").alias("_source"), F.col("tgt").alias("_target"), data.alias("data")), "edge")

@@ -257,3 +257,16 @@ def test_lone_siblings_try_their_other_parents(spark):
     assert sorted((r.community_id, r.node_id) for r in got if r.role == "child") == [("P/0", "a"), ("P/0", "b"), ("P/0", "c"), ("Q/+0", "x"), ("Q/+0", "y")]
     assert sorted(r.node_id for r in got if r.role == "parent") == ["P", "Q"]
     assert partition.sibling_groups(edges.limit(0)).count() == 0
+
+
+def test_graphml_part_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "FILE_ELEMENTS", 10, raising=False)
+    note = lambda c: F.create_map(F.lit("note"), F.col(c).cast("string"))
+    nodes = spark.range(95).coalesce(1).select(F.concat(F.lit("n"), "id").alias("node_id"), note("id").alias("attributes"))
+    edges = spark.range(31).coalesce(1).select(F.concat(F.lit("n"), "id").alias("src"), F.lit("n0").alias("tgt"), note("id").alias("attributes"))
+    exports.write_graphml(nodes, edges, f"file://{tmp_path}/g")
+    assert [len(list((tmp_path / "g" / k).glob("part-*"))) for k in ("nodes", "edges")] == [10, 4]
+    n = readers.read_graphml(spark, f"file://{tmp_path}/g/nodes")[0].collect()
+    e = readers.read_graphml(spark, f"file://{tmp_path}/g/edges")[1].collect()
+    assert sorted((r["node_id"], r["attributes"]["note"]) for r in n) == sorted((f"n{i}", str(i)) for i in range(95))
+    assert sorted((r["src"], r["tgt"], r["attributes"]["note"]) for r in e) == sorted((f"n{i}", "n0", str(i)) for i in range(31))
