@@ -564,3 +564,32 @@ def test_every_window_moves_the_weights():
     own = lm_score.Learner(code, 16)
     own.add(text)
     assert own.seen == sum(int(text.times[part].sum()) * len(last.bit) for part, last in lm_score.by_last_byte(code, text.window, 16))
+
+
+def test_windows_are_scored_and_counted_in_one_look():
+    """Runs are found once a window, and code paths too long for one product do not overflow."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cdeé") for _ in range(400)).encode() for _ in range(6)]
+    block = B.Block.of(range(6), texts)
+    counts = np.zeros(256, np.int64)
+    a, b = 1, 1
+    for byte in range(200, 256):  # a code of 50 bits and more for rare bytes
+        counts[byte], a, b = a, b, a + b
+    counts[97:102] = b
+    code, text = lm_score.Code(counts), lm_score.Running(block)
+    assert code.size.max() > lm_score._FACTORS
+    own, looked = lm_score.Learner(code, 16), []
+    runs = lm_score.Last.runs
+    try:
+        lm_score.Last.runs = lambda self, k: looked.append(k) or runs(self, k)
+        own.add(text)
+    finally:
+        lm_score.Last.runs = runs
+    assert len(looked) == len(lm_score.ORDERS) * len({int(w) >> 48 for w in text.window})
+    for part, last in lm_score.by_last_byte(code, text.window, 16):
+        for k in lm_score.ORDERS:
+            want = [i for i, w in enumerate(last.window) if not i or int(w) >> 8 * (6 - k) != int(last.window[i - 1]) >> 8 * (6 - k)]
+            assert last.runs(k)[0].tolist() == want
+    model = lm_score.Model(code, own.counts, np.full_like(own.weights, 1e6))  # every bit at the bound of 12
+    got = model.log2_windows(text)
+    assert np.isfinite(got).all() and (got <= 0).all()
