@@ -593,3 +593,58 @@ def test_windows_are_scored_and_counted_in_one_look():
     model = lm_score.Model(code, own.counts, np.full_like(own.weights, 1e6))  # every bit at the bound of 12
     got = model.log2_windows(text)
     assert np.isfinite(got).all() and (got <= 0).all()
+
+
+def test_windows_are_gathered_over_blocks_and_placed_by_one_sort():
+    """A window that several blocks hold is learned once, with the same counts; places equal an argsort, also where numbers of pairs do not fit."""
+    rng = random.Random(6)
+    words = [prose(rng, 1) for _ in range(80)]
+    blocks = [B.Block.of(range(3), [" ".join(rng.choices(words, k=200)).encode() for _ in range(3)]) for _ in range(4)]
+    which = np.array([True, False, True])
+    one = [lm_score.Running(b, which) for b in blocks]
+    all_of = lm_score.Running.of_windows(np.concatenate([lm_score.running_windows(b, which) for b in blocks]))
+    assert len(all_of.window) < sum(len(r.window) for r in one) and all_of.times.sum() == sum(r.times.sum() for r in one)
+    code = lm_score.Code(sum(lm_score.running_bytes(b, which) for b in blocks))
+    together, apart = lm_score.Learner(code, 16), lm_score.Learner(code, 16)
+    together.add(all_of)
+    for r in one:
+        apart.add(r)
+    assert (together.counts == apart.counts).all() and together.seen == apart.seen
+    few = lm_score.running_windows(blocks[0])
+    most = np.random.default_rng(1).integers(0, 1 << 56, 150_000, dtype=np.uint64)  # more pairs than 64 bits can number
+    for windows in (few, np.concatenate([most, most[::3]]), most[:0], most[:1]):
+        window, times, place = lm_score.placed(windows)
+        known, n = np.unique(windows, return_counts=True)
+        assert (window == known).all() and (times == n).all() and (place == np.argsort(windows, kind="stable")).all()
+    text = lm_score.Running(blocks[0], places=True)
+    assert (text.at_places(text.window) == few).all()
+
+
+def test_chunks_of_windows_change_no_score():
+    rng = random.Random(7)
+    block = B.Block.of(range(4), [prose(rng, 300).encode() for _ in range(4)])
+    code, text = lm_score.Code(lm_score.running_bytes(block, np.ones(4, bool))), lm_score.Running(block, places=True)
+    own, kept = lm_score.Learner(code, 16), lm_score._AT_ONCE
+    own.add(lm_score.Running(block))
+    whole = lm_score.Model(code, own.counts, own.weights).log2_windows(text)
+    try:
+        lm_score._AT_ONCE = 5
+        again = lm_score.Learner(code, 16)
+        again.add(lm_score.Running(block))
+        parts = lm_score.Model(code, own.counts, own.weights).log2_windows(text)
+        assert max(len(last.window) for _, last in lm_score.by_last_byte(code, text.window, 16)) == 5
+    finally:
+        lm_score._AT_ONCE = kept
+    assert (again.counts == own.counts).all() and again.seen == own.seen
+    assert parts == pytest.approx(whole, abs=1e-9)
+
+
+def test_occurrences_in_documents_by_plain_python():
+    texts = {0: "a b a c a", 7: "", 2: "b B b c", 5: "c"}
+    t = lm_score.Tokens(B.Block.of(list(texts), [x.encode() for x in texts.values()]))
+    low = [w for x in texts.values() for w in [*x.lower().split(), None]]
+    doc = [k for k, x in enumerate(texts.values()) for _ in [*x.split(), None]]
+    own, earlier = t.in_document(t.at)
+    places = list(zip(doc, low))
+    assert earlier.tolist() == [places[:i].count(p) for i, p in enumerate(places)]
+    assert own.tolist() == [0 if t.held[p[0]] else places.count(p) for p in places]
