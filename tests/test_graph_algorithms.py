@@ -219,6 +219,61 @@ def test_pairs_of_two_components_grow_no_rings(spark, monkeypatch):
     assert max(listed) == 1
 
 
+def plain_distances(edges, pairs, most):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for a, b in pairs:
+        ring = seen = {a}
+        for hops in range(most + 1):
+            if b in ring:
+                want[a, b] = hops
+                break
+            ring = {x for v in ring for x in near.get(v, ())} - seen
+            seen = seen | ring
+    return want
+
+
+def test_rings_of_distances_stay_in_proportion_to_the_edges(spark, monkeypatch):
+    rng = random.Random(5)
+    two = [(f"P{rng.randrange(300)}", f"S{rng.randrange(40)}") for _ in range(600)]  # a part and a supplier
+    one = [(str(rng.randrange(90)), str(rng.randrange(90))) for _ in range(150)]
+    found, listed = G._by_smaller_ring, []
+    monkeypatch.setattr(G, "_by_smaller_ring", lambda p, *rings: (listed.extend(r.count() for r in rings), found(p, *rings))[1])
+    monkeypatch.setattr(G, "ROOM", 1, raising=False)
+    for edges, pairs in (
+        (two, [(f"S{k}", f"S{k * 3 % 40}") for k in range(40)] + [(f"S{k % 40}", f"P{k}") for k in range(60)] + [(f"P{k}", f"S{k}") for k in range(5)] + [("P1", "P2"), ("S1", "nowhere")]),
+        (one, [(str(rng.randrange(90)), str(rng.randrange(90))) for _ in range(60)]),
+    ):
+        listed.clear()
+        got = [tuple(r) for r in G.pair_distances(table(spark, edges), spark.createDataFrame(pairs, "source string, target string"), 4).collect()]
+        assert sorted(got) == sorted((*p, n) for p, n in plain_distances(edges, set(pairs), 4).items())
+        assert max(listed) <= (1.3 if edges is two else 2.6) * len(set(edges))  # slices by hash are not quite even
+
+
+def test_distances_in_little_room_equal_a_search(spark):
+    rng = random.Random(6)
+    edges = [(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(75)] + [("long0", "0")] + [(f"long{k}", f"long{k + 1}") for k in range(5)]
+    pairs = [(str(rng.randrange(60)), str(rng.randrange(60))) for _ in range(20)] + [("long5", "0"), ("long4", "0"), ("long5", "long0")]
+    got = [tuple(r) for r in G.pair_distances(table(spark, edges), spark.createDataFrame(pairs, "source string, target string"), 5, room=40).collect()]
+    assert sorted(got) == sorted((*p, n) for p, n in plain_distances(edges, set(pairs), 5).items())
+
+
+def test_distances_leave_no_tables_of_edges(spark):
+    from pathlib import Path
+
+    G.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.iterdir())
+    edges = [(f"P{k}", f"S{k % 50}") for k in range(500)] + [("P0", "S1"), ("P1", "S2")]
+    got = G.pair_distances(table(spark, edges), spark.createDataFrame([("S0", "S2"), ("S0", "S9"), ("S3", "P3")], "source string, target string"), 4)
+    left = [spark.read.parquet(str(x)).count() for x in set(folder.iterdir()) - before if any(x.glob("*.parquet"))]
+    assert sorted(map(tuple, got.collect())) == [("S0", "S2", 4), ("S3", "P3", 1)]
+    assert max(left) <= 3  # wanted pairs and pairs found, nothing of 500 edges
+
+
 def test_cycles_of_single_ways_are_followed(spark):
     edges = [(f"c{k}", f"c{(k + 1) % 30}") for k in range(30)] + [(f"t{k:04}", f"t{k + 1:04}") for k in range(400)] + [("t0400", "c3"), ("x", "y"), ("y", "x"), ("y", "c0"), ("w", "y"), ("dead", "end")]
     cycles, left = G._followed(table(spark, edges))
